@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.core import Words, docs_table, grouped, map_arrow, mix, span_hashes, written
+from rankfield.llm.core import WHOLE, Words, docs_table, grouped, map_arrow, mix, span_hashes, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -48,8 +48,6 @@ SYMBOL = _table(SYMBOLS)
 UPPER = _table(bytes(range(65, 91)))
 DIGIT = _table(bytes(range(48, 58)))
 MARKS = _table(b"!?.,;:")
-WHOLE = np.ones(256, bool)
-WHOLE[128:192] = False  # the later bytes of a character
 
 
 def _per_text(flags: np.ndarray, off: np.ndarray) -> np.ndarray:

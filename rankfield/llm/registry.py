@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from rankfield.llm.op10_simhash import op10_simhash
 from rankfield.llm.op3_quality_rules import op3_quality_rules
+from rankfield.llm.op6_toxicity import op6_toxicity
 from rankfield.llm.op8_token_output import op8_token_output
 from rankfield.llm.op9_best_fit_packing import op9_best_fit_packing
 
-QUERIES = {f.__name__: f for f in (op3_quality_rules, op8_token_output, op9_best_fit_packing, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op3_quality_rules, op6_toxicity, op8_token_output, op9_best_fit_packing, op10_simhash)}
 SQL: dict[str, str] = {}

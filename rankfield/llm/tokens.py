@@ -33,6 +33,22 @@ def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def cut_pieces(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The folded bytes; start and end of each piece in them; index of each text's first piece."""
+    low = LOWER[buf]
+    beyond = np.flatnonzero(buf[1:] > 127) if len(buf) > 1 else np.zeros(0, np.int64)
+    low[beyond] = buf[beyond]
+    word = ~WHITE[low]
+    edge = np.zeros(len(low) + 1, bool)
+    edge[off] = True
+    edge[1:-1] |= LETTER[low[:-1]] & CUTS[low[1:]]
+    begins, ends = word.copy(), word.copy()
+    begins[1:] &= ~word[:-1] | edge[1:-1]
+    ends[:-1] &= ~word[1:] | edge[1:-1]
+    start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
+    return low, start, end, np.searchsorted(start, off)
+
+
 class PieceEncoder:
     def __init__(self, path: str):
         import os
@@ -117,28 +133,13 @@ class PieceEncoder:
             out[left] = number[which]
         return out
 
-    def pieces(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The folded bytes; start and end of each piece in them; index of each text's first piece."""
-        low = LOWER[buf]
-        beyond = np.flatnonzero(buf[1:] > 127) if len(buf) > 1 else np.zeros(0, np.int64)
-        low[beyond] = buf[beyond]
-        word = ~WHITE[low]
-        edge = np.zeros(len(low) + 1, bool)
-        edge[off] = True
-        edge[1:-1] |= LETTER[low[:-1]] & CUTS[low[1:]]
-        begins, ends = word.copy(), word.copy()
-        begins[1:] &= ~word[:-1] | edge[1:-1]
-        ends[:-1] &= ~word[1:] | edge[1:-1]
-        start, end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        return low, start, end, np.searchsorted(start, off)
-
     def encode(self, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another (uint32), and where each text's ids start, with the end."""
         if bytes(buf).find(b"<|") >= 0:
             raw = buf.tobytes()
             each = self.direct([raw[a:b].decode("utf-8") for a, b in zip(off[:-1], off[1:])])
             return np.concatenate([*each, np.zeros(0, np.uint32)]), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
-        low, start, end, first = self.pieces(buf, off)
+        low, start, end, first = cut_pieces(buf, off)
         if not len(start):
             return np.zeros(0, np.uint32), np.zeros(len(off), np.int64)
         number = self.numbers(low, start, end)
