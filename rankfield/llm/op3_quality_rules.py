@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from rankfield.llm.core import WHOLE, Words, docs_table, grouped, map_arrow, mix, span_hashes, written
+from rankfield.llm.core import WHOLE, Words, docs_table, grouped, map_arrow, mix, span_hashes, unused_name, written
 
 SYMBOLS = b"#*$%&|<>"
 WINDOW = 5
@@ -116,24 +117,24 @@ def statistics(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), count, STATS)
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(at: str = "") -> Column:
+    return (F.col(at + "n_words") < 10) | (100 * F.col(at + "n_repeat_words") > 20 * F.col(at + "n_words"))
 
 
-def measures() -> dict[str, Column]:
-    """What the learned rules compare: shares and sizes, none of them null."""
-    words, chars = F.greatest(F.col("n_words"), F.lit(1)), F.greatest(F.col("n_chars"), F.lit(1))
+def measures(at: str = "") -> dict[str, Column]:
+    """What the learned rules compare: shares and sizes, none of them null.  at: what stands before the counts' names."""
+    words, chars = F.greatest(F.col(at + "n_words"), F.lit(1)), F.greatest(F.col(at + "n_chars"), F.lit(1))
     return {
-        "words": F.col("n_words").cast("double"),
-        "word_size": F.col("word_chars") / words,
-        "symbols_a_word": F.col("n_symbols") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "repeat_share": F.col("n_repeat_words") / words,
-        "words_a_line": F.col("n_words") / F.greatest(F.col("n_lines"), F.lit(1)),
-        "upper_share": F.col("n_upper") / chars,
-        "digit_share": F.col("n_digits") / chars,
-        "marks_a_word": F.col("n_marks") / words,
-        "distinct_share": F.col("n_distinct") / words,
+        "words": F.col(at + "n_words").cast("double"),
+        "word_size": F.col(at + "word_chars") / words,
+        "symbols_a_word": F.col(at + "n_symbols") / words,
+        "dup_line_share": F.col(at + "n_dup_lines") / F.greatest(F.col(at + "n_lines"), F.lit(1)),
+        "repeat_share": F.col(at + "n_repeat_words") / words,
+        "words_a_line": F.col(at + "n_words") / F.greatest(F.col(at + "n_lines"), F.lit(1)),
+        "upper_share": F.col(at + "n_upper") / chars,
+        "digit_share": F.col(at + "n_digits") / chars,
+        "marks_a_word": F.col(at + "n_marks") / words,
+        "distinct_share": F.col(at + "n_distinct") / words,
     }
 
 
@@ -216,9 +217,9 @@ def fit_rules(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     return learn({k: found.column(k).to_numpy() for k in names}, found.column("quality").to_numpy() == 0, mix(order))
 
 
-def verdict(rules: list[Rule]) -> Column:
+def verdict(rules: list[Rule], prefix: str = "") -> Column:
     """False for the first rule that holds, else true."""
-    at = measures()
+    at = measures(prefix)
     out = None
     for rule in rules:
         held = F.lit(True)
@@ -237,5 +238,21 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
+def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows of docs that no rule rejects, with docs's columns; texts pass through without a shuffle."""
+    rules = fit_rules(written(statistics(docs), "statistics"), labels)
+    column = unused_name("counts", docs)
+    schema = StructType([*docs.schema.fields, StructField(column, StructType([StructField(c, LongType()) for c in COUNTS]))])
+    names = docs.columns
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, buf, off in grouped(batches):
+            x = text_counts(buf, off)
+            counts = pa.StructArray.from_arrays([pa.array(x[c], pa.int64()) for c in COUNTS], list(COUNTS))
+            yield pa.RecordBatch.from_arrays([*batch.columns, counts], [*names, column])
+
+    return map_arrow(docs, count, schema).where(~base_failed(column + ".") & verdict(rules, column + ".")).drop(column)
+
+
 def op3_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_rules(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "labels"))

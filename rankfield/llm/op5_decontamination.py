@@ -186,82 +186,102 @@ class Queries:
         return None
 
 
-FOUND = "doc_id long, item_id long, cosine double, overlap double, kind string"
+def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
+    """Row, item_id, cosine, overlap and kind of each leak in texts."""
+    weight, directions, queries = shared.value
+    known = directions.any(axis=1)
+    square = weight.astype(np.float64) ** 2
+    out = []
+    for a, _, buf, off in text_groups(texts, GROUP_BYTES):
+        t = terms(buf, off)
+        text, begin, end = passages(t.first)
+        if not len(text):
+            continue
+        bins = t.bins
+        # the known terms' vectors are summed between marks; a passage is the sum of a few such blocks
+        at = np.flatnonzero(known[bins])
+        marks = np.unique(np.concatenate([begin, end]))
+        cut = np.searchsorted(at, marks)
+        energy = np.concatenate([[0.0], np.cumsum(square[bins])])
+        near = np.concatenate([[0.0], np.cumsum((square * known)[bins])])
+        worth = near[end] - near[begin] >= LEAST_ENERGY * (energy[end] - energy[begin])
+        text, begin, end = text[worth], begin[worth], end[worth]
+        if not len(text):
+            continue
+        vector = weight[bins[at], None] * directions[bins[at]]
+        full = np.flatnonzero(np.diff(cut) > 0)
+        block = np.zeros((len(marks), directions.shape[1]), np.float32)
+        if len(full):
+            block[full] = np.add.reduceat(vector, cut[full], axis=0)
+        m0, m1 = np.searchsorted(marks, begin), np.searchsorted(marks, end)
+        p = np.zeros((len(text), directions.shape[1]), np.float32)
+        for k in range(int((m1 - m0).max())):
+            more = np.flatnonzero(m0 + k < m1)
+            p[more] += block[m0[more] + k]
+        norm = np.linalg.norm(p, axis=1)
+        some = np.flatnonzero(norm * norm >= LEAST_ENERGY * (energy[end] - energy[begin]))
+        best: dict[tuple[int, int], list[tuple[float, int]]] = {}
+        for k in range(0, len(some), 2048):
+            part = some[k : k + 2048]
+            cosine = (p[part] / norm[part, None]) @ queries.table
+            for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= CANDIDATE))):
+                best.setdefault((int(text[part[i]]), int(queries.item[j])), []).append((float(cosine[i, j]), int(begin[part[i]])))
+        for (doc, item), hits in best.items():
+            size = len(queries.words[item])
+            for cosine_, place in sorted(hits, reverse=True):
+                x, y = max(place - size, t.first[doc]), min(place + PASSAGE + size, t.first[doc + 1])
+                if said := queries.confirm(item, t.hashes[x:y]):
+                    out.append((a + doc, queries.ids[item], cosine_, *said))
+                    break
+    return out
 
 
-def _search(docs: DataFrame, shared) -> DataFrame:
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, directions, queries = shared.value
-        known = directions.any(axis=1)
-        square = weight.astype(np.float64) ** 2
-        for batch in batches:
-            out = []
-            ids = batch.column("doc_id")
-            for a, _, buf, off in text_groups(batch.column("text"), GROUP_BYTES):
-                t = terms(buf, off)
-                text, begin, end = passages(t.first)
-                if not len(text):
-                    continue
-                bins = t.bins
-                # running sums of the known terms' vectors at every STRIDE words give each passage as a difference
-                at = np.flatnonzero(known[bins])
-                marks = np.unique(np.concatenate([begin, end]))
-                cut = np.searchsorted(at, marks)
-                energy = np.concatenate([[0.0], np.cumsum(square[bins])])
-                near = np.concatenate([[0.0], np.cumsum((square * known)[bins])])
-                worth = near[end] - near[begin] >= LEAST_ENERGY * (energy[end] - energy[begin])
-                text, begin, end = text[worth], begin[worth], end[worth]
-                if not len(text):
-                    continue
-                vector = weight[bins[at], None] * directions[bins[at]]
-                full = np.flatnonzero(np.diff(cut) > 0)
-                block = np.zeros((len(marks), directions.shape[1]), np.float32)
-                if len(full):
-                    block[full] = np.add.reduceat(vector, cut[full], axis=0)[: len(full)] if cut[-1] == len(at) else np.add.reduceat(vector[: cut[-1]], cut[full], axis=0)
-                m0, m1 = np.searchsorted(marks, begin), np.searchsorted(marks, end)
-                p = np.zeros((len(text), directions.shape[1]), np.float32)
-                for k in range(int((m1 - m0).max())):
-                    more = np.flatnonzero(m0 + k < m1)
-                    p[more] += block[m0[more] + k]
-                norm = np.linalg.norm(p, axis=1)
-                some = np.flatnonzero(norm * norm >= LEAST_ENERGY * (energy[end] - energy[begin]))
-                best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-                for k in range(0, len(some), 2048):
-                    part = some[k : k + 2048]
-                    cosine = (p[part] / norm[part, None]) @ queries.table
-                    for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= CANDIDATE))):
-                        best.setdefault((int(text[part[i]]), int(queries.item[j])), []).append((float(cosine[i, j]), int(begin[part[i]])))
-                for (doc, item), hits in best.items():
-                    size = len(queries.words[item])
-                    for cosine_, place in sorted(hits, reverse=True):
-                        x, y = max(place - size, t.first[doc]), min(place + PASSAGE + size, t.first[doc + 1])
-                        if said := queries.confirm(item, t.hashes[x:y]):
-                            out.append((ids[a + doc].as_py(), queries.ids[item], cosine_, *said))
-                            break
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, k) for c, k in zip(zip(*out), (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.string()))], ["doc_id", "item_id", "cosine", "overlap", "kind"]
-                )
-
-    return map_arrow(docs, search, FOUND)
+FOUND = "doc_id long, item_id long, cosine double, overlap double, kind string"
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """doc_id, item_id, cosine of the best candidate passage, share of the item's words in common order, and kind, of each leak."""
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+def _searches(texts: DataFrame, benchmark: DataFrame) -> list:
+    """What the search of texts needs, a broadcast a block of items."""
+    spark = texts.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     weight = inverse_frequency(texts)
     directions = latent_directions(items.select("text"), weight)
     blocks = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
-    out = None
+    out = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        queries = Queries(part.column("item_id").to_pylist(), part.column("text"), weight, directions)
-        found = _search(texts, spark.sparkContext.broadcast((weight, directions, queries)))
-        out = found if out is None else out.unionByName(found)
+        out.append(spark.sparkContext.broadcast((weight, directions, Queries(part.column("item_id").to_pylist(), part.column("text"), weight, directions))))
     return out
 
 
+def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """doc_id, item_id, cosine of the best candidate passage, share of the item's words in common order, and kind, of each leak."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    searches = _searches(texts, benchmark)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("doc_id")
+            for shared in searches:
+                if found := leaks(batch.column("text"), shared):
+                    row, *rest = zip(*found)
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *(pa.array(c, k) for c, k in zip(rest, (pa.int64(), pa.float64(), pa.float64(), pa.string())))], ["doc_id", "item_id", "cosine", "overlap", "kind"])
+
+    return map_arrow(texts, search, FOUND)
+
+
+def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """The rows of docs without a leak, with docs's columns; texts pass through without a shuffle."""
+    searches = _searches(docs.select(F.col("text").cast("string").alias("text")), benchmark)
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for shared in searches:
+                clean[[row for row, *_ in leaks(batch.column("text"), shared)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return map_arrow(docs, search, docs.schema)
+
+
 def op5_decontamination(spark, sf_dir: str) -> DataFrame:
     return contamination(docs_table(spark, sf_dir), docs_table(spark, sf_dir, "benchmark"))
