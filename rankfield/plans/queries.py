@@ -677,3 +677,44 @@ def rotation(spark, sf_dir):
 def quicklinks(spark, sf_dir):
     b = A.table(spark, sf_dir, "benchmark")
     return b.select("item_id", scalar.url_for(F.lit("https://example.org/?q={query}"), F.regexp_extract("text", "^[A-Za-z ]*", 0)).alias("url"))
+
+
+# --- sources
+
+
+@query("SELECT event_id AS usn, CASE event_type WHEN 'error' THEN 'D' WHEN 'purchase' THEN 'R' WHEN 'view' THEN 'S' ELSE 'C' END AS op, user_id + 16 AS frn, 'n' || event_id AS name, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS flags FROM events")
+def journal_records(spark, sf_dir):
+    """Events written as binary journal records and parsed again."""
+    import pandas as pd
+
+    from rankfield.sources.journal import RECORD, _parse, journal_changes, record
+
+    def pack(frames):
+        for f in frames:
+            content = [record(*map(int, r[:5]), r[5]) for r in f.itertuples(index=False)]
+            yield pd.DataFrame({"content": [b"".join(content)]})
+
+    kind = F.col("event_type")
+    reason = F.when(kind == "error", 0x200 | 0x100).when(kind == "purchase", 0x2000).when(kind == "view", 0x800).otherwise(0x100 | 0x2000)
+    bit = lambda n, a: F.when(F.pmod("event_id", F.lit(n)) == 0, a).otherwise(0)
+    e = A.table(spark, sf_dir, "events").select("event_id", F.col("user_id") + 16, F.lit(5).cast("long"), reason, bit(2, 0x10) + bit(3, 0x2), F.concat(F.lit("n"), F.col("event_id").cast("string")).alias("name"))
+    raw = e.mapInPandas(pack, "content binary").mapInPandas(_parse, RECORD)
+    return journal_changes(raw).select("usn", "op", "frn", "name", "flags")
+
+
+@query("SELECT r_name AS name, 1 AS flags FROM region UNION ALL SELECT n_name || '.txt', 0 FROM nation")
+def directory_walk(spark, sf_dir):
+    """A folder a region with a file a nation, made by the driver and listed again."""
+    import os
+    import tempfile
+
+    from rankfield.sources.journal import walk
+
+    region, nation = A.table(spark, sf_dir, "region"), A.table(spark, sf_dir, "nation")
+    pairs = nation.join(F.broadcast(region), F.col("n_regionkey") == F.col("r_regionkey")).select("r_name", "n_name").collect()  # the two fixed tables
+    with tempfile.TemporaryDirectory() as root:
+        for r in region.collect():
+            os.mkdir(os.path.join(root, r["r_name"]))
+        for r in pairs:
+            open(os.path.join(root, r["r_name"], r["n_name"] + ".txt"), "w").close()
+        return walk(spark, root).select("name", "flags")
