@@ -23,7 +23,10 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Texts are cut into groups of about this many bytes; a longer text is a group of its own.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 3 << 18
+
+#: Of an Arrow batch.
+BATCH_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -55,7 +58,9 @@ def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarr
     """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
     up, down = _power(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * up[: len(buf)], out=total[1:])
+    np.take(_BYTE, buf, out=total[1:], mode="clip")
+    total[1:] *= up[: len(buf)]
+    np.cumsum(total, out=total)
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
 
 
@@ -168,9 +173,20 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused_name(name: str, df) -> str:
+    """name, with underscores before it until df has no such column."""
+    taken = {c.lower() for c in df.columns}
+    name = f"_{name}"
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def docs_table(spark, sf_dir: str, name: str = "documents"):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def map_arrow(df, function, schema: str):
+    """mapInArrow with batches of at most BATCH_BYTES or so, as the default lets one batch of long texts fill a worker."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(function, schema)

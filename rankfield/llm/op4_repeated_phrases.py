@@ -39,7 +39,7 @@ WINDOW = 20
 PHRASE = 10
 #: Phrases to an automaton.
 AUTOMATON = 100_000
-SHARD_BYTES = 6 << 20
+SHARD_BYTES = 3 << 19
 
 NO_ID = -(1 << 63)
 
