@@ -106,8 +106,9 @@ def _visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def block_links(home: np.ndarray, guest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """A spanning forest of the links between homes and guests."""
     a, b = [], []
+    h, g = home.view(np.uint64), guest.view(np.uint64)  # bits of negative numbers are not counted as they stand
     for i in range(0, len(home), 512):
-        x, y = np.nonzero(np.bitwise_count(home[i : i + 512, None] ^ guest[None, :]) <= MOST_BITS)
+        x, y = np.nonzero(np.bitwise_count(h[i : i + 512, None] ^ g[None, :]) <= MOST_BITS)
         x, y = home[i + x], guest[y]
         differ = x != y
         a.append(x[differ])

@@ -56,7 +56,7 @@ def _iban(value: Column) -> Column:
     """Country and check digits go last, letters become 10 to 35, and the number leaves 1 modulo 97."""
     plain = F.regexp_replace(value, " ", "")
     moved = F.concat(F.substring(plain, 5, 64), F.substring(plain, 1, 4))
-    chars = F.split(moved, "(?!^)")
+    chars = F.filter(F.split(moved, "(?!^)"), lambda c: c != "")
     rest = F.aggregate(
         chars,
         F.lit(0).cast("long"),
