@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
 
 
+def let_workers_import(spark) -> None:
+    """Python workers find this package even if the driver was started elsewhere; on a cluster it is installed or shipped."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = spark.sparkContext.environment.get("PYTHONPATH", "")
+    if root not in known.split(os.pathsep) and root not in os.environ.get("PYTHONPATH", "").split(os.pathsep):
+        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join(x for x in (root, known) if x)
+
+
 def shared_folder(spark) -> str:
     """spark.checkpoint.dir, or a folder of this process where it is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
