@@ -104,7 +104,7 @@ def arena_probe(spark, sf_dir):
 _BATCH = ["red", "bolt", "brand#2", "gw", "xqz", "smallrng"]
 
 
-@query(f"WITH {S.PARTS}, hit AS (" + " UNION ALL ".join(f"SELECT {k} AS qid, frn, {S.tiers(q)} AS base FROM parts" for k, q in enumerate(_BATCH)) + "), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base DESC, frn) AS place FROM hit WHERE base IS NOT NULL) SELECT qid, frn, round(base, 6) AS score, place FROM ranked WHERE place <= 10")
+@query(f"WITH {S.PARTS}, hit AS (" + " UNION ALL ".join(f"SELECT {k} AS qid, frn, {S.tiers(q)} AS base FROM parts" for k, q in enumerate(_BATCH)) + "), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY base DESC, frn) AS place FROM hit WHERE base IS NOT NULL) SELECT qid, frn, round(base, 6) AS score, place::INTEGER AS place FROM ranked WHERE place <= 10")
 def batch_search(spark, sf_dir):
     queries = spark.createDataFrame(list(enumerate(_BATCH)), "qid int, q string")
     return rank.batch_search(part_entries(spark, sf_dir), queries, 10).select("qid", "frn", r6(), "place")
@@ -378,7 +378,7 @@ def selection_index(spark, sf_dir):
     return merged.join(last, F.col("key") == F.col("k"), "left").agg(F.coalesce(F.max(F.when(F.col("k").isNotNull(), F.col("pos"))), F.lit(0)).cast("long").alias("selected"))
 
 
-@query("WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'C:\\Windows\\WinSxS\\' WHEN 1 THEN '/$Recycle.Bin/' WHEN 2 THEN 'C:\\Windows\\System32\\' ELSE 'relative ' END || url AS path FROM pages) SELECT page_id, CASE WHEN page_id % 4 < 2 THEN 0.6 ELSE 1.0 END AS weight FROM p")
+@query("WITH p AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'C:\\Windows\\WinSxS\\' WHEN 1 THEN '/$Recycle.Bin/' WHEN 2 THEN 'C:\\Windows\\System32\\' ELSE 'relative ' END || url AS path FROM pages) SELECT page_id, CASE WHEN page_id % 4 < 2 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END AS weight FROM p")
 def path_weight(spark, sf_dir):
     prefix = F.element_at(F.array(F.lit("C:\\Windows\\WinSxS\\"), F.lit("/$Recycle.Bin/"), F.lit("C:\\Windows\\System32\\"), F.lit("relative ")), (F.pmod("page_id", F.lit(4)) + 1).cast("int"))
     return A.table(spark, sf_dir, "pages").select("page_id", rank.path_weight(F.concat(prefix, F.col("url"))).alias("weight"))
@@ -467,7 +467,7 @@ def stale_dropped(spark, sf_dir):
     return sessions.drop_stale(r, sessions.watermark(r)).select("session", "gen", "arrival")
 
 
-@query(f"WITH {_REQ}, a AS (SELECT session, count(*) AS asked FROM rq WHERE kind = 'query' GROUP BY 1), b AS (SELECT DISTINCT session FROM rq JOIN wm USING (session) WHERE kind = 'query' AND gen >= latest) SELECT a.session, asked, CASE WHEN b.session IS NULL THEN 0 ELSE 1 END AS answered, asked - CASE WHEN b.session IS NULL THEN 0 ELSE 1 END AS superseded FROM a LEFT JOIN b USING (session)")
+@query(f"WITH {_REQ}, a AS (SELECT session, count(*) AS asked FROM rq WHERE kind = 'query' GROUP BY 1), b AS (SELECT DISTINCT session FROM rq JOIN wm USING (session) WHERE kind = 'query' AND gen >= latest) SELECT a.session, asked, (CASE WHEN b.session IS NULL THEN 0 ELSE 1 END)::BIGINT AS answered, asked - CASE WHEN b.session IS NULL THEN 0 ELSE 1 END AS superseded FROM a LEFT JOIN b USING (session)")
 def superseded_requests(spark, sf_dir):
     return sessions.superseded(_requests(spark, sf_dir))
 

@@ -29,14 +29,14 @@ def tiers(q: str, folded: str = "lower(name)", lane: str = LANE) -> str:
     backward = quoted("(?s)^" + ".*?".join(f"\\Q{c}\\E" for c in reversed(q)))
     s, marked = quoted(q), f"replace({folded}, {quoted(q)}, chr(1))"
     word = f"(regexp_matches({marked}, '[-_. ]\\x01') OR ({s} SIMILAR TO '.*[-_. ]' AND contains({marked}, chr(1) || chr(1))))"
-    fuzzy = f"WHEN length(regexp_extract({folded}, {forward}, 0)) > 0 THEN 0.3 + 0.2 * {len(q)} / length(regexp_extract(reverse(regexp_extract({folded}, {forward}, 0)), {backward}, 0))" if len(q.encode()) >= 3 else ""
+    fuzzy = f"WHEN length(regexp_extract({folded}, {forward}, 0)) > 0 THEN 0.3::DOUBLE + 0.2::DOUBLE * {len(q)} / length(regexp_extract(reverse(regexp_extract({folded}, {forward}, 0)), {backward}, 0))" if len(q.encode()) >= 3 else ""
     initials = f"WHEN contains({lane}, {s}) THEN 0.7" if len(q.encode()) <= 8 else ""
-    return f"""CASE WHEN {folded} = {s} THEN 1.0 WHEN left({folded}, {len(q)}) = {s} THEN 0.9 WHEN contains({folded}, {s}) AND {word} THEN 0.8
+    return f"""CASE WHEN {folded} = {s} THEN 1.0::DOUBLE WHEN left({folded}, {len(q)}) = {s} THEN 0.9 WHEN contains({folded}, {s}) AND {word} THEN 0.8
     {initials} WHEN contains({folded}, {s}) THEN 0.55 {fuzzy} END"""
 
 
 def factor(depth: str = "depth", flags: str = "flags") -> str:
-    return f"(CASE WHEN ({flags} & 6) <> 0 THEN 0.85 ELSE 1.0 END / (1 + 0.02 * least({depth}, 127)))"
+    return f"(CASE WHEN ({flags} & 6) <> 0 THEN 0.85::DOUBLE ELSE 1.0::DOUBLE END / (1 + 0.02 * least({depth}, 127)))"
 
 
 def shell(q: str, name: str = "name") -> str:
@@ -51,8 +51,8 @@ def shell(q: str, name: str = "name") -> str:
     head = f"array_to_string(list_transform({starts}, lambda i: substr({f}, i, 1)), '')"
     pattern = quoted("(?s)" + ".*?".join(f"\\Q{c}\\E" for c in q))
     initials = f"WHEN left({head}, {n}) = {s} THEN 0.7" if n >= 2 else ""
-    fuzzy = f"WHEN length(regexp_extract({f}, {pattern}, 0)) > 0 THEN 0.3 + 0.2 * {n} / length(regexp_extract({f}, {pattern}, 0))" if n >= 3 else ""
+    fuzzy = f"WHEN length(regexp_extract({f}, {pattern}, 0)) > 0 THEN 0.3::DOUBLE + 0.2::DOUBLE * {n} / length(regexp_extract({f}, {pattern}, 0))" if n >= 3 else ""
     return (
-        f"CASE WHEN {f} = {s} THEN 1.0 WHEN left({f}, {n}) = {s} THEN 0.9 WHEN len(list_filter({starts}, lambda i: substr({f}, i, {n}) = {s})) > 0 THEN 0.8 "
+        f"CASE WHEN {f} = {s} THEN 1.0::DOUBLE WHEN left({f}, {n}) = {s} THEN 0.9 WHEN len(list_filter({starts}, lambda i: substr({f}, i, {n}) = {s})) > 0 THEN 0.8 "
         f"{initials} WHEN contains({f}, {s}) THEN 0.55 {fuzzy} END"
     )
