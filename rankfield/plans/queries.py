@@ -12,7 +12,7 @@ from rankfield.functions import match, scalar, shellmatch
 from rankfield.functions.calc import calculator
 from rankfield.functions.ranges import ranges_column
 from rankfield.functions.text import class_mask, fold_unicode, initials, segments
-from rankfield.operators import catalogs, clips, content, filters, latency, logs, merge, rank, tree
+from rankfield.operators import catalogs, clips, content, filters, latency, logs, merge, minor, rank, tree
 from rankfield.plans import sqltext as S
 from rankfield.sources import adapters as A
 from rankfield.streaming import changes, sessions
@@ -718,3 +718,80 @@ def directory_walk(spark, sf_dir):
         for r in pairs:
             open(os.path.join(root, r["r_name"], r["n_name"] + ".txt"), "w").close()
         return walk(spark, root).select("name", "flags")
+
+
+# --- around the list
+
+
+@query("WITH d AS (SELECT s_nationkey AS grp, s_suppkey AS id, round(s_acctbal / 100) AS x, s_suppkey % 3 AS y FROM supplier) SELECT grp, id, coalesce(lead(id) OVER w, first(id) OVER w) AS next_id FROM d WINDOW w AS (PARTITION BY grp ORDER BY x, y, id)")
+def next_display(spark, sf_dir):
+    d = A.table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("grp"), F.col("s_suppkey").alias("id"), F.round(F.col("s_acctbal") / 100).alias("x"), F.pmod("s_suppkey", F.lit(3)).alias("y"))
+    return minor.next_display(d, "grp").select("grp", "id", "next_id")
+
+
+@query("WITH s AS (SELECT event_id % 20 AS volume, user_id AS session, CASE WHEN event_type IN ('click', 'view') THEN 'active' ELSE 'idle' END AS state, event_id AS ts FROM events), l AS (SELECT volume, session, max_by(state, ts) AS state FROM s GROUP BY 1, 2) SELECT volume, count(*) FILTER (state = 'active') = 0 AS idle FROM l GROUP BY 1")
+def idle_vote(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events")
+    return minor.idle(e.select(F.pmod("event_id", F.lit(20)).alias("volume"), F.col("user_id").alias("session"), F.when(F.col("event_type").isin("click", "view"), "active").otherwise("idle").alias("state"), F.col("event_id").alias("ts")), "volume")
+
+
+@query("SELECT c_nationkey AS grp, CASE WHEN count(*) = 1 THEN '1 result, ' || min_by(c_name, c_custkey) ELSE count(*) || ' results, ' || min_by(c_name, c_custkey) END AS text FROM customer GROUP BY 1")
+def announce_text(spark, sf_dir):
+    return minor.announcement(A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_name").alias("name"), F.col("c_custkey").alias("pos")), "grp")
+
+
+@query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ed b')")
+def action_filter(spark, sf_dir):
+    return A.table(spark, sf_dir, "part").where(minor.action_matches(F.col("p_name"), "  ED B ")).select("p_partkey", "p_name")
+
+
+@query("WITH e AS (SELECT event_id AS key, user_id, ts, CASE event_id % 4 WHEN 0 THEN 3076 WHEN 1 THEN 3077 ELSE 1 END AS event_id, event_type = 'error' AS here FROM events), n AS (SELECT * FROM e WHERE event_id IN (3076, 3077) ORDER BY ts DESC, key LIMIT 5000) SELECT user_id, count(*) FILTER (event_id = 3076) AS audited, count(*) FILTER (event_id = 3077) AS blocked, count(*) FILTER (here) AS here FROM n GROUP BY 1")
+def policy_events(spark, sf_dir):
+    kind = F.when(F.pmod("event_id", F.lit(4)) == 0, 3076).when(F.pmod("event_id", F.lit(4)) == 1, 3077).otherwise(1)
+    e = A.table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), "user_id", "ts", kind.alias("event_id"), (F.col("event_type") == "error").alias("here"))
+    return minor.policy_summary(e, "user_id")
+
+
+@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN left(upper(p_name), 1) WHEN 1 THEN (p_size % 10)::VARCHAR WHEN 2 THEN 'Left' ELSE 'F5' END AS token FROM part")
+def key_tokens(spark, sf_dir):
+    k = F.pmod("p_partkey", F.lit(4))
+    code = F.when(k == 0, F.concat(F.lit("Key"), F.left(F.upper("p_name"), F.lit(1)))).when(k == 1, F.concat(F.lit("Digit"), F.pmod("p_size", F.lit(10)).cast("string"))).when(k == 2, "ArrowLeft").otherwise("F5")
+    return A.table(spark, sf_dir, "part").select("p_partkey", minor.key_token(code).alias("token"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size % 3 = p_size % 2 THEN 'keep' WHEN p_size % 2 = 0 THEN 'release' WHEN p_size % 5 = 0 THEN 'report' WHEN p_size % 3 = 0 THEN 'register' ELSE 'replace' END AS action FROM part")
+def registrar_table(spark, sf_dir):
+    name = lambda n: F.when(F.pmod("p_size", F.lit(n)) == 0, "").otherwise(F.pmod("p_size", F.lit(n)).cast("string"))
+    return A.table(spark, sf_dir, "part").select("p_partkey", minor.registrar_action(name(3), name(2), F.pmod("p_size", F.lit(5)) == 0).alias("action"))
+
+
+@query("SELECT p_partkey, list_contains(['file', 'window'], kind) AS several, CASE kind WHEN 'file' THEN 'open' WHEN 'window' THEN 'switch' WHEN 'calc' THEN 'copy' ELSE 'open' END AS main FROM (SELECT p_partkey, ['app','file','window','calc'][(p_partkey % 4 + 1)::INTEGER] AS kind FROM part) WHERE kind <> 'app' OR p_partkey % 8 = 0")
+def available_actions(spark, sf_dir):
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("app", "file", "window", "calc"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    p = A.table(spark, sf_dir, "part").where((kind != "app") | (F.pmod("p_partkey", F.lit(8)) == 0))
+    actions = catalogs.available_actions(kind, F.lit(False))
+    return p.select("p_partkey", (F.size(actions) > 1).alias("several"), F.get(actions, F.lit(0)).alias("main"))
+
+
+@query(f"SELECT user_id AS id, max(epoch(date_trunc('second', ts))::BIGINT) AS ts FROM events GROUP BY 1 HAVING max(epoch(date_trunc('second', ts))::BIGINT) > {NOW} - 86400")
+def fresh_rows(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id")).agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("ts"))
+    return catalogs.fresh(e, NOW, 86400)
+
+
+@query(f"WITH {_REQ} SELECT * FROM wm")
+def stream_latest_gen(spark, sf_dir):
+    """The generations' watermark as a stream over files of requests."""
+    import uuid
+
+    from rankfield.session import materialized, shared_folder
+
+    events = A.table(spark, sf_dir, "events")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(_folder_of(spark, sf_dir, events))
+    requests = stream.select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 50).cast("long").alias("gen"), F.when(F.col("event_type") == "error", "cancel").otherwise("query").alias("kind"))
+    published: list[DataFrame] = []
+    (
+        sessions.latest_stream(requests).writeStream.outputMode("complete").foreachBatch(lambda batch, _: published.append(materialized(batch, "marks")))
+        .option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+    )
+    return published[-1] if published else sessions.watermark(_requests(spark, sf_dir).limit(0))
