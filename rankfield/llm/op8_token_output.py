@@ -31,9 +31,11 @@ from rankfield.llm.tokens import encoder, vocabulary_path
 
 END_ID = 2
 #: A block is closed at this many tokens.
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 18
+#: A writer holds this much before it writes.
+ROW_GROUP_BYTES = 16 << 20
 #: Documents to a file part, about.
-PART_DOCS = 20_000
+PART_DOCS = 6_000
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four tokens of each control byte
 RECORDS = "doc_id long, n_tokens long, ids_crc32 long, control binary, data binary"
@@ -138,7 +140,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
 
     records = map_arrow(text_column(docs), encode, f"part int, {RECORDS}")
     dealt = records.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").drop("ids_crc32")
-    map_arrow(dealt, block, BLOCKS).write.parquet(f"{to}/blocks")
+    map_arrow(dealt, block, BLOCKS).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{to}/blocks")
 
 
 def read_tokens(spark, at: str, emit: str = RESULT, record=None) -> DataFrame:

@@ -21,10 +21,10 @@ CUTS[list(b'.,!?;:%$#*&"()')] = True
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 #: A process forgets its pieces when it has this many.
-MOST_PIECES = 1_200_000
-SLOT_BITS = 21
+MOST_PIECES = 600_000
+SLOT_BITS = 20
 SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
-SLOT_SHIFTS = (np.uint64(0), np.uint64(21), np.uint64(42))
+SLOT_SHIFTS = (np.uint64(0), np.uint64(20), np.uint64(40))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
