@@ -340,10 +340,10 @@ def volume_discovery(spark, sf_dir):
 def _sources(spark, sf_dir) -> DataFrame:
     part = A.table(spark, sf_dir, "part")
     kind = F.element_at(F.array(*(F.lit(k) for k in ("app", "file", "command", "setting", "window", "calc"))), (F.pmod("p_partkey", F.lit(6)) + 1).cast("int"))
-    return part.where("p_partkey % 4 < 3").select(kind.alias("kind"), F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("name"), F.round(F.col("p_retailprice") / 2000, 4).alias("score"), F.when(kind == "command", F.pmod("p_partkey", F.lit(5)).cast("int")).alias("ord"))
+    return part.where("p_partkey % 4 < 3").select(kind.alias("kind"), F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("score"), F.when(kind == "command", F.pmod("p_partkey", F.lit(5)).cast("int")).alias("ord"))
 
 
-_ROWS = "rows_ AS (SELECT ['app','file','command','setting','window','calc'][(p_partkey % 6 + 1)::INTEGER] AS kind, p_partkey::VARCHAR AS key, p_name AS name, round(p_retailprice / 2000, 4) AS score, CASE WHEN p_partkey % 6 = 2 THEN (p_partkey % 5)::INTEGER END AS ord FROM part WHERE p_partkey % 4 < 3)"
+_ROWS = "rows_ AS (SELECT ['app','file','command','setting','window','calc'][(p_partkey % 6 + 1)::INTEGER] AS kind, p_partkey::VARCHAR AS key, p_name AS name, p_retailprice AS score, CASE WHEN p_partkey % 6 = 2 THEN (p_partkey % 5)::INTEGER END AS ord FROM part WHERE p_partkey % 4 < 3)"
 _ORDER = "score DESC, CASE WHEN kind = 'file' THEN 1 ELSE 0 END, coalesce(ord, 0), name, key"
 _CAPS = "CASE kind WHEN 'calc' THEN 1 WHEN 'window' THEN 2 ELSE 3 END"
 
