@@ -5,7 +5,8 @@ terms are lower-cased words without marks, hashed to TERM_BINS, and weighted by
 inverse document frequency over all documents.  A randomised SVD of the
 benchmark's TF-IDF passages gives LATENT directions: products of the passages'
 Gram matrix with a random matrix are summed over the cluster, and only
-matrices of at most TERM_BINS by LATENT come to the driver.
+matrices of at most TERM_BINS by LATENT, with a row for each term of the
+benchmark, come to the driver.
 
 Every passage of every document is projected and compared by cosine with every
 benchmark passage, in blocks of BLOCK_ITEMS items.  Candidates are confirmed on
@@ -96,12 +97,26 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
     return np.log((n[bins < 0].sum() + 1) / (out + 0.5)).clip(0.01).astype(np.float32)
 
 
-def _gram(items: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.ndarray:
+def vocabulary(items: DataFrame) -> np.ndarray:
+    """The row of each term bin among those that items have, in order; -1 for others."""
+
+    def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for _, _, buf, off in text_groups(batch.column("text")):
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms(buf, off).bins))], ["bin"])
+
+    bins = np.sort(map_arrow(items, used, "bin long").distinct().toArrow().column("bin").to_numpy())  # at most TERM_BINS
+    out = np.full(TERM_BINS, -1, np.int32)
+    out[bins] = np.arange(len(bins))
+    return out
+
+
+def _gram(items: DataFrame, weight: np.ndarray, rows_of: np.ndarray, matrix: np.ndarray) -> np.ndarray:
     """A'A times matrix, A being the unit TF-IDF passages of items."""
-    shared = items.sparkSession.sparkContext.broadcast((weight, matrix))
+    shared = items.sparkSession.sparkContext.broadcast((weight, rows_of, matrix))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        w, m = shared.value
+        w, row, m = shared.value
         total = np.zeros_like(m)
         for batch in batches:
             for _, _, buf, off in text_groups(batch.column("text")):
@@ -111,6 +126,7 @@ def _gram(items: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.ndarra
                     at, tf = np.unique(bins[a:b], return_counts=True)
                     v = w[at] * tf
                     v /= np.linalg.norm(v)
+                    at = row[at]
                     total[at] += v[:, None] * (v @ m[at])
         some = np.flatnonzero(total.any(axis=1))
         for k in range(0, len(some), 4096):
@@ -133,12 +149,13 @@ def _gram(items: DataFrame, weight: np.ndarray, matrix: np.ndarray) -> np.ndarra
     return out
 
 
-def latent_directions(items: DataFrame, weight: np.ndarray, latent: int = LATENT) -> np.ndarray:
-    """Right singular vectors of the benchmark's passages, a row a term bin."""
-    basis = np.random.default_rng(5).standard_normal((TERM_BINS, latent))
+def latent_directions(items: DataFrame, weight: np.ndarray, rows_of: np.ndarray, latent: int = LATENT) -> np.ndarray:
+    """Right singular vectors of the benchmark's passages, a row a term that it has."""
+    size = int(rows_of.max()) + 1
+    basis = np.random.default_rng(5).standard_normal((size, min(latent, max(size, 1))))
     for _ in range(POWER_STEPS):
-        basis = np.linalg.qr(_gram(items, weight, basis))[0]
-    values, vectors = np.linalg.eigh(basis.T @ _gram(items, weight, basis))
+        basis = np.linalg.qr(_gram(items, weight, rows_of, basis))[0]
+    values, vectors = np.linalg.eigh(basis.T @ _gram(items, weight, rows_of, basis))
     return (basis @ vectors[:, ::-1] * (values[::-1] > 1e-9)).astype(np.float32)
 
 
@@ -158,7 +175,7 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 class Queries:
     """Benchmark items and their passages in the latent space."""
 
-    def __init__(self, ids: list, texts: pa.Array, weight: np.ndarray, directions: np.ndarray):
+    def __init__(self, ids: list, texts: pa.Array, weight: np.ndarray, rows_of: np.ndarray, directions: np.ndarray):
         self.ids, self.words, rows, self.item = ids, [], [], []
         for _, _, buf, off in text_groups(texts):
             t = terms(buf, off)
@@ -166,7 +183,7 @@ class Queries:
             self.words += [t.hashes[a:b].tolist() for a, b in zip(t.first[:-1], t.first[1:])]
             bins = t.bins
             for item, a, b in zip(*(x.tolist() for x in passages(t.first))):
-                rows.append(weight[bins[a:b]] @ directions[bins[a:b]])
+                rows.append(weight[bins[a:b]] @ directions[rows_of[bins[a:b]]])
                 self.item.append(base + item)
         table = np.array(rows, np.float32).reshape(-1, directions.shape[1])
         norm = np.linalg.norm(table, axis=1)
@@ -188,8 +205,8 @@ class Queries:
 
 def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
     """Row, item_id, cosine, overlap and kind of each leak in texts."""
-    weight, directions, queries = shared.value
-    known = directions.any(axis=1)
+    weight, rows_of, directions, queries = shared.value
+    known = rows_of >= 0
     square = weight.astype(np.float64) ** 2
     out = []
     for a, _, buf, off in text_groups(texts, GROUP_BYTES):
@@ -208,7 +225,7 @@ def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
         text, begin, end = text[worth], begin[worth], end[worth]
         if not len(text):
             continue
-        vector = weight[bins[at], None] * directions[bins[at]]
+        vector = weight[bins[at], None] * directions[rows_of[bins[at]]]
         full = np.flatnonzero(np.diff(cut) > 0)
         block = np.zeros((len(marks), directions.shape[1]), np.float32)
         if len(full):
@@ -244,12 +261,15 @@ def _searches(texts: DataFrame, benchmark: DataFrame) -> list:
     spark = texts.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     weight = inverse_frequency(texts)
-    directions = latent_directions(items.select("text"), weight)
+    rows_of = vocabulary(items.select("text"))
+    if rows_of.max() < 0:
+        return []
+    directions = latent_directions(items.select("text"), weight, rows_of)
     blocks = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
     out = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        out.append(spark.sparkContext.broadcast((weight, directions, Queries(part.column("item_id").to_pylist(), part.column("text"), weight, directions))))
+        out.append(spark.sparkContext.broadcast((weight, rows_of, directions, Queries(part.column("item_id").to_pylist(), part.column("text"), weight, rows_of, directions))))
     return out
 
 
