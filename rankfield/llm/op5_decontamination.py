@@ -37,9 +37,12 @@ STRIDE = 16
 TERM_BINS = 1 << 16
 LATENT = 128
 POWER_STEPS = 2
-#: Passages below this share of their squared length in the latent space cannot come near a benchmark passage.
-LEAST_ENERGY = 0.02
-CANDIDATE = 0.5
+#: Terms of less weight (in a tenth of all documents) are left to the comparison of words, if an item has at least TELLING others.
+LEAST_WEIGHT = 2.3
+TELLING = 3
+#: Of a passage's squared length, terms that the benchmark has must make this share; a passage with a third of its words from an item has more.
+LEAST_SHARE = 0.15
+CANDIDATE = 0.6
 VERBATIM = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.5
@@ -97,13 +100,19 @@ def inverse_frequency(docs: DataFrame) -> np.ndarray:
     return np.log((n[bins < 0].sum() + 1) / (out + 0.5)).clip(0.01).astype(np.float32)
 
 
-def vocabulary(items: DataFrame) -> np.ndarray:
-    """The row of each term bin among those that items have, in order; -1 for others."""
+def vocabulary(items: DataFrame, weight: np.ndarray) -> np.ndarray:
+    """The row of each term bin among the items' telling ones, in order; -1 for others."""
 
     def used(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for _, _, buf, off in text_groups(batch.column("text")):
-                yield pa.RecordBatch.from_arrays([pa.array(np.unique(terms(buf, off).bins))], ["bin"])
+                t = terms(buf, off)
+                bins, found = t.bins, [np.zeros(0, np.int64)]
+                for a, b in zip(t.first[:-1].tolist(), t.first[1:].tolist()):
+                    own = np.unique(bins[a:b])
+                    heavy = own[weight[own] >= LEAST_WEIGHT]
+                    found.append(heavy if len(heavy) >= TELLING else own)
+                yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["bin"])
 
     bins = np.sort(map_arrow(items, used, "bin long").distinct().toArrow().column("bin").to_numpy())  # at most TERM_BINS
     out = np.full(TERM_BINS, -1, np.int32)
@@ -124,8 +133,9 @@ def _gram(items: DataFrame, weight: np.ndarray, rows_of: np.ndarray, matrix: np.
                 bins = t.bins
                 for a, b in zip(*(x.tolist() for x in passages(t.first)[1:])):
                     at, tf = np.unique(bins[a:b], return_counts=True)
+                    at, tf = at[row[at] >= 0], tf[row[at] >= 0]
                     v = w[at] * tf
-                    v /= np.linalg.norm(v)
+                    v /= max(np.linalg.norm(v), 1e-12)
                     at = row[at]
                     total[at] += v[:, None] * (v @ m[at])
         some = np.flatnonzero(total.any(axis=1))
@@ -183,13 +193,29 @@ class Queries:
             self.words += [t.hashes[a:b].tolist() for a, b in zip(t.first[:-1], t.first[1:])]
             bins = t.bins
             for item, a, b in zip(*(x.tolist() for x in passages(t.first))):
-                rows.append(weight[bins[a:b]] @ directions[rows_of[bins[a:b]]])
+                telling = bins[a:b][rows_of[bins[a:b]] >= 0]
+                rows.append(weight[telling] @ directions[rows_of[telling]])
                 self.item.append(base + item)
         table = np.array(rows, np.float32).reshape(-1, directions.shape[1])
         norm = np.linalg.norm(table, axis=1)
         self.item = np.array(self.item, np.int64)[norm > 0]
+        self.size = np.array([len(x) for x in self.words], np.int64)
+        self.known = np.unique(np.array([w for x in self.words for w in x], np.uint64))
+        bins = (mix(self.known) & np.uint64(TERM_BINS - 1)).astype(np.int64)
+        telling = rows_of[bins] >= 0
+        number = [np.searchsorted(self.known, np.array(x, np.uint64)) for x in self.words]
+        self.own = [np.unique(x[telling[x]]) for x in number]
+        #: Telling words that must be there if PARAPHRASE of all are: the others may all be.
+        self.least = np.array([max(1, np.ceil(PARAPHRASE * len(x)) - (~telling[x]).sum()) for x in number])
         self.table = np.ascontiguousarray((table[norm > 0] / norm[norm > 0, None]).T)
 
+    def numbers(self, hashes: np.ndarray) -> np.ndarray:
+        """The number of each word among the items' words; -1 for others."""
+        if not len(self.known):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
+        return np.where(self.known[at] == hashes, at, -1)
+
     def confirm(self, item: int, words: np.ndarray) -> tuple[float, str] | None:
         own = self.words[item]
         near = words.tolist()
@@ -215,34 +241,42 @@ def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
         if not len(text):
             continue
         bins = t.bins
-        # the known terms' vectors are summed between marks; a passage is the sum of a few such blocks
-        at = np.flatnonzero(known[bins])
-        marks = np.unique(np.concatenate([begin, end]))
-        cut = np.searchsorted(at, marks)
-        energy = np.concatenate([[0.0], np.cumsum(square[bins])])
-        near = np.concatenate([[0.0], np.cumsum((square * known)[bins])])
-        worth = near[end] - near[begin] >= LEAST_ENERGY * (energy[end] - energy[begin])
+        mass = square[bins]
+        energy = np.concatenate([[0.0], np.cumsum(mass)])
+        near = np.concatenate([[0.0], np.cumsum(mass * known[bins])])
+        own = np.concatenate([[0], np.cumsum(known[bins])])
+        worth = (near[end] - near[begin] >= LEAST_SHARE * (energy[end] - energy[begin])) & (own[end] > own[begin])
         text, begin, end = text[worth], begin[worth], end[worth]
         if not len(text):
             continue
-        vector = weight[bins[at], None] * directions[rows_of[bins[at]]]
-        full = np.flatnonzero(np.diff(cut) > 0)
-        block = np.zeros((len(marks), directions.shape[1]), np.float32)
-        if len(full):
-            block[full] = np.add.reduceat(vector, cut[full], axis=0)
-        m0, m1 = np.searchsorted(marks, begin), np.searchsorted(marks, end)
-        p = np.zeros((len(text), directions.shape[1]), np.float32)
-        for k in range(int((m1 - m0).max())):
-            more = np.flatnonzero(m0 + k < m1)
-            p[more] += block[m0[more] + k]
+        size = end - begin
+        at = ranges(begin, size)
+        of = np.repeat(np.arange(len(text)), size)
+        some = known[bins[at]]
+        at, of = bins[at[some]], of[some]
+        vector = weight[at, None] * directions[rows_of[at]]
+        first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # each passage has known terms
+        p = np.add.reduceat(vector, first, axis=0)
         norm = np.linalg.norm(p, axis=1)
-        some = np.flatnonzero(norm * norm >= LEAST_ENERGY * (energy[end] - energy[begin]))
         best: dict[tuple[int, int], list[tuple[float, int]]] = {}
-        for k in range(0, len(some), 2048):
-            part = some[k : k + 2048]
-            cosine = (p[part] / norm[part, None]) @ queries.table
-            for i, j in zip(*(x.tolist() for x in np.nonzero(cosine >= CANDIDATE))):
-                best.setdefault((int(text[part[i]]), int(queries.item[j])), []).append((float(cosine[i, j]), int(begin[part[i]])))
+        number = queries.numbers(t.hashes)
+        held = np.flatnonzero(number >= 0)
+        number, belongs = number[held], np.zeros(len(queries.known), bool)
+        for k in range(0, len(text), 2048):
+            cosine = (p[k : k + 2048] / np.maximum(norm[k : k + 2048, None], 1e-12)) @ queries.table
+            i, j = np.nonzero(cosine >= CANDIDATE)
+            value, i, item = cosine[i, j], i + k, queries.item[j]
+            # no more telling words can stand in common order than are there at all
+            low = np.maximum(begin[i] - queries.size[item], t.first[text[i]])
+            high = np.minimum(begin[i] + PASSAGE + queries.size[item], t.first[text[i] + 1])
+            for one in np.unique(item).tolist():
+                mine = np.flatnonzero(item == one)
+                belongs[queries.own[one]] = True
+                shared_words = np.concatenate([[0], np.cumsum(belongs[number])])
+                belongs[queries.own[one]] = False
+                common = shared_words[np.searchsorted(held, high[mine])] - shared_words[np.searchsorted(held, low[mine])]
+                for x in mine[common >= queries.least[one]].tolist():
+                    best.setdefault((int(text[i[x]]), one), []).append((float(value[x]), int(begin[i[x]])))
         for (doc, item), hits in best.items():
             size = len(queries.words[item])
             for cosine_, place in sorted(hits, reverse=True):
@@ -261,7 +295,7 @@ def _searches(texts: DataFrame, benchmark: DataFrame) -> list:
     spark = texts.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     weight = inverse_frequency(texts)
-    rows_of = vocabulary(items.select("text"))
+    rows_of = vocabulary(items.select("text"), weight)
     if rows_of.max() < 0:
         return []
     directions = latent_directions(items.select("text"), weight, rows_of)
