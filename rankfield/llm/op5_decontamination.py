@@ -3,14 +3,18 @@
 Texts are cut into passages of PASSAGE words that begin every STRIDE words;
 terms are lower-cased words without marks, hashed to TERM_BINS, and weighted by
 inverse document frequency over all documents.  A randomised SVD of the
-benchmark's TF-IDF passages gives LATENT directions: products of the passages'
-Gram matrix with a random matrix are summed over the cluster, and only
-matrices of at most TERM_BINS by LATENT, with a row for each term of the
-benchmark, come to the driver.
+benchmark's TF-IDF passages gives as many directions as it has passages, so that
+each keeps its whole length, up to MOST_LATENT, or LATENT if there are so many
+terms that matrices would be larger than TERM_BINS by LATENT: products of the
+passages' Gram matrix with a random matrix are summed over the cluster, and only
+matrices with a row for each term of the benchmark come to the driver.
 
 Every passage of every document is projected and compared by cosine with every
-benchmark passage, in blocks of BLOCK_ITEMS items.  Candidates are confirmed on
-the words: the longest common subsequence of item and neighbourhood must hold
+benchmark passage, in blocks of BLOCK_ITEMS items.  It is also compared with the
+benchmark passages' own TF-IDF vectors: whatever else it says, it is a candidate
+if it has terms that make CONTAINED of a benchmark passage's squared weight, which
+finds copies of short items and of those that the directions keep poorly.  (Their
+cosine is still that of the latent space.)  Candidates are confirmed on the words: the longest common subsequence of item and neighbourhood must hold
 VERBATIM of the item's words, or PARAPHRASE of them together with ANSWER of the
 item's last words (its answer).
 
@@ -36,6 +40,7 @@ PASSAGE = 32
 STRIDE = 16
 TERM_BINS = 1 << 16
 LATENT = 128
+MOST_LATENT = 512
 POWER_STEPS = 2
 #: Terms of less weight (in a tenth of all documents) are left to the comparison of words, if an item has at least TELLING others.
 LEAST_WEIGHT = 2.3
@@ -43,11 +48,14 @@ TELLING = 3
 #: Of a passage's squared length, terms that the benchmark has must make this share; a passage with a third of its words from an item has more.
 LEAST_SHARE = 0.15
 CANDIDATE = 0.6
+CONTAINED = 0.5
 VERBATIM = 0.8
 PARAPHRASE = 0.6
 ANSWER = 0.5
 ANSWER_WORDS = 8
 BLOCK_ITEMS = 4096
+#: Pairs of a passage and a benchmark passage whose shared weight is summed at once.
+BLOCK_PAIRS = 1 << 21
 #: Texts are searched about so many bytes at a time.
 GROUP_BYTES = 1 << 19
 
@@ -159,9 +167,19 @@ def _gram(items: DataFrame, weight: np.ndarray, rows_of: np.ndarray, matrix: np.
     return out
 
 
-def latent_directions(items: DataFrame, weight: np.ndarray, rows_of: np.ndarray, latent: int = LATENT) -> np.ndarray:
+def count_passages(items: DataFrame) -> int:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = sum(len(passages(terms(buf, off).first)[0]) for _, _, buf, off in text_groups(batch.column("text")))
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    return map_arrow(items, count, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def latent_directions(items: DataFrame, weight: np.ndarray, rows_of: np.ndarray) -> np.ndarray:
     """Right singular vectors of the benchmark's passages, a row a term that it has."""
     size = int(rows_of.max()) + 1
+    latent = min(max(LATENT, count_passages(items)), MOST_LATENT, max(LATENT, LATENT * TERM_BINS // size))
     basis = np.random.default_rng(5).standard_normal((size, min(latent, max(size, 1))))
     for _ in range(POWER_STEPS):
         basis = np.linalg.qr(_gram(items, weight, rows_of, basis))[0]
@@ -187,6 +205,7 @@ class Queries:
 
     def __init__(self, ids: list, texts: pa.Array, weight: np.ndarray, rows_of: np.ndarray, directions: np.ndarray):
         self.ids, self.words, rows, self.item = ids, [], [], []
+        held, square = [], weight.astype(np.float64) ** 2
         for _, _, buf, off in text_groups(texts):
             t = terms(buf, off)
             base = len(self.words)
@@ -195,10 +214,12 @@ class Queries:
             for item, a, b in zip(*(x.tolist() for x in passages(t.first))):
                 telling = bins[a:b][rows_of[bins[a:b]] >= 0]
                 rows.append(weight[telling] @ directions[rows_of[telling]])
+                own = np.unique(telling)
+                held.append((rows_of[own], square[own] / max(square[own].sum(), 1e-12)))
                 self.item.append(base + item)
         table = np.array(rows, np.float32).reshape(-1, directions.shape[1])
         norm = np.linalg.norm(table, axis=1)
-        self.item = np.array(self.item, np.int64)[norm > 0]
+        self.item = np.array(self.item, np.int64)
         self.size = np.array([len(x) for x in self.words], np.int64)
         self.known = np.unique(np.array([w for x in self.words for w in x], np.uint64))
         bins = (mix(self.known) & np.uint64(TERM_BINS - 1)).astype(np.int64)
@@ -207,7 +228,32 @@ class Queries:
         self.own = [np.unique(x[telling[x]]) for x in number]
         #: Telling words that must be there if PARAPHRASE of all are: the others may all be.
         self.least = np.array([max(1, np.ceil(PARAPHRASE * len(x)) - (~telling[x]).sum()) for x in number])
-        self.table = np.ascontiguousarray((table[norm > 0] / norm[norm > 0, None]).T)
+        self.table = np.ascontiguousarray((table / np.maximum(norm[:, None], 1e-12)).T)
+        # benchmark passages by term, with the share of their squared weight that it makes
+        row = np.concatenate([np.zeros(0, np.int64), *(x for x, _ in held)]).astype(np.int64)
+        order = np.argsort(row, kind="stable")
+        self.holder = np.repeat(np.arange(len(held)), [len(x) for x, _ in held])[order]
+        self.share = np.concatenate([np.zeros(0), *(x for _, x in held)])[order]
+        self.begins = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(directions)))])
+
+    def contained(self, row: np.ndarray, of: np.ndarray, many: int) -> tuple[np.ndarray, np.ndarray]:
+        """Passage and benchmark passage where the first has CONTAINED of the second's weight; row, of: each known term of many passages, ascending in of."""
+        terms_, width = len(self.begins) - 1, len(self.item)
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        if not width:
+            return found[0]
+        key = np.unique(of * terms_ + row)
+        of, row = key // terms_, key % terms_
+        step = max(1, BLOCK_PAIRS // width)
+        for k in range(0, many, step):
+            a, b = np.searchsorted(of, [k, k + step])
+            n = np.diff(self.begins)[row[a:b]]
+            at = ranges(self.begins[row[a:b]], n)
+            size = min(step, many - k) * width
+            total = np.bincount(np.repeat(of[a:b] - k, n) * width + self.holder[at], self.share[at], size)
+            hit = np.flatnonzero(total >= CONTAINED)
+            found.append((hit // width + k, hit % width))
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
         """The number of each word among the items' words; -1 for others."""
@@ -245,26 +291,38 @@ def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
         energy = np.concatenate([[0.0], np.cumsum(mass)])
         near = np.concatenate([[0.0], np.cumsum(mass * known[bins])])
         own = np.concatenate([[0], np.cumsum(known[bins])])
-        worth = (near[end] - near[begin] >= LEAST_SHARE * (energy[end] - energy[begin])) & (own[end] > own[begin])
-        text, begin, end = text[worth], begin[worth], end[worth]
+        some = own[end] > own[begin]
+        text, begin, end = text[some], begin[some], end[some]
         if not len(text):
             continue
+        worth = near[end] - near[begin] >= LEAST_SHARE * (energy[end] - energy[begin])
         size = end - begin
         at = ranges(begin, size)
         of = np.repeat(np.arange(len(text)), size)
         some = known[bins[at]]
         at, of = bins[at[some]], of[some]
+        held_in, held = queries.contained(rows_of[at].astype(np.int64), of, len(text))
+        worth[held_in] = True
+        if not worth.any():
+            continue
+        place = np.cumsum(worth) - 1
+        some = worth[of]
+        at, of, held_in = at[some], place[of[some]], place[held_in]
+        text, begin, end = text[worth], begin[worth], end[worth]
         vector = weight[at, None] * directions[rows_of[at]]
         first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))  # each passage has known terms
         p = np.add.reduceat(vector, first, axis=0)
         norm = np.linalg.norm(p, axis=1)
         best: dict[tuple[int, int], list[tuple[float, int]]] = {}
         number = queries.numbers(t.hashes)
-        held = np.flatnonzero(number >= 0)
-        number, belongs = number[held], np.zeros(len(queries.known), bool)
+        common_at = np.flatnonzero(number >= 0)
+        number, belongs = number[common_at], np.zeros(len(queries.known), bool)
         for k in range(0, len(text), 2048):
             cosine = (p[k : k + 2048] / np.maximum(norm[k : k + 2048, None], 1e-12)) @ queries.table
-            i, j = np.nonzero(cosine >= CANDIDATE)
+            hit = cosine >= CANDIDATE
+            x, y = np.searchsorted(held_in, [k, k + 2048])
+            hit[held_in[x:y] - k, held[x:y]] = True
+            i, j = np.nonzero(hit)
             value, i, item = cosine[i, j], i + k, queries.item[j]
             # no more telling words can stand in common order than are there at all
             low = np.maximum(begin[i] - queries.size[item], t.first[text[i]])
@@ -274,7 +332,7 @@ def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
                 belongs[queries.own[one]] = True
                 shared_words = np.concatenate([[0], np.cumsum(belongs[number])])
                 belongs[queries.own[one]] = False
-                common = shared_words[np.searchsorted(held, high[mine])] - shared_words[np.searchsorted(held, low[mine])]
+                common = shared_words[np.searchsorted(common_at, high[mine])] - shared_words[np.searchsorted(common_at, low[mine])]
                 for x in mine[common >= queries.least[one]].tolist():
                     best.setdefault((int(text[i[x]]), one), []).append((float(value[x]), int(begin[i[x]])))
         for (doc, item), hits in best.items():

@@ -305,3 +305,18 @@ def test_contamination_odd_rows(docs_of, odd_docs, spark):
     some = spark.createDataFrame([(1, "no id"), (2, None)], "item_id long, text string")
     assert contamination(odd_docs, some).count() == 2  # two rows hold it
     assert contamination(docs_of([]), some).count() == 0
+
+
+def test_copies_of_many_short_items(spark, docs_of):
+    r = random.Random(9)
+    common, rare = [f"c{k}" for k in range(60)], ["".join(r.choices("abcdefghij", k=6)) for _ in range(2500)]
+    word = lambda: r.choice(common) if r.random() < 0.4 else r.choice(rare)
+    items = [[word() for _ in range(r.choice([6, 8, 12, 20, 60]))] for _ in range(600)]  # more passages than directions
+    rows = []
+    for k, item in enumerate(items):
+        words = [word() for _ in range(r.randint(80, 300))]
+        at = r.randrange(len(words))
+        rows.append((k, " ".join(words[:at] + item + words[at:])))
+    bench = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(x["doc_id"], x["item_id"]) for x in contamination(docs_of(rows), bench).collect()}
+    assert {(k, k) for k in range(600)} <= got
