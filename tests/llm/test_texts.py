@@ -259,6 +259,14 @@ def test_training_lowers_the_loss():
     assert np.mean(losses[-5:]) < 0.3 * np.mean(losses[:5])
 
 
+def test_classes_and_span_are_not_cut():
+    classes = A.Classes(np.arange(1000, 0, -1))
+    assert len(np.unique(classes.of)) >= 192 and len(np.unique(classes.of[:168])) == 168
+    assert np.bincount(classes.of)[classes.of[:168]].max() == 1
+    _, _, real, _ = A.window_table(np.arange(200), np.array([0, 200]), 200)
+    assert np.nonzero(real[1:])[1].min() + 1 >= 9 and real.shape[1] >= 32  # told from nine subwords at least
+
+
 # --- op5
 
 
