@@ -2,7 +2,8 @@
 
 A regular expression proposes spans, a validator confirms them (Luhn for card
 numbers, modulo 97 for bank accounts, ranges for addresses and digit counts),
-and context words shortly before a span adjust its score.  Spans of the base
+and context words within CONTEXT characters before or after a span adjust its score,
+whatever other matches stand there.  Spans of the base
 kinds (email, ip, card, phone) stay whenever the validator holds; the kinds
 that the method adds (iban, ssn, local phone) stay from score THRESHOLD.
 
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 
 from rankfield.llm.core import docs_table
 
-#: Characters before a span that are searched for context words.
+#: Characters before a span, and after it, that are searched for context words.
 CONTEXT = 40
 THRESHOLD = 0.5
 
@@ -85,37 +86,59 @@ class Kind:
     alone: float
     near: float
     context: str
+    #: Characters of the shortest match.
+    least: int
     base: bool = True
 
 
 KINDS = (
-    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", _always, 0.9, 1.0, "mail|contact|write to"),
-    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", _ip, 0.7, 0.9, r"\bip\b|address|host|server"),
-    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9](?:[\\x20-]?[0-9]){12}", _card, 0.8, 1.0, "card|visa|master|credit|debit|karte|carte|tarjeta"),
-    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", _phone, 0.7, 0.95, "phone|tel|call|mobile|fax"),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", _iban, 0.9, 1.0, "iban|account|konto|compte|cuenta", False),
-    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", _ssn, 0.4, 0.9, r"\bssn\b|social security", False),
-    Kind("local_phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", "[0-9]{3}[ .-][0-9]{4}", _always, 0.3, 0.7, "phone|tel|call|mobile|fax", False),
+    Kind("email", r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@", _always, 0.9, 1.0, "mail|contact|write to", 5),
+    Kind("ip", r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", r"[0-9]\.[0-9]", _ip, 0.7, 0.9, r"\bip\b|address|host|server", 7),
+    Kind("card", r"[0-9](?:[\x20-]?[0-9])++", "[0-9](?:[\\x20-]?[0-9]){12}", _card, 0.8, 1.0, "card|visa|master|credit|debit|karte|carte|tarjeta", 2),
+    Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", _phone, 0.7, 0.95, "phone|tel|call|mobile|fax", 4),
+    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "[A-Z]{2}[0-9]{2} ?[A-Z0-9]{4}", _iban, 0.9, 1.0, "iban|account|konto|compte|cuenta", 12, False),
+    Kind("ssn", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "[0-9]{3}-[0-9]{2}-[0-9]{4}", _ssn, 0.4, 0.9, r"\bssn\b|social security", 11, False),
+    Kind("local_phone", r"(?<![0-9+.-])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9.-])", "[0-9]{3}[ .-][0-9]{4}", _always, 0.3, 0.7, "phone|tel|call|mobile|fax", 12, False),
 )
 BASE = tuple(k.name for k in KINDS if k.base)
 
 
+def _found(kind: Kind, text: Column) -> Column:
+    """The matches m, each with the text p since the last one; at the end the rest of the text, with no match."""
+    return F.arrays_zip(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
+
+
+def _each(found: Column, function: Callable[[Column, Column, Column], Column]) -> Column:
+    """function of found, element and index, for each; found is made once, not again for each element."""
+    return F.transform(F.array(found), lambda all_: F.transform(all_, lambda x, i: function(all_, x, i)))[0]
+
+
+def _context(kind: Kind, found: Column, x: Column, i: Column) -> Column:
+    """CONTEXT characters before and after match i, a line each, put together from as many neighbours as can stand there."""
+    many = -(-CONTEXT // kind.least)
+    last = lambda c: F.right(c, F.lit(CONTEXT))
+    first = lambda c: F.left(F.coalesce(c, F.lit("")), F.lit(CONTEXT))
+    before = F.transform(F.slice(found, F.greatest(i - many, F.lit(0)) + 1, F.least(i, F.lit(many))), lambda y: F.concat(last(y["p"]), last(y["m"])))
+    after = F.transform(F.slice(found, i + 2, F.lit(many + 1)), lambda y: F.concat(first(y["p"]), first(y["m"])))
+    return F.concat(last(F.concat(F.array_join(before, ""), last(x["p"]))), F.lit("\n"), first(F.array_join(after, "")))
+
+
 def _matches(kind: Kind, number: int, text: Column) -> Column:
-    """kind, the length of the text before the match since the last one, the match, and its context."""
-    found = F.arrays_zip(F.regexp_extract_all(text, F.lit(kind.pattern), F.lit(0)).alias("m"), F.split(text, kind.pattern, -1).alias("p"))
-    rows = F.transform(
-        F.filter(found, lambda x: x["m"].isNotNull()),
-        lambda x: F.struct(F.lit(number).alias("kind"), F.length(x["p"]).alias("gap"), x["m"].alias("value"), F.right(x["p"], F.lit(CONTEXT)).alias("before")),
+    """kind, the length of the text before the match since the last one, the match, and its context if it is valid."""
+    rows = _each(
+        _found(kind, text),
+        lambda found, x, i: F.struct(F.lit(number).alias("kind"), F.length(x["p"]).alias("gap"), x["m"].alias("value"), F.when(kind.valid(x["m"]), _context(kind, found, x, i)).alias("near")),
     )
-    return F.when(text.rlike(kind.hint), rows).otherwise(F.array().cast("array<struct<kind:int,gap:int,value:string,before:string>>"))
+    rows = F.filter(rows, lambda x: x["value"].isNotNull())
+    return F.when(text.rlike(kind.hint), rows).otherwise(F.array().cast("array<struct<kind:int,gap:int,value:string,near:string>>"))
 
 
-def _score(value: Column, before: Column, kind: Column) -> Column:
-    """Zero if the validator fails."""
+def _score(near: Column, kind: Column) -> Column:
+    """Zero without a context, which a match has whose validator holds."""
     out = F.lit(0.0)
     for number, k in enumerate(KINDS):
-        own = F.when(F.lower(before).rlike(k.context), F.lit(k.near)).otherwise(F.lit(k.alone))
-        out = F.when(kind == number, F.when(k.valid(value), own).otherwise(F.lit(0.0))).otherwise(out)
+        own = F.when(F.lower(near).rlike(k.context), F.lit(k.near)).otherwise(F.lit(k.alone))
+        out = F.when((kind == number) & near.isNotNull(), own).otherwise(out)
     return out
 
 
@@ -130,7 +153,7 @@ def pii_spans(docs: DataFrame) -> DataFrame:
     order = Window.partitionBy("row", "kind").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     size = F.length("value")
     placed = found.withColumn("end", F.sum(F.col("gap") + size).over(order)).withColumn("start", F.col("end") - size)
-    scored = placed.withColumn("score", _score(F.col("value"), F.col("before"), F.col("kind")))
+    scored = placed.withColumn("score", _score(F.col("near"), F.col("kind")))
     base = F.col("kind") < len(BASE)
     kept = (base & (F.col("score") > 0)) | (~base & (F.col("score") >= THRESHOLD))
     name = F.element_at(F.array(*(F.lit(k.name) for k in KINDS)), F.col("kind") + 1)
@@ -151,15 +174,18 @@ def pii(docs: DataFrame) -> DataFrame:
     return lists.select("doc_id", *(f"n_{k.name}" for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
 
 
-def _redact_one(text: Column, k: Kind) -> Column:
-    found = F.arrays_zip(F.split(text, k.pattern, -1).alias("p"), F.regexp_extract_all(text, F.lit(k.pattern), F.lit(0)).alias("m"))
+#: What redaction of a kind leaves; no context word of another kind.
+_MARKS = r"\[(?:" + "|".join(k.name.upper() for k in KINDS) + r")\]"
 
-    def put(x: Column) -> Column:
-        score = F.when(F.lower(F.right(x["p"], F.lit(CONTEXT))).rlike(k.context), F.lit(k.near)).otherwise(F.lit(k.alone))
+
+def _redact_one(text: Column, k: Kind) -> Column:
+    def put(found: Column, x: Column, i: Column) -> Column:
+        near = F.regexp_replace(_context(k, found, x, i), _MARKS, " ")
+        score = F.when(F.lower(near).rlike(k.context), F.lit(k.near)).otherwise(F.lit(k.alone))
         gone = k.valid(x["m"]) & (F.lit(True) if k.base else score >= THRESHOLD)
         return F.concat(x["p"], F.when(x["m"].isNull(), F.lit("")).when(gone, F.lit(f"[{k.name.upper()}]")).otherwise(x["m"]))
 
-    return F.when(text.rlike(k.hint), F.array_join(F.transform(found, put), "")).otherwise(text)
+    return F.when(text.rlike(k.hint), F.array_join(_each(_found(k, text), put), "")).otherwise(text)
 
 
 def redact(docs: DataFrame) -> DataFrame:
