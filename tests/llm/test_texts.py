@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankfield.llm import attention as A
 from rankfield.llm import op3_quality_rules as op3
+from rankfield.llm import op7_lm_scoring as op7
 from rankfield.llm.op1_pii import pii, pii_spans, redact
 from rankfield.llm.op2_language_id import language_id
 from rankfield.llm.op5_decontamination import common_subsequence, contamination, uncontaminated
@@ -182,8 +183,6 @@ def test_toxicity_odd_rows(spark, docs_of, odd_docs):
 
 
 def test_word_counts(docs_of, odd_docs, monkeypatch):
-    import rankfield.llm.op7_lm_scoring as op7
-
     monkeypatch.setattr(op7, "FREQUENT", 20)
     monkeypatch.setattr(op7, "TRAIN_STEPS", 5)
     r = random.Random(5)
@@ -231,7 +230,8 @@ def test_each_token_is_scored_once():
 def test_scores_by_windows_equal_plain_ones():
     r = np.random.default_rng(2)
     counts = r.integers(1, 50, 300)
-    classes, model = A.Classes(counts), A.Attention()
+    group = r.integers(0, A.GROUPS, 300)
+    classes, model = A.Classes(counts, group, r.integers(0, 9, (300, A.GROUPS))), A.Attention()
     ids = r.integers(0, 299, 130)
     got = A.score_texts(model, classes, ids, np.array([0, 30, 31, 130]), 299)
     for (a, b), score in zip(((0, 30), (30, 31), (31, 130)), got):
@@ -243,13 +243,62 @@ def test_scores_by_windows_equal_plain_ones():
             rows[0, : len(seen)] = classes.row[seen]
             h = model.forward(rows)[-1][0, len(seen) - 1].astype(np.float64)
             z = h @ model.w["c"] + model.w["b"]
-            want += (z[classes.of[text[k]]] - np.log(np.exp(z).sum())) / np.log(10) + classes.within[text[k]]
+            want += (z[classes.of[text[k]]] - np.log(np.exp(z).sum())) / np.log(10) + classes.within_log10(299 if k == 0 else text[k - 1], text[k])
         assert score == pytest.approx(want, abs=1e-3)
 
 
 def test_class_probabilities_sum_to_one():
-    classes = A.Classes(np.random.default_rng(3).integers(0, 9, 1000))
-    assert np.bincount(classes.of, 10**classes.within, A.CLASSES)[np.unique(classes.of)] == pytest.approx(1)
+    r = np.random.default_rng(3)
+    counts = r.integers(0, 9, 1000)
+    for classes in (A.Classes(counts), A.Classes(counts, r.integers(0, A.GROUPS, 1000), r.integers(0, 5, (1000, A.GROUPS)))):
+        for within in classes.within:
+            assert np.bincount(classes.of, 10**within, A.CLASSES)[np.unique(classes.of)] == pytest.approx(1, abs=1e-4)
+
+
+def test_clusters_tell_two_languages_apart():
+    r = np.random.default_rng(8)
+    counts = r.integers(5, 50, 600)
+    after = np.zeros((600, A.GROUPS))
+    for k in range(600):  # even ids follow the first half of the groups, odd ones the second
+        np.add.at(after[k], r.integers(0, A.GROUPS // 2, counts[k]) + (k % 2) * A.GROUPS // 2, 1)
+    classes = A.Classes(counts, np.zeros(600, np.int64), after)
+    for c in range(A.COMMON, A.CLASSES):
+        assert len({k % 2 for k in np.flatnonzero(classes.of == c)}) <= 1
+
+
+def test_every_training_text_teaches():
+    r = np.random.default_rng(9)
+    size = r.integers(1, 600, 200)
+    at = np.concatenate([[0], np.cumsum(size)])
+    ids = r.integers(0, 999, at[-1])
+    some = np.frombuffer(b"".join(op7.taught(ids, at, 999)), "<i4").reshape(-1, 2, A.SPAN)
+    text, _ = A.windows(size)
+    assert len(some) >= max(200, len(text) // op7.WINDOW_SHARE)
+    before, target, real, _ = A.window_table(ids, at, 999)
+    whole = {x.tobytes() for x in np.concatenate([before, np.where(real, target, -1)], axis=1).astype("<i4")}
+    assert {x.tobytes() for x in some.reshape(len(some), -1)} <= whole
+
+
+def test_rounds_average_the_tasks(spark):
+    """The start on the driver and the rounds over partitions leave a model that has learned."""
+    r = np.random.default_rng(10)
+    ids = np.arange(600_000) % 50
+    at = np.arange(0, 600_001, 60)
+    counts = np.bincount(ids, minlength=300)
+    classes = A.Classes(counts)
+    rows = [(int(x), w) for x, w in zip(r.integers(-(1 << 62), 1 << 62, 10_000), op7.taught(ids, at, 299))]
+    model = op7.fit_network(spark.createDataFrame(rows, "lot long, w binary").repartition(4), classes)
+    got = A.score_texts(model, classes, ids[:3000], np.array([0, 3000]), 299)[0] / 3000
+    assert got > -0.5  # fifty ids in turn
+
+
+def test_model_beats_word_counts_on_held_out_rows(spark):
+    mean = {}
+    for table in ("sf0.01", "sf0.1"):
+        x = lm_scores(spark.read.parquet(f"/root/testdata/{table}/documents.parquet")).where("held_out").selectExpr("sum(score) / sum(n_tokens)", "sum(base_score) / sum(n_tokens)").first()
+        mean[table] = tuple(x)
+    assert mean["sf0.1"][0] > mean["sf0.1"][1] + 0.15
+    assert mean["sf0.1"][0] > mean["sf0.01"][0] + 0.1  # it learns from what it is given
 
 
 def test_training_lowers_the_loss():
