@@ -30,7 +30,7 @@ BATCH_BYTES = 4 << 20
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_BYTE = np.random.default_rng(20240131).integers(1, 1 << 63, 256, dtype=np.uint64)
+_BYTES = np.random.default_rng(20240131).integers(1, 1 << 63, (2, 256), dtype=np.uint64)
 _powers: dict[str, np.ndarray] = {}
 
 
@@ -54,11 +54,11 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand."""
+def span_hashes(buf: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
+    """A 64-bit hash of each byte span; equal bytes give equal hashes wherever they stand.  There are two, independent of each other."""
     up, down = _power(len(buf) + 1)
     total = np.zeros(len(buf) + 1, np.uint64)
-    np.take(_BYTE, buf, out=total[1:], mode="clip")
+    np.take(_BYTES[which], buf, out=total[1:], mode="clip")
     total[1:] *= up[: len(buf)]
     np.cumsum(total, out=total)
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
@@ -96,8 +96,8 @@ class Words:
     def __len__(self) -> int:
         return len(self.off) - 1
 
-    def hashes(self) -> np.ndarray:
-        return span_hashes(self.buf, self.start, self.end)
+    def hashes(self, which: int = 0) -> np.ndarray:
+        return span_hashes(self.buf, self.start, self.end, which)
 
     def doc(self) -> np.ndarray:
         """The text of each word."""

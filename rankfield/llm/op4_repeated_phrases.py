@@ -4,23 +4,23 @@ A passage that occurs twice shares windows of WINDOW words.  Each window is
 represented by one of its phrases of PHRASE words, the one of least hash, so
 equal windows have equal phrases at equal places and neighbouring windows
 mostly share theirs.  Phrases that represent windows in two places are
-confirmed as recurring by one count over all documents, and each shard of
-documents gets those that occur in it.
+confirmed as recurring by their words, in one sort over all documents, and each
+shard of documents is sent the words of those that it needs.
 
-A shard compiles its recurring phrases into Aho-Corasick automata of at most
-AUTOMATON phrases over word numbers, streams all its documents through them and
-so locates every occurrence.  The windows that a located phrase represents are
-candidates; their hashes are compared over all documents, and every occurrence
-but the first (by doc_id, then by place) is removed.  Repeats within a shard are
-settled there, so a passage that a third of all documents hold sends one row a
-shard into the comparison.
+A shard compiles the phrases it was sent into Aho-Corasick automata of at most
+AUTOMATON phrases, streams all its documents through them and so locates every
+occurrence.  Only windows whose phrase was located are candidates; they are
+compared over all documents by 96 bits of two independent hashes of their
+words, and every occurrence but the first (by doc_id, then by place) is
+removed.  Repeats within a shard are settled there, so a passage that a third
+of all documents hold sends one row a shard into the comparison.
 
 Shards are of about SHARD_BYTES of text: their number grows with the input and
 their size does not.
 
-Null texts have no words.  Rows with the same doc_id count as separate texts
-in the order of their texts; null doc_ids come first.  An empty table gives no
-rows.
+Null texts have no words.  Rows with the same doc_id count as separate texts in
+an order that their texts fix; null doc_ids come first.  Rows alike in doc_id
+and text are in one shard.  An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,13 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.core import Words, docs_table, grouped, map_arrow, text_groups, written
+from rankfield.llm.core import Words, docs_table, grouped, map_arrow, ranges, text_groups, written
 
 WINDOW = 20
-PHRASE = 10
+PHRASE = 6
 #: Phrases to an automaton.
 AUTOMATON = 100_000
 SHARD_BYTES = 3 << 19
@@ -56,8 +57,19 @@ def representatives(w: Words, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     return windows, windows + span[windows].argmin(axis=1), full
 
 
+def lined_up(w: Words) -> tuple[np.ndarray, np.ndarray]:
+    """Each text's words between single blanks, on a line of its own; and where each word starts."""
+    size = w.end - w.start
+    at = np.cumsum(size + 1) - size + 2 * w.doc()
+    out = np.full(int(size.sum()) + len(size) + 2 * len(w), 32, np.uint8)
+    out[ranges(at, size)] = w.buf[ranges(w.start, size)]
+    last = np.cumsum(np.bincount(w.doc(), size + 1, len(w)).astype(np.int64) + 2) - 1
+    out[last] = 10
+    return out, at
+
+
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """phrase, shard, and n: 1, or 2 if it occurs more than once among neighbouring rows."""
+    """phrase (its words between blanks), shard, and n: 1, or 2 if it occurs more than once among neighbouring rows."""
     for batch, buf, off in grouped(batches):
         w = Words(buf, off)
         _, chosen, phrase = representatives(w, w.hashes())
@@ -65,12 +77,18 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(chosen):
             continue
         shard = batch.column("shard").to_numpy()[w.doc()[chosen]].astype(np.int64)
-        p = phrase[chosen].view(np.int64)
-        order = np.lexsort((shard, p))
-        p, shard = p[order], shard[order]
+        order = np.lexsort((shard, phrase[chosen]))
+        chosen, shard = chosen[order], shard[order]
+        p = phrase[chosen]
         first = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1]) | (shard[1:] != shard[:-1])]))
         n = np.diff(np.concatenate([first, [len(p)]]))
-        yield pa.RecordBatch.from_arrays([pa.array(p[first]), pa.array(shard[first].astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int8))], ["phrase", "shard", "n"])
+        line, at = lined_up(w)
+        begin = at[chosen[first]] - 1
+        last = chosen[first] + PHRASE - 1
+        size = at[last] + w.end[last] - w.start[last] + 1 - begin
+        bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(line[ranges(begin, size)])])
+        yield pa.RecordBatch.from_arrays([words, pa.array(shard[first].astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int8))], ["phrase", "shard", "n"])
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -80,42 +98,42 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
-        t = pa.Table.from_batches([batch] if held is None else [held, batch])
-        p, s, n = (t.column(x).to_numpy() for x in ("phrase", "shard", "n"))
-        same = p[1:] == p[:-1]
-        keep = n > 1
+        t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
+        p, s = t.column("phrase").combine_chunks(), t.column("shard").combine_chunks()
+        keep = t.column("n").to_numpy() > 1
+        same = pc.equal(p[1:], p[:-1]).to_numpy(zero_copy_only=False)
         keep[1:] |= same
         keep[:-1] |= same
-        if sent and before == p[0]:
-            keep[p == p[0]] = True
-        out = np.flatnonzero(keep[:-1])
-        sent, before = (bool(keep[-2]), p[-2]) if len(p) > 1 else (sent, before)
-        sent = sent and before == p[-1]
-        held = pa.RecordBatch.from_arrays([pa.array(p[-1:]), pa.array(s[-1:]), pa.array(np.where(keep[-1:], 2, n[-1:]).astype(np.int8))], ["phrase", "shard", "n"])
-        yield pa.RecordBatch.from_arrays([pa.array(s[out]), pa.array(p[out])], ["shard", "phrase"])
+        if sent and before == p[0].as_py():
+            keep[: 1 + int(np.argmin(np.concatenate([same, [False]])))] = True
+        out = pa.array(np.flatnonzero(keep[:-1]))
+        sent, before = (bool(keep[-2]), p[-2].as_py()) if len(p) > 1 else (sent, before)
+        sent = sent and before == p[-1].as_py()
+        held = pa.RecordBatch.from_arrays([p[-1:], s[-1:], pa.array(np.where(keep[-1:], 2, 1).astype(np.int8))], ["phrase", "shard", "n"])
+        yield pa.RecordBatch.from_arrays([s.take(out), p.take(out)], ["shard", "phrase"])
     if held is not None and (held.column("n")[0].as_py() > 1 or sent):
         yield pa.RecordBatch.from_arrays([held.column("shard"), held.column("phrase")], ["shard", "phrase"])
 
 
-def locate(words: np.ndarray, first: np.ndarray, phrases: np.ndarray) -> np.ndarray:
-    """Starts of every occurrence of the phrases (rows of PHRASE word numbers) in texts of word numbers."""
+def locate(w: Words, phrases: list[bytes]) -> np.ndarray:
+    """Whether one of the phrases begins at each word, by automata that all texts are streamed through."""
     import ahocorasick
 
-    found = np.zeros(len(words), bool)
-    flat = words.tolist()
+    found = np.zeros(len(w.start), bool)
+    line, at = lined_up(w)
+    text = line.tobytes().decode("latin-1")  # a character a byte
+    stop = at + w.end - w.start  # the blank after each word
     for a in range(0, len(phrases), AUTOMATON):
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for p in phrases[a : a + AUTOMATON].tolist():
-            automaton.add_word(tuple(p), 1)
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for p in phrases[a : a + AUTOMATON]:
+            automaton.add_word(p.decode("latin-1"), 1)
         automaton.make_automaton()
-        for x, y in zip(first[:-1].tolist(), first[1:].tolist()):
-            if y - x >= PHRASE:
-                ends = [e for e, _ in automaton.iter(tuple(flat[x:y]))]
-                found[np.array(ends, np.int64) + (x - PHRASE + 1)] = True
+        ends = np.fromiter((e for e, _ in automaton.iter(text)), np.int64)
+        found[np.searchsorted(stop, ends) - (PHRASE - 1)] = True
     return found
 
 
-SHARD_OUT = "row long, doc_id long, n_words long, sha string, text string, removed binary, at binary, hashes binary"
+SHARD_OUT = "row long, doc_id long, n_words long, sha string, text string, removed binary, at binary, hashes binary, checks binary"
 
 
 def _settle(docs: pa.Table, phrases: pa.Table) -> pa.Table:
@@ -135,24 +153,19 @@ def _settle(docs: pa.Table, phrases: pa.Table) -> pa.Table:
         ids = docs.column("doc_id").fill_null(NO_ID).to_numpy()[order]
     texts = texts.take(pa.array(order))
     shard = int(docs.column("shard")[0].as_py()) if docs.num_rows else 0
-    known = np.unique(phrases.column("phrase").to_numpy().view(np.uint64)) if phrases.num_rows else np.zeros(0, np.uint64)
+    sent = phrases.column("phrase").unique().to_pylist() if phrases.num_rows else []
     pieces = []
     for a, b, buf, off in text_groups(texts, 1 << 62):  # the whole shard
         w = Words(buf, off)
         h = w.hashes()
-        windows, chosen, phrase = representatives(w, h)
-        hit = np.unique(chosen[np.isin(phrase[chosen], known)]) if len(chosen) else chosen
-        candidate = np.zeros(0, np.int64)
-        if len(hit):
-            _, number = np.unique(h, return_inverse=True)
-            _, one = np.unique(phrase[hit], return_index=True)
-            found = locate(number, w.first, number[hit[one][:, None] + np.arange(PHRASE)])
-            candidate = windows[found[chosen]]
-        _, window_hash = w.windows(h, WINDOW)
-        value = window_hash[np.searchsorted(windows, candidate)]
-        rank = np.argsort(value, kind="stable")  # texts stand in order, so the first of a hash is the earliest
+        windows, chosen, _ = representatives(w, h)
+        candidate = windows[locate(w, sent)[chosen]] if sent and len(windows) else np.zeros(0, np.int64)
+        place = np.searchsorted(windows, candidate)
+        value = w.windows(h, WINDOW)[1][place]
+        check = w.windows(w.hashes(1), WINDOW)[1][place].astype(np.uint32)
+        rank = np.lexsort((np.arange(len(value)), check, value))  # texts stand in order, so the first of a hash is the earliest
         again = np.zeros(len(candidate), bool)
-        again[rank[1:]] = value[rank[1:]] == value[rank[:-1]]
+        again[rank[1:]] = (value[rank[1:]] == value[rank[:-1]]) & (check[rank[1:]] == check[rank[:-1]])
         bound = np.searchsorted(candidate, w.first)
         raw = buf.tobytes()
         for k in range(len(w)):
@@ -164,10 +177,10 @@ def _settle(docs: pa.Table, phrases: pa.Table) -> pa.Table:
                 (
                     shard << 32 | (a + k), None if ids[a + k] == NO_ID else int(ids[a + k]), int(w.count[k]),
                     hashlib.sha256(b" ".join(text.split())).hexdigest() if plain else None, None if plain else text.decode("utf-8"),
-                    None if plain else start[late].tobytes(), None if plain else start[~late].tobytes(), None if plain else value[x:y][~late].tobytes(),
+                    *([None] * 4 if plain else (start[late].tobytes(), start[~late].tobytes(), value[x:y][~late].tobytes(), check[x:y][~late].tobytes())),
                 )
             )
-    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), ("removed", pa.binary()), ("at", pa.binary()), ("hashes", pa.binary())])
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("n_words", pa.int64()), ("sha", pa.string()), ("text", pa.string()), *((c, pa.binary()) for c in ("removed", "at", "hashes", "checks"))])
     for row in pieces:
         for name, value in zip(columns, row):
             columns[name].append(value)
@@ -178,21 +191,20 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            at = [np.frombuffer(x, "<i4") for x in part.column("at").to_pylist()]
-            value = [np.frombuffer(x, np.int64) for x in part.column("hashes").to_pylist()]
+            at, value, check = ([np.frombuffer(x, kind) for x in part.column(c).to_pylist()] for c, kind in (("at", "<i4"), ("hashes", np.int64), ("checks", "<i4")))
             size = [len(x) for x in at]
             row, doc = (np.repeat(part.column(c).fill_null(NO_ID).to_numpy(zero_copy_only=False), size) for c in ("row", "doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(doc), pa.array(row), pa.array(np.concatenate(at).astype(np.int32))], ["hash", "doc_id", "row", "at"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(check).astype(np.int32)), pa.array(doc), pa.array(row), pa.array(np.concatenate(at).astype(np.int32))], ["hash", "check", "doc_id", "row", "at"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and at of all but the first of each hash; the rows come sorted."""
+    """row and at of all but the first of each hash and check; the rows come sorted."""
     before = None
     for batch in batches:
         if batch.num_rows:
-            h = batch.column("hash").to_numpy()
-            again = np.concatenate([[h[0] == before], h[1:] == h[:-1]])
-            before = h[-1]
+            h, c = batch.column("hash").to_numpy(), batch.column("check").to_numpy()
+            again = np.concatenate([[(h[0], c[0]) == before], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
+            before = (h[-1], c[-1])
             out = pa.array(np.flatnonzero(again))
             yield pa.RecordBatch.from_arrays([batch.column("row").take(out), batch.column("at").take(out)], ["row", "at"])
 
@@ -217,18 +229,28 @@ def repeated_phrases(docs: DataFrame) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = max(1, -(-size // SHARD_BYTES))
-    sharded = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(shards)).cast("int"))
-    phrases = map_arrow(sharded, _phrases, "phrase long, shard int, n byte").repartition("phrase").sortWithinPartitions("phrase")
-    recurring = map_arrow(phrases, _recurring, "shard int, phrase long")
+    sharded = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
+    phrases = map_arrow(sharded, _phrases, "phrase binary, shard int, n byte").repartition("phrase").sortWithinPartitions("phrase")
+    recurring = map_arrow(phrases, _recurring, "shard int, phrase binary")
     settled = written(sharded.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_settle, SHARD_OUT), "settled")
     open_ = settled.where("text is not null")
-    hashes = map_arrow(open_.select("row", "doc_id", "at", "hashes"), _windows, "hash long, doc_id long, row long, at int")
-    later = map_arrow(hashes.repartition("hash").sortWithinPartitions("hash", "doc_id", "row", "at"), _later, "row long, at int")
+    hashes = map_arrow(open_.select("row", "doc_id", "at", "hashes", "checks"), _windows, "hash long, check int, doc_id long, row long, at int")
+    later = map_arrow(hashes.repartition("hash").sortWithinPartitions("hash", "check", "doc_id", "row", "at"), _later, "row long, at int")
     by_row = later.groupBy("row").agg(F.collect_list("at").alias("later"))  # at most a document's words
     cut = map_arrow(open_.select("row", "doc_id", "n_words", "text", "removed").join(by_row, "row", "left").drop("row"), _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     whole = settled.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return whole.unionByName(cut)
 
 
+#: Windows as texts; a word is removed if one of the windows that end with it or up to 19 words later began earlier elsewhere.
+SQL = f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+s AS (SELECT doc_id, pos, word, CASE WHEN count(*) OVER n = {WINDOW} THEN string_agg(word, ' ') OVER n END AS passage FROM w WINDOW n AS (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND {WINDOW - 1} FOLLOWING)),
+r AS (SELECT *, passage IS NOT NULL AND row_number() OVER (PARTITION BY passage ORDER BY doc_id, pos) > 1 AS later FROM s),
+g AS (SELECT doc_id, pos, word, bool_or(later) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN {WINDOW - 1} PRECEDING AND CURRENT ROW) AS gone FROM r),
+k AS (SELECT doc_id, count(*) FILTER (gone) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY pos) FILTER (NOT gone), '') AS kept FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(words)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN k USING (doc_id)"""
+
+
 def op4_repeated_phrases(spark, sf_dir: str) -> DataFrame:
     return repeated_phrases(docs_table(spark, sf_dir))

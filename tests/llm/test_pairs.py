@@ -6,6 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 
 from rankfield.llm import op10_simhash as op10
@@ -129,6 +130,71 @@ def test_repeated_phrases_odd_rows(docs_of, odd_docs):
     assert removal(docs_of([])) == []
 
 
+def test_only_what_the_automata_find_is_removed(docs_of, monkeypatch):
+    import rankfield.llm.op4_repeated_phrases as op4
+
+    shared = [" ".join(f"{x}{k}" for k in range(40)) for x in "pq"]
+    rows = [(k, f"{k} a b {shared[k % 2]} end {k}") for k in range(6)]
+    docs, whole = spark_free(rows), op4.locate
+    phrases = sent_to_shard(docs)
+    removed = lambda t: sum(len(x or b"") // 4 for x in t.column("removed").to_pylist())
+    assert removed(op4._settle(docs, phrases)) == 2 * 2 * 24  # the second and third of each passage of 43 words
+    # a shard that is sent only the phrases of one passage finds only that one
+    one = phrases.filter(pc.match_substring(phrases.column("phrase").cast(pa.string()), "p"))
+    assert removed(op4._settle(docs, one)) == 2 * 24
+    monkeypatch.setattr(op4, "locate", lambda w, sent: np.zeros(len(w.start), bool))
+    assert removed(op4._settle(docs, phrases)) == 0
+    monkeypatch.setattr(op4, "locate", whole)
+
+
+def spark_free(rows):
+    return pa.table({"doc_id": pa.array([i for i, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows]), "shard": pa.array([0] * len(rows), pa.int32())})
+
+
+def sent_to_shard(docs):
+    import rankfield.llm.op4_repeated_phrases as op4
+
+    found = pa.Table.from_batches(list(op4._phrases(iter(docs.to_batches())))).sort_by("phrase")
+    return pa.Table.from_batches(list(op4._recurring(iter(found.to_batches(max_chunksize=3)))))
+
+
+def test_automata_find_every_occurrence():
+    import rankfield.llm.op4_repeated_phrases as op4
+    from rankfield.llm.core import Words
+
+    r = random.Random(11)
+    texts = [[r.choice("abc") for _ in range(r.randint(0, 60))] for _ in range(30)]
+    raw = [r.choice([" ", "\n ", "\t"]).join(t).encode() for t in texts]
+    w = Words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]))
+    phrases = [[r.choice("abc") for _ in range(op4.PHRASE)] for _ in range(40)]
+    want = [t[k : k + op4.PHRASE] in phrases for t in texts for k in range(len(t))]
+    assert any(want) and op4.locate(w, [f" {' '.join(p)} ".encode() for p in phrases]).tolist() == want
+
+
+def test_recurring_phrases_over_batches():
+    import rankfield.llm.op4_repeated_phrases as op4
+
+    r = random.Random(12)
+    for _ in range(50):
+        rows = sorted((bytes([r.randrange(97, 105)]), r.randrange(9), r.choice([1, 1, 1, 2])) for _ in range(r.randint(0, 14)))
+        t = pa.table({"phrase": pa.array([x[0] for x in rows], pa.binary()), "shard": pa.array([x[1] for x in rows], pa.int32()), "n": pa.array([x[2] for x in rows], pa.int8())})
+        got = [(p, s) for b in op4._recurring(iter(t.to_batches(max_chunksize=r.randint(1, 4)))) for s, p in zip(b.column("shard").to_pylist(), b.column("phrase").to_pylist())]
+        assert sorted(got) == sorted((p, s) for p, s, _ in rows if sum(n for q, _, n in rows if q == p) > 1)
+
+
+def test_repeated_phrases_sql(spark, tmp_path):
+    import duckdb
+
+    from rankfield.llm.op4_repeated_phrases import SQL
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    con = duckdb.connect()
+    con.sql("CREATE VIEW documents AS SELECT * FROM '/root/testdata/sf0.001/documents.parquet'")
+    got = sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_sha256"]) for r in repeated_phrases(docs).collect())
+    assert got == sorted(con.sql(f"SELECT doc_id, n_words, n_removed, kept_sha256 FROM ({SQL})").fetchall())
+    assert sum(r[2] for r in got)
+
+
 def test_repeated_phrases_across_shards(docs_of, monkeypatch):
     import rankfield.llm.op4_repeated_phrases as op4
 
