@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ def let_workers_import(spark) -> None:
 
 
 def shared_folder(spark) -> str:
-    """spark.checkpoint.dir, or a folder of this process where it is unset."""
+    """spark.checkpoint.dir; where that is unset, a folder of this process, if driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="rankfield-"))
         found = spark.sparkContext.getCheckpointDir()
     return found
