@@ -3,7 +3,7 @@
 Evidence on a page, each as a likelihood of every language:
 
 * its text: byte trigrams, counted by language over all labelled documents;
-* the language its markup declares (``<html lang>``, or a content-language meta);
+* the language its markup declares (in the first ``<html>`` tag, or the first content-language meta);
 * its address: a language code as a path segment or host label, or a country suffix;
 * its host: the languages of the host's pages, smoothed towards those of its
   domain, these towards those of the suffix, and these towards all pages.
@@ -28,37 +28,69 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.core import LOWER, docs_table, map_arrow, mix, text_groups, written
+from rankfield.llm.core import LOWER, docs_table, join_known, map_arrow, mix, text_groups, written
 
+#: Trigrams are told apart by so many bits of a hash, less one for each doubling of languages beyond those whose table has MOST_CELLS.
 TRIGRAM_BITS = 16
-#: Trigrams beyond this many add nothing more to a text's certainty, as they are not independent.
+MOST_CELLS = 1 << 24
+#: A text is as certain as so many trigrams at most, as neighbouring trigrams say much the same.
 CERTAIN_AT = 60
 #: Strength of the prior at each level of host, domain and suffix, in pages.
 STRENGTH = 4.0
-#: Labels beyond the most frequent so many languages are not told apart.
-MOST_LANGUAGES = 200
 
-_HIDDEN = re.compile(rb"<(script|style)\b.*?</\1\s*>|<!--.*?-->|<[^>]*>|&#?\w+;", re.S | re.I)
-
-
-def trigram_bins(buf: np.ndarray) -> np.ndarray:
+_RAW = re.compile(rb"<(script|style)\b", re.I)
+_ENTITY = re.compile(rb"&#?\w+;")
+
+
+def visible(html: bytes) -> bytes:
+    """The text outside tags, comments, scripts and styles, in one pass; what is never closed is text, or a tag of its own."""
+    low, out, at, open_ended = html.lower(), [], 0, set()
+    while (k := html.find(b"<", at)) >= 0:
+        out.append(html[at:k])
+        kind = b"!--" if low.startswith(b"<!--", k) else m[1].lower() if (m := _RAW.match(html, k)) else b""
+        end = -1
+        if kind and kind not in open_ended:
+            if kind == b"!--":
+                end = html.find(b"-->", k + 4)
+                end += 3 if end >= 0 else 0
+            else:
+                end = low.find(b"</" + kind, k)
+                end = html.find(b">", end) + 1 if end >= 0 else -1
+            if end <= 0:
+                open_ended.add(kind)
+        if end <= 0:
+            end = html.find(b">", k) + 1
+        if end <= 0:
+            at = k
+            break
+        at = end
+    out.append(html[at:])
+    return _ENTITY.sub(b" ", b" ".join(out))
+
+
+def trigram_bins(buf: np.ndarray, bits: int = TRIGRAM_BITS) -> np.ndarray:
     """Bins of the trigrams of folded bytes in which white space and marks are one blank; none for digits and runs of blanks."""
     x = PLAIN[buf].astype(np.uint64)
     if len(x) < 3:
         return np.zeros(0, np.int64)
     key = x[:-2] << np.uint64(16) | x[1:-1] << np.uint64(8) | x[2:]
     blank = (x == 32).astype(np.int8)
-    return np.where(blank[:-2] + blank[1:-1] + blank[2:] < 2, (mix(key) & np.uint64((1 << TRIGRAM_BITS) - 1)).astype(np.int64), -1)
+    return np.where(blank[:-2] + blank[1:-1] + blank[2:] < 2, (mix(key) & np.uint64((1 << bits) - 1)).astype(np.int64), -1)
 
 
 PLAIN = LOWER.copy()
 PLAIN[[c for c in range(128) if not (65 <= c <= 90 or 97 <= c <= 122)]] = 32
 
 
+def table_bits(languages: int) -> int:
+    return max(8, min(TRIGRAM_BITS, (MOST_CELLS // max(languages, 1)).bit_length() - 1))
+
+
 def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
     """Languages, and log P(trigram bin | language) as a table of bins by languages.  Counts cover all labelled rows."""
     known = docs.where("lang is not null").select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    langs = sorted(r["lang"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect())
+    langs = sorted(r["lang"] for r in known.select("lang").distinct().collect())  # a row a language
+    bits = table_bits(len(langs))
     place = {x: k for k, x in enumerate(langs)}
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,20 +98,20 @@ def text_model(docs: DataFrame) -> tuple[list[str], np.ndarray]:
         for batch in batches:
             of = batch.column("lang").to_pylist()
             for a, b, buf, off in text_groups(batch.column("text")):
-                bins = trigram_bins(buf)
+                bins = trigram_bins(buf, bits)
                 lang = np.array([place.get(x, -1) for x in of[a:b]])
                 at = np.repeat(lang, np.diff(off))[: len(bins)]
                 for k in np.unique(lang[lang >= 0]).tolist():
                     mine = bins[(at == k) & (bins >= 0)]
                     if k not in total:
-                        total[k] = np.zeros(1 << TRIGRAM_BITS, np.int64)
-                    total[k] += np.bincount(mine, minlength=1 << TRIGRAM_BITS)
+                        total[k] = np.zeros(1 << bits, np.int64)
+                    total[k] += np.bincount(mine, minlength=1 << bits)
         for k, v in total.items():
             some = np.flatnonzero(v)
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), k)), pa.array(some), pa.array(v[some])], ["lang", "bin", "n"])
 
-    rows = map_arrow(known, count, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_LANGUAGES tables
-    table = np.full((1 << TRIGRAM_BITS, len(langs)), 0.5)
+    rows = map_arrow(known, count, "lang long, bin long, n long").groupBy("lang", "bin").agg(F.sum("n").alias("n")).toArrow()  # at most MOST_CELLS rows
+    table = np.full((1 << bits, len(langs)), 0.5)
     if rows.num_rows:
         table[rows.column("bin").to_numpy(), rows.column("lang").to_numpy()] += rows.column("n").to_numpy()
     return langs, np.log(table / table.sum(axis=0, keepdims=True)).astype(np.float32)
@@ -93,10 +125,10 @@ def _text_likelihoods(pages: DataFrame, langs: list[str], model: np.ndarray) ->
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shared.value
         for batch in batches:
-            plain = [_HIDDEN.sub(b" ", (x or "").encode("utf-8")) for x in batch.column("html").to_pylist()]
+            plain = [visible((x or "").encode("utf-8")) for x in batch.column("html").to_pylist()]
             out = []
             for text in plain:
-                bins = trigram_bins(np.frombuffer(text, np.uint8))
+                bins = trigram_bins(np.frombuffer(text, np.uint8), table_bits(len(langs)))
                 bins = bins[bins >= 0]
                 ll = table[bins].mean(axis=0) * min(len(bins), CERTAIN_AT) if len(bins) else np.zeros(table.shape[1])
                 out.append(ll.astype(np.float64).tolist())
@@ -145,9 +177,11 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     html, url = F.coalesce(F.col("html").cast("string"), F.lit("")), F.lower(F.coalesce(F.col("url").cast("string"), F.lit("")))
     names = F.array(*(F.lit(x) for x in langs))
     place = lambda code: (F.array_position(names, F.lower(F.substring(code, 1, 2))) - 1).cast("int")
+    some = lambda c: F.nullif(c, F.lit(""))
+    meta = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b([^>]*+)"), F.lit(1)), lambda x: x.rlike("(?i)content-language"))
     said = F.coalesce(
-        F.nullif(F.regexp_extract(html, r"(?i)<html\b[^>]{0,400}?\blang\s*=\s*[\"']?([a-z]{2})\b", 1), F.lit("")),
-        F.nullif(F.regexp_extract(html, r"(?i)<meta\b[^>]{0,200}?content-language[^>]{0,200}?content\s*=\s*[\"']?([a-z]{2})\b", 1), F.lit("")),
+        some(F.regexp_extract(F.regexp_extract(html, r"(?i)<html\b([^>]*+)", 1), r"(?i)\blang\s*+=\s*+[\"']?([a-z]{2})\b", 1)),
+        some(F.regexp_extract(F.get(meta, F.lit(0)), r"(?i)\bcontent\s*+=\s*+[\"']?([a-z]{2})\b", 1)),
         F.lit("--"),
     )
     host = F.regexp_extract(url, r"^[a-z][a-z0-9+.-]*://(?:[^/@]*@)?([^/:?#]*)", 1)
@@ -167,14 +201,15 @@ def language_id(pages: DataFrame, docs: DataFrame) -> DataFrame:
     all_ = seen.agg(_sum_by_place("post", n).alias("w")).first()["w"]
     every = np.array([x or 0.0 for x in all_]) + 1
     whole = F.array(*(F.lit(float(x)) for x in every / every.sum()))
-    hosts = written(seen.groupBy("host", "domain", "suffix").agg(_sum_by_place("post", n).alias("w")), "hosts")
+    hosts = written(seen.groupBy("host", "domain", "suffix").agg(_sum_by_place("post", n).alias("w"), F.count("*").alias("n")), "hosts")
     suffixes = hosts.groupBy("suffix").agg(_sum_by_place("w", n).alias("w")).select("suffix", lean(F.col("w"), whole).alias("up2"))
     domains = hosts.groupBy("domain", "suffix").agg(_sum_by_place("w", n).alias("w")).join(suffixes, "suffix").select("domain", "suffix", lean(F.col("w"), F.col("up2")).alias("up1"))
-    priors = hosts.join(domains, ["domain", "suffix"]).select("host", F.col("w").alias("host_w"), "up1")
+    priors = hosts.join(domains, ["domain", "suffix"]).select("host", "n", F.col("w").alias("host_w"), "up1")
+    priors = written(priors, "priors")
 
     declared, addressed = _reliability(seen, "said", langs), _reliability(seen, "inside", langs)
     others = F.zip_with("host_w", "post", lambda a, b: F.greatest(a - b, F.lit(0.0)))
-    joined = seen.join(priors, "host", "left").withColumn("prior", lean(others, F.col("up1")))
+    joined = join_known(seen, priors, "host").withColumn("prior", lean(others, F.col("up1")))
     logs = _add(F.col("text"), F.transform("prior", lambda x: F.ln(F.greatest(x, F.lit(1e-9)))), declared, addressed)
     fused = joined.withColumn("fused", _softmax(logs))
     name = lambda k: F.when(k >= 0, F.get(names, k))
