@@ -12,7 +12,11 @@ visitors of an anchor are compared on all 64 bits.
 Only distinct fingerprints are compared, so copies cost nothing.  An anchor
 with many fingerprints is compared in square blocks, spread over tasks; a block
 gives a spanning forest of its links instead of all pairs, which keeps
-components whole.
+components whole.  Fingerprints that many documents share, and components of
+many fingerprints, are looked up in a broadcast table of those alone.
+
+There are 2^27 anchors, so with many more than 10^10 distinct fingerprints most
+anchors are busy and comparisons grow faster than the input.
 
 Null and wordless texts have fingerprint zero and link as any other.  Rows with
 the same doc_id get a row each.  Null doc_ids keep their fingerprint, and a
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.llm.components import components, forest
-from rankfield.llm.core import docs_table, map_arrow, text_groups, written
+from rankfield.llm.core import docs_table, join_known, map_arrow, text_groups, written
 
 SEED = 42
 SHINGLE = 3
@@ -40,35 +44,38 @@ BLOCK = 2048
 #: More busy anchors than this are joined instead of broadcast.
 BROADCAST_ANCHORS = 100_000
 
+BITS_AT_ONCE = 1 << 18
 HALF = (1 << 31) - 1
 
 
-def fingerprints(texts: pa.Array) -> np.ndarray:
-    """One unsigned 64-bit fingerprint a text."""
+def _shingle_hashes(text: bytes) -> np.ndarray:
     from xxhash import xxh64_intdigest
 
+    words = text.lower().split()
+    line, n = b" ".join(words), len(words)
+    if n <= SHINGLE:
+        return np.array([xxh64_intdigest(line, SEED)] * (n > 0), np.uint64)
+    stops = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
+    starts = np.concatenate([[0], stops[: n - SHINGLE] + 1])
+    return np.fromiter((xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts.tolist(), stops[SHINGLE - 1 :].tolist())), np.uint64, len(starts))
+
+
+def fingerprints(texts: pa.Array) -> np.ndarray:
+    """One unsigned 64-bit fingerprint a text.  A shingle takes 16 bytes or so, and its bits are counted BITS_AT_ONCE shingles at a time."""
     out = np.zeros(len(texts), np.uint64)
     for a, b, buf, off in text_groups(texts):
-        raw, at, values, sizes = buf.tobytes(), off.tolist(), [], []
-        for x, y in zip(at[:-1], at[1:]):
-            words = raw[x:y].lower().split()
-            line, n = b" ".join(words), len(words)
-            if n <= SHINGLE:
-                values += [xxh64_intdigest(line, SEED)] * (n > 0)
-                sizes.append(int(n > 0))
-                continue
-            ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-            starts = [0, *(ends[: n - SHINGLE] + 1).tolist()]
-            values += [xxh64_intdigest(line[s:e], SEED) for s, e in zip(starts, ends[SHINGLE - 1 :].tolist())]
-            sizes.append(n - SHINGLE + 1)
-        if not values:
-            continue
-        size = np.array(sizes, np.int64)
-        some = np.flatnonzero(size)
-        first = (np.cumsum(size) - size)[some]
-        bits = np.unpackbits(np.array(values, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        set_ = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
-        out[a + some] = np.packbits(2 * set_ > size[some, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
+        raw, at = buf.tobytes(), off.tolist()
+        each = [_shingle_hashes(raw[x:y]) for x, y in zip(at[:-1], at[1:])]
+        size = np.array([len(x) for x in each], np.int64)
+        values, text = np.concatenate(each), np.repeat(np.arange(b - a), size)
+        set_ = np.zeros((b - a, 64), np.int64)
+        for k in range(0, len(values), BITS_AT_ONCE):
+            bits = np.unpackbits(values[k : k + BITS_AT_ONCE].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            of = text[k : k + BITS_AT_ONCE]
+            first = np.flatnonzero(np.concatenate([[True], of[1:] != of[:-1]]))
+            set_[of[first]] += np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        some = size > 0
+        out[a:b][some] = np.packbits(2 * set_[some] > size[some, None], axis=1, bitorder="little").view(np.uint64).reshape(-1)
     return out
 
 
@@ -183,12 +190,13 @@ def links(distinct: DataFrame) -> DataFrame:
 def simhash_components(docs: DataFrame) -> DataFrame:
     """doc_id, fingerprint, component_id of each row of docs."""
     rows = written(map_arrow(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), _fingerprint, "doc_id long, fp long"), "fingerprints")
-    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = written(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "distinct")
     roots = components(links(distinct))
-    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = of.join(least, "root").select("fp", "component_id")
-    return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", "n", F.coalesce("root", "fp").alias("root"))
+    of = written(of, "roots")
+    least = written(of.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("many")), "components")
+    named = written(join_known(of, least, "root", "many").select("fp", "n", "component_id"), "named")
+    return join_known(rows, named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
