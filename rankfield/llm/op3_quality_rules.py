@@ -209,10 +209,10 @@ def fit_rules(stats: DataFrame, labels: DataFrame) -> list[Rule]:
     known = labels.where("quality is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     names = list(measures())
     rows = stats.where(~base_failed()).select("doc_id", *(v.alias(k) for k, v in measures().items())).join(known, "doc_id")
-    share = min(1.0, MOST_LABELLED * 0.95 / max(1, known.count()))
-    if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    found = rows.orderBy("doc_id", *names).limit(2 * MOST_LABELLED).toArrow()
+    share = max(1, -(-known.count() * 21 // (20 * MOST_LABELLED)))
+    if share > 1:
+        rows = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(share)) == 0)
+    found = rows.orderBy(F.xxhash64("doc_id"), "doc_id", *names).limit(MOST_LABELLED).toArrow()
     order = found.column("doc_id").to_numpy().astype(np.uint64)
     return learn({k: found.column(k).to_numpy() for k in names}, found.column("quality").to_numpy() == 0, mix(order))
 

@@ -275,9 +275,9 @@ class Queries:
         return None
 
 
-def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
-    """Row, item_id, cosine, overlap and kind of each leak in texts."""
-    weight, rows_of, directions, queries = shared.value
+def leaks(texts: pa.Array, space, block) -> list[tuple[int, int, float, float, str]]:
+    """Row, item_id, cosine, overlap and kind of each leak in texts.  space and block: broadcast weights, rows and directions; and Queries."""
+    (weight, rows_of, directions), queries = space.value, block.value
     known = rows_of >= 0
     square = weight.astype(np.float64) ** 2
     out = []
@@ -348,8 +348,8 @@ def leaks(texts: pa.Array, shared) -> list[tuple[int, int, float, float, str]]:
 FOUND = "doc_id long, item_id long, cosine double, overlap double, kind string"
 
 
-def _searches(texts: DataFrame, benchmark: DataFrame) -> list:
-    """What the search of texts needs, a broadcast a block of items."""
+def _searches(texts: DataFrame, benchmark: DataFrame) -> list[tuple]:
+    """What the search of texts needs: the latent space, broadcast once, and with it each block of items."""
     spark = texts.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     weight = inverse_frequency(texts)
@@ -357,11 +357,12 @@ def _searches(texts: DataFrame, benchmark: DataFrame) -> list:
     if rows_of.max() < 0:
         return []
     directions = latent_directions(items.select("text"), weight, rows_of)
+    space = spark.sparkContext.broadcast((weight, rows_of, directions))
     blocks = max(1, -(-items.count() // (BLOCK_ITEMS // 2)))
     out = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == k).toArrow()
-        out.append(spark.sparkContext.broadcast((weight, rows_of, directions, Queries(part.column("item_id").to_pylist(), part.column("text"), weight, rows_of, directions))))
+        out.append((space, spark.sparkContext.broadcast(Queries(part.column("item_id").to_pylist(), part.column("text"), weight, rows_of, directions))))
     return out
 
 
@@ -373,8 +374,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("doc_id")
-            for shared in searches:
-                if found := leaks(batch.column("text"), shared):
+            for space, block in searches:
+                if found := leaks(batch.column("text"), space, block):
                     row, *rest = zip(*found)
                     yield pa.RecordBatch.from_arrays([ids.take(pa.array(row)), *(pa.array(c, k) for c, k in zip(rest, (pa.int64(), pa.float64(), pa.float64(), pa.string())))], ["doc_id", "item_id", "cosine", "overlap", "kind"])
 
@@ -388,8 +389,8 @@ def uncontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
-            for shared in searches:
-                clean[[row for row, *_ in leaks(batch.column("text"), shared)]] = False
+            for space, block in searches:
+                clean[[row for row, *_ in leaks(batch.column("text"), space, block)]] = False
             yield batch.filter(pa.array(clean))
 
     return map_arrow(docs, search, docs.schema)

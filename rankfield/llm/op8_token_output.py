@@ -23,10 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.core import docs_table, grouped, map_arrow, ranges, shared_path, written
+from rankfield.llm.core import docs_table, grouped, map_arrow, ranges, shared_path, sums_before, written
 from rankfield.llm.tokens import encoder, vocabulary_path
 
 END_ID = 2
@@ -36,6 +36,8 @@ BLOCK_TOKENS = 1 << 18
 ROW_GROUP_BYTES = 16 << 20
 #: Documents to a file part, about.
 PART_DOCS = 6_000
+#: More parts than this are joined by a shuffle.
+BROADCAST_PARTS = 100_000
 
 LENGTHS = (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3) + 1  # of the four tokens of each control byte
 RECORDS = "doc_id long, n_tokens long, ids_crc32 long, control binary, data binary"
@@ -82,6 +84,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
     parts = max(1, -(-known["n"] // PART_DOCS))
     edges = docs.select(F.percentile_approx(F.col("doc_id").cast("long"), [k / parts for k in range(1, parts)], 100 * parts).alias("e")).first()["e"] if parts > 1 else []
     bounds = np.unique(np.array(edges or [], np.int64))
+    shared_bounds = spark.sparkContext.broadcast(bounds)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
@@ -107,7 +110,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
             d0, d1 = sums[begin].tolist(), sums[stop].tolist()
             c0, c1 = (c0 // 4).tolist(), ((c0 + n + pad) // 4).tolist()
             ids_of = batch.column("doc_id")
-            where = np.searchsorted(bounds, ids_of.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
+            where = np.searchsorted(shared_bounds.value, ids_of.fill_null(-(1 << 63)).to_numpy(zero_copy_only=False), "right").astype(np.int32)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(where), ids_of, pa.array(n), pa.array(crc, pa.int64()), pa.array([control[a:b] for a, b in zip(c0, c1)], pa.binary()), pa.array([data[a:b] for a, b in zip(d0, d1)], pa.binary())],
                 ["part", "doc_id", "n_tokens", "ids_crc32", "control", "data"],
@@ -186,8 +189,9 @@ def token_output(docs: DataFrame, to: str | None = None, path: str | None = None
     write_tokens(docs, to, path)
     found = written(read_tokens(spark, to), "read-back")
     parts = found.groupBy("part").agg(F.sum("n_tokens").alias("_n"))
-    before = parts.select("part", (F.sum("_n").over(Window.orderBy("part")) - F.col("_n")).alias("_before"))
-    return found.join(F.broadcast(before), "part").select("doc_id", (F.col("_before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
+    before = sums_before(parts, "part", "_n", "_before").select("part", "_before")
+    few = docs.count() <= BROADCAST_PARTS * PART_DOCS
+    return found.join(F.broadcast(before) if few else before, "part").select("doc_id", (F.col("_before") + F.col("first")).alias("start"), "n_tokens", "ids_crc32")
 
 
 def op8_token_output(spark, sf_dir: str) -> DataFrame:

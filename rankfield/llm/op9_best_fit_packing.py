@@ -28,8 +28,8 @@ from rankfield.llm.tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Ranks are counted within this many salts of a length, so that a very common length is spread over tasks.
-SALTS = 64
+#: Ranks are counted within salts of a length of about so many pieces each, so that a very common length is spread over tasks.
+SALT_PIECES = 200_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -116,17 +116,19 @@ def plan(count: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.ndarra
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """pieces with sequence_id and offset.  pieces should be a written table: it is read twice."""
     order = [F.col("doc_id").asc_nulls_first(), "piece", "ids_crc32"]
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
-    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
-    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
-    histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("_n").alias("n")).collect()}  # at most capacity rows
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     if not histogram:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
-    slots = pieces.sparkSession.sparkContext.broadcast(plan(histogram, capacity))
+    spark = pieces.sparkSession
+    salts = spark.createDataFrame([(k, -(-n // SALT_PIECES)) for k, n in histogram.items()], "length long, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int"))
+    counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
+    before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
+    slots = spark.sparkContext.broadcast(plan(histogram, capacity))
     names = pieces.columns
     ranked = (
         salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-        .join(F.broadcast(before), ["length", "_salt"])  # at most capacity * SALTS rows
+        .join(F.broadcast(before), ["length", "_salt"])  # at most a row a length, and one for SALT_PIECES pieces
         .select(*names, (F.col("_before") + F.col("_rank")).cast("long").alias("_rank"))
     )
 
