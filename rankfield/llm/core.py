@@ -7,13 +7,17 @@ the characters.  Null texts count as empty everywhere.
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from rankfield.session import shared_folder
 
 WHITE = np.zeros(256, bool)
 WHITE[[9, 10, 11, 12, 13, 32]] = True
@@ -147,21 +151,10 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.repeat(shift, length) + np.arange(total)
 
 
-def shared_dir(spark) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of this process where it is unset."""
-    set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not set_dir:
-        set_dir = "file://" + tempfile.mkdtemp(prefix="rankfield-")
-        spark.sparkContext.setCheckpointDir(set_dir)
-        set_dir = spark.sparkContext.getCheckpointDir()
-    return set_dir
-
-
 def shared_path(spark, name: str) -> str:
-    """A new path in the shared folder, removed when the session ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
+    """A new path in the folder that driver and executors share, removed when the session ends."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
     return path
 
@@ -173,6 +166,32 @@ def written(df, name: str):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def join_known(rows, known, key: str, how_many: str = "n", hot: int = 50_000):
+    """rows joined with known, which has one row a key and in how_many how often rows has it.
+
+    Keys of at least hot rows, of which there are at most a share 1/hot of rows,
+    are broadcast, so that none of them fills a task; the others are shuffled.
+    """
+    often = known.where(F.col(how_many) >= hot).drop(how_many)
+    rest = rows.join(F.broadcast(often.select(key)), key, "left_anti").join(known.where(F.col(how_many) < hot).drop(how_many), key)
+    return rows.join(F.broadcast(often), key).unionByName(rest)
+
+
+def sums_before(df, key: str, n: str, out: str, block: int = 4096):
+    """df (one row a key, keys from 0) with the sum of n over smaller keys: within blocks of keys, and over the blocks' sums."""
+    part = F.floor(F.col(key) / block)
+    sums = df.groupBy(part.alias("_block")).agg(F.sum(n).alias("_sum"))
+    blocks = sums.select("_block", (F.sum("_sum").over(Window.orderBy("_block")) - F.col("_sum")).alias("_blocks"))  # a row a block
+    within = F.sum(n).over(Window.partitionBy("_block").orderBy(key)) - F.col(n)
+    return df.withColumn("_block", part).withColumn("_within", within).join(blocks, "_block").withColumn(out, F.col("_blocks") + F.col("_within")).drop("_block", "_within", "_blocks")
+
+
+def let_go(spark) -> None:
+    """Has Spark delete the shuffle files of earlier steps that nothing refers to any more, instead of whenever the driver collects its garbage."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def unused_name(name: str, df) -> str:
     """name, with underscores before it until df has no such column."""
     taken = {c.lower() for c in df.columns}
@@ -186,7 +205,11 @@ def docs_table(spark, sf_dir: str, name: str = "documents"):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def map_arrow(df, function, schema: str):
-    """mapInArrow with batches of at most BATCH_BYTES or so, as the default lets one batch of long texts fill a worker."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    """mapInArrow with batches of at most BATCH_BYTES or so, unless the session says otherwise, as the default lets one batch of long texts fill a worker."""
+    if _BATCHES not in df.sparkSession.conf.getAll:
+        df.sparkSession.conf.set(_BATCHES, BATCH_BYTES)
     return df.mapInArrow(function, schema)
