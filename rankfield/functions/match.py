@@ -25,20 +25,24 @@ def quoted_chars(q: Column) -> Column:
     return F.transform(F.filter(F.split(q, "(?!^)"), lambda c: c != ""), lambda c: F.concat(F.lit("\\Q"), c, F.lit("\\E")))
 
 
-def subsequence_pattern(q: Column) -> Column:
-    """Finds a text's shortest beginning that has the characters of q in order."""
-    return F.concat(F.lit("(?s)^.*?"), F.array_join(quoted_chars(q), ".*?"))
+def steps_to(chars: Column) -> Column:
+    """Each step takes the nearest of its characters and is never taken back, so a match or a failure reads a text once."""
+    return F.array_join(F.transform(chars, lambda c: F.concat(F.lit("(?>.*?"), c, F.lit(")"))), "")
 
 
-def backward_pattern(q: Column) -> Column:
-    return F.concat(F.lit("(?s)^"), F.array_join(quoted_chars(F.reverse(q)), ".*?"))
+def subsequence_pattern(q: Column | str) -> Column:
+    """Finds a text's shortest beginning that has the characters of q in order; a constant where q is one."""
+    if isinstance(q, str):
+        return F.lit("(?s)^" + "".join(f"(?>.*?\\Q{c}\\E)" for c in q))
+    return F.concat(F.lit("(?s)^"), steps_to(quoted_chars(q)))
 
 
-def density(folded: Column, q: Column) -> Column:
+def density(folded: Column, q: Column | str) -> Column:
     """Characters of q to the span they take, ended as early and begun as late as can be; null without a match."""
     head = F.call_function("regexp_extract", folded, subsequence_pattern(q), F.lit(0))
-    span = F.call_function("regexp_extract", F.reverse(head), backward_pattern(q), F.lit(0))
-    return F.when(span != "", F.length(q) / F.length(span))
+    back = q[::-1] if isinstance(q, str) else F.reverse(q)
+    span = F.call_function("regexp_extract", F.reverse(head), subsequence_pattern(back), F.lit(0))
+    return F.when(span != "", (F.lit(len(q)) if isinstance(q, str) else F.length(q)) / F.length(span))
 
 
 def at_word(folded: Column, q: Column) -> Column:
@@ -48,9 +52,10 @@ def at_word(folded: Column, q: Column) -> Column:
     return marked.rlike(r"[-_. ]\x01") | own
 
 
-def tier_score(folded: Column, lane: Column, q: Column) -> Column:
+def tier_score(folded: Column, lane: Column, query: Column | str) -> Column:
     """The best tier's score, or null.  The tiers' scores fall strictly, so the first that holds is the best."""
-    fuzzy = F.when(F.octet_length(q) >= FUZZY_LEAST_BYTES, FUZZY + FUZZY_SPAN * density(folded, q))
+    q = F.lit(query) if isinstance(query, str) else query
+    fuzzy = F.when(F.octet_length(q) >= FUZZY_LEAST_BYTES, FUZZY + FUZZY_SPAN * density(folded, query))
     return (
         F.when((q == "") | q.rlike(r"[\x00-\x1f]"), F.lit(None).cast("double"))
         .when(folded == q, EXACT)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
-from rankfield.functions.text import INDEX_SEPARATORS, fold_text, fold_with_map
+from rankfield.functions.text import INDEX_SEPARATORS, fold_text, fold_with_map, segment_starts
 
 
 def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -27,16 +27,6 @@ def _hits(text: str, q: str) -> list[int]:
     return out
 
 
-def segment_starts(name: str) -> list[int]:
-    """Places in name where a segment begins: after a separator, or at a camel hump."""
-    out, before = [], ""
-    for k, c in enumerate(name):
-        if c not in INDEX_SEPARATORS and (not before or before in INDEX_SEPARATORS or (before.islower() and c.isupper())):
-            out.append(k)
-        before = c
-    return out
-
-
 def match_ranges(name: str, query: str, tier: str) -> list[tuple[int, int]]:
     """Half-open ranges of UTF-16 units, touching ones merged."""
     import unicodedata

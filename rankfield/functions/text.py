@@ -36,21 +36,39 @@ def fold_any(s: pd.Series) -> pd.Series:
     return s.map(fold_text, na_action="ignore")
 
 
-def is_ascii(c: Column) -> Column:
-    return ~c.rlike(r"[^\x00-\x7f]")
+def segment_starts(name: str) -> list[int]:
+    """Places in name where a segment begins: after a separator, or at a camel hump."""
+    out, before = [], ""
+    for k, c in enumerate(name):
+        if c not in INDEX_SEPARATORS and (not before or before in INDEX_SEPARATORS or (before.islower() and c.isupper())):
+            out.append(k)
+        before = c
+    return out
 
 
-def fold(c: Column) -> Column:
-    """Folding of names known to be ASCII; see fold_unicode for others."""
-    return F.lower(c)
+def initials_text(name: str) -> str:
+    """Folded first characters of the segments, up to the first that would pass LANE_BYTES bytes."""
+    plain, out = unicodedata.normalize("NFC", name), ""
+    for k in segment_starts(plain):
+        more = out + fold_text(plain[k])
+        if len(more.encode()) > LANE_BYTES:
+            break
+        out = more
+    return out
 
 
-def fold_unicode(c: Column) -> Column:
-    return F.when(is_ascii(c), F.lower(c)).otherwise(fold_any(c))
+@F.pandas_udf(StringType())
+def initials_any(s: pd.Series) -> pd.Series:
+    return s.map(initials_text, na_action="ignore")
+
+
+def is_ascii(c: Column) -> Column:
+    return ~c.rlike(r"[^\x00-\x7f]")
 
 
-def fold_query_shell(c: Column) -> Column:
-    return F.lower(F.trim(c))
+def fold_unicode(c: Column) -> Column:
+    """fold_text of a column; only text beyond ASCII goes to Python."""
+    return F.coalesce(F.when(is_ascii(c), F.lower(c)), fold_any(F.when(~is_ascii(c), c)))
 
 
 def has_control(c: Column) -> Column:
@@ -77,24 +95,13 @@ def segments(c: Column) -> Column:
 
 
 def initials(c: Column) -> Column:
-    """Folded first characters of the segments, up to the first that would pass LANE_BYTES bytes."""
+    """initials_text of a column; only names beyond ASCII go to Python."""
     firsts = F.transform(segments(c), lambda x: F.lower(F.left(x, F.lit(1))))
-    packed = F.aggregate(
-        firsts,
-        F.struct(F.lit("").alias("s"), F.lit(False).alias("full")),
-        lambda acc, x: F.struct(
-            F.when(acc["full"] | (F.octet_length(acc["s"]) + F.octet_length(x) > LANE_BYTES), acc["s"]).otherwise(F.concat(acc["s"], x)).alias("s"),
-            (acc["full"] | (F.octet_length(acc["s"]) + F.octet_length(x) > LANE_BYTES)).alias("full"),
-        ),
-    )
-    joined = F.array_join(firsts, "")
-    return F.when(is_ascii(c), F.left(joined, F.lit(LANE_BYTES))).otherwise(packed["s"])
+    return F.coalesce(F.when(is_ascii(c), F.left(F.array_join(firsts, ""), F.lit(LANE_BYTES))), initials_any(F.when(~is_ascii(c), c)))
 
 
 def class_bit(code: Column) -> Column:
-    """The bit of one byte: a letter, a digit, a separator, or one of 24 buckets of other bytes."""
-    ascii_other = 40 + F.pmod(code * 11, F.lit(8))
-    beyond = 48 + F.pmod(code, F.lit(16))
+    """The bit of one byte: a letter, a digit, a separator, or one of 24 buckets of other bytes.  The numbers are fixed values."""
     return (
         F.when(code.between(97, 122), code - 97)
         .when(code.between(48, 57), code - 48 + 26)
@@ -102,8 +109,8 @@ def class_bit(code: Column) -> Column:
         .when(code == 95, 37)
         .when(code == 46, 38)
         .when(code == 32, 39)
-        .when(code < 128, ascii_other)
-        .otherwise(beyond)
+        .when(code < 128, 40 + code.bitwiseAND(7))
+        .otherwise(48 + code.bitwiseAND(15))
     )
 
 
@@ -114,6 +121,19 @@ def class_mask(folded: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
 
 
+def mask_of(text: str) -> int:
+    """class_mask of a query."""
+    bits = 0
+    for b in text.encode():
+        c = chr(b)
+        if "a" <= c <= "z" or "0" <= c <= "9":
+            place = b - 97 if c >= "a" else b - 48 + 26
+        else:
+            place = {45: 36, 95: 37, 46: 38, 32: 39}.get(b, 40 + (b & 7) if b < 128 else 48 + (b & 15))
+        bits |= 1 << place
+    return bits - (1 << 64) if bits >> 63 else bits
+
+
 @F.pandas_udf(IntegerType())
 def utf16_length(s: pd.Series) -> pd.Series:
     return s.map(lambda x: len(x.encode("utf-16-le")) // 2, na_action="ignore").astype("Int32")

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfield.functions import shellmatch
@@ -17,13 +18,13 @@ OWN_BAND, APP_BAND = 0.8, 0.9
 
 def matched(rows: DataFrame, kind: str, q: str) -> DataFrame:
     """Rows of a catalog (name, perhaps synonyms) with score and direct, the score of the name itself."""
-    folded = q.strip().lower()
+    folded = shellmatch.folded_query(q)
     if len(folded) < LEAST_CHARS[kind]:
         return rows.where(F.lit(False)).withColumns({"score": F.lit(0.0), "direct": F.lit(0.0)})
     if "synonyms" in rows.columns:
-        best, direct = shellmatch.score_with_synonyms(F.col("name"), F.col("synonyms"), F.lit(folded))
+        best, direct = shellmatch.score_with_synonyms(F.col("name"), F.col("synonyms"), folded)
     else:
-        best = direct = shellmatch.score(F.col("name"), F.lit(folded))
+        best = direct = shellmatch.score(F.col("name"), folded)
     return rows.withColumns({"score": best, "direct": direct}).where("score is not null")
 
 
@@ -70,14 +71,61 @@ def volumes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_fixed_ntfs", F.col("fixed") & (F.upper("fs") == "NTFS"))
 
 
+#: Actions of files and windows, the default first.
+FILE_ACTIONS = ("open", "reveal", "copy_path", "copy_file", "open_with", "delete")
+WINDOW_ACTIONS = (
+    "open", "left_half", "right_half", "top_half", "bottom_half", "maximize", "center", "left_third", "center_third", "right_third", "left_two_thirds", "right_two_thirds",
+    "top_left", "top_right", "bottom_left", "bottom_right", "next_monitor", "topmost", "untopmost", "minimize", "close",
+)
+
+
 def available_actions(kind: Column, is_win32: Column) -> Column:
     """The actions offered for a row, the default first."""
     lit = lambda *x: F.array(*(F.lit(v) for v in x))
     return (
-        F.when(kind == "file", lit("open", "reveal", "copy-path", "open-with"))
-        .when((kind == "app") & is_win32, lit("open", "runas", "reveal"))
-        .when(kind == "app", lit("open"))
-        .when(kind == "window", lit("switch", "layout", "close"))
+        F.when(kind == "file", lit(*FILE_ACTIONS))
+        .when(kind == "window", lit(*WINDOW_ACTIONS))
         .when(kind == "calc", lit("copy"))
+        .when((kind == "app") & is_win32, lit("open", "runas"))
         .otherwise(lit("open"))
     )
+
+
+def last_good(scans: DataFrame, now: int) -> DataFrame:
+    """Apps of the newest scan that succeeded, with is_stale, and due where it is time to scan again in any case.
+
+    scans: scan, ts (seconds), ok, and an app a row (id, name); a failed scan has
+    a row without an app.  A scan that fails leaves the last good one standing.
+    """
+    best = scans.where("ok").agg(F.max_by("scan", "ts").alias("scan"), F.max("ts").alias("_ts"))
+    rows = scans.where("ok and id is not null").join(F.broadcast(best), "scan")
+    age = F.lit(now) - F.col("_ts")
+    return rows.withColumns({"is_stale": age > STALE_MINUTES * 60, "due": age >= REFRESH_MINUTES * 60}).drop("_ts", "ok")
+
+
+SETTINGS = "settings array<struct<id:string,name:string,uri:string,synonyms:array<string>,gate:struct<min_build:int,requires:string>>>, control_panel array<struct<id:string,name:string,canonical:string,synonyms:array<string>,gate:struct<min_build:int,requires:string>>>"
+
+
+def read_settings(spark: SparkSession, path: str, built_in: DataFrame, build: int, capabilities: list[str]) -> DataFrame:
+    """Settings (id, name, target, synonyms, min_build, requires) of a JSON catalog that this system's gate lets through.
+
+    built_in, of the same columns, stands in for a file that is not there or cannot be read.
+    """
+    try:
+        file = spark.read.schema(f"{SETTINGS}, _bad string").options(multiLine=True, columnNameOfCorruptRecord="_bad").json(path).cache()
+        whole = not file.isEmpty() and file.where("_bad is not null").isEmpty()
+    except AnalysisException:
+        whole = False
+    if not whole:
+        return available(built_in, build, capabilities)
+
+    def rows(list_: str, target: str) -> DataFrame:
+        one = file.select(F.explode(list_).alias("x"))
+        return one.select("x.id", "x.name", F.col(f"x.{target}").alias("target"), F.coalesce("x.synonyms", F.array().cast("array<string>")).alias("synonyms"), "x.gate.min_build", "x.gate.requires")
+
+    return available(rows("settings", "uri").unionByName(rows("control_panel", "canonical")), build, capabilities)
+
+
+def named_entries(rows: DataFrame, q: str, kind: str = "command") -> DataFrame:
+    """A catalog of plain entries (system commands, emoji with keywords, processes): name and synonyms matched, best first."""
+    return matched(rows, kind, q).orderBy(*catalog_order())

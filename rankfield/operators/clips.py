@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.functions import shellmatch
@@ -11,6 +11,19 @@ from rankfield.functions import shellmatch
 MOST_BYTES, PREVIEW, KEEP_DAYS, KEEP_ROWS, SEARCHED = 1 << 20, 200, 30, 10_000, 1000
 
 
+#: A format that asks not to be remembered by being there, and two that do by being zero.
+EXCLUDING, CONSENTS = "ExcludeClipboardContentFromMonitorProcessing", ("CanIncludeInClipboardHistory", "CanUploadToCloudClipboard")
+
+
+def remembered(formats: Column) -> Column:
+    """Whether what was copied may be kept; formats: a map from each format that is there to its number, null where it has none."""
+    there = F.coalesce(F.map_contains_key(formats, EXCLUDING), F.lit(False))
+    denied = F.lit(False)
+    for c in CONSENTS:
+        denied = denied | F.coalesce(F.element_at(formats, F.lit(c)) == 0, F.lit(False))
+    return ~there & ~denied
+
+
 def capturable(text: Column) -> Column:
     return (F.trim(text) != "") & (F.octet_length(text) <= MOST_BYTES)
 
@@ -34,16 +47,11 @@ def retained(clips: DataFrame, now: int, day: int = 86400, days: int = KEEP_DAYS
 def search(clips: DataFrame, q: str, k: int = 50) -> DataFrame:
     """Matches by score and time among the newest SEARCHED; an empty query lists them by time at score 1."""
     pool = clips.orderBy(F.desc("ts"), "hash").limit(SEARCHED)
-    folded = q.strip().lower()
-    score = shellmatch.score(preview(F.col("text")), F.lit(folded)) if folded else F.lit(1.0)
+    folded = shellmatch.folded_query(q)
+    score = shellmatch.score(preview(F.col("text")), folded) if folded else F.lit(1.0)
     return pool.withColumn("score", score).where("score is not null").orderBy(F.desc("score"), F.desc("ts"), "hash").limit(k)
 
 
 def unseen(stored: DataFrame, held: DataFrame) -> DataFrame:
     """Stored clips whose content is not held already."""
     return stored.join(held.select("hash"), "hash", "left_anti")
-
-
-def newest(rows: DataFrame, n: int, *order: Column) -> DataFrame:
-    """The first n rows of an order, by a window's limit."""
-    return rows.withColumn("_place", F.row_number().over(Window.orderBy(*order))).where(F.col("_place") <= n).drop("_place")

@@ -34,11 +34,6 @@ def ext_filter(name: Column, exts: list[str]) -> Column:
     return out
 
 
-def ext_filter_column(name: Column, exts: Column) -> Column:
-    """The same for a column of normalised extensions."""
-    return (F.size(exts) == 0) | F.exists(exts, lambda e: F.endswith(F.lower(name), e))
-
-
 def path_filter(parent_path: Column, part: str | Column) -> Column:
     needle = F.lit(part.lower()) if isinstance(part, str) else F.lower(part)
     return F.contains(F.lower(parent_path), needle)
@@ -64,43 +59,54 @@ class FileQuery:
     pending: list[str] = field(default_factory=list)
 
 
+def _kind_or_refusal(value: str) -> tuple[str, str]:
+    """The kind that value names, '' while it is still being typed; and why it is refused."""
+    if value == "folder":
+        return "", "folders cannot be told apart"
+    if value in KIND_EXTS:
+        return value, ""
+    return "", "" if any(k.startswith(value) for k in KIND_EXTS) else f"no kind is called {value}"
+
+
 def parse_file_query(text: str) -> FileQuery:
-    """Words and the tokens ext:, path: and kind:.  ext adds up; of path and kind the last holds; kind and ext intersect."""
+    """Words and the tokens ext:, path: and kind:.
+
+    ext adds up; of path and kind the last that is whole holds; kind and ext
+    intersect.  The first kind that cannot be refuses the query, whatever
+    follows.  One letter before a colon is a drive, and belongs to the words.
+    """
     out, words, listed = FileQuery(), [], []
     for token in text.split():
         key, colon, value = token.partition(":")
         key = key.lower()
         if not colon or key not in ("ext", "path", "kind"):
             words.append(token)
-        elif not value:
-            out.pending.append(key)
         elif key == "ext":
-            listed += [e[1:] for e in map(normalized_ext, value.split(",")) if e]
+            found = [e for e in (x.strip().lstrip(".").lower() for x in value.split(",")) if e]
+            listed += found
+            out.pending += [] if found else ["ext"]
         elif key == "path":
-            out.path = value
+            out.path = value or out.path
+            out.pending += [] if value else ["path"]
         else:
-            out.kind = value.lower()
+            kind, refused = _kind_or_refusal(value.lower())
+            if refused:
+                out.refused = refused
+                return out
+            out.kind = kind or out.kind
+            out.pending += [] if kind else ["kind"]
     out.name = " ".join(words)
     exts = list(dict.fromkeys(listed))
-    if out.kind == "folder":
-        out.refused = "folders cannot be told apart"
-    elif out.kind and out.kind not in KIND_EXTS:
-        if any(k.startswith(out.kind) for k in (*KIND_EXTS, "folder")):
-            out.pending.append("kind")
-            out.kind = ""
-        else:
-            out.refused = f"no kind is called {out.kind}"
-    elif out.kind:
+    if out.kind:
         own = KIND_EXTS[out.kind]
         both = [e for e in exts if e in own]
-        half = [e for e in exts if e not in own and any(o.startswith(e) for o in own)]
-        if exts and not both and half:
+        if exts and not both:
+            if not any(o.startswith(e) for e in exts for o in own):
+                out.refused = "no extension is of that kind"
+                return out
             out.pending.append("ext")
-            both = own
-        elif exts and not both:
-            out.refused = "no extension is of that kind"
-        exts = both if exts else own
+        exts = both or own
     out.exts = exts
-    if not out.refused and not out.name and (out.exts or out.path or out.kind or out.pending):
-        out.refused = "add a word from the name"
+    if not out.name and text.strip():
+        out.refused = "a filter needs something to search for"
     return out

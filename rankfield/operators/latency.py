@@ -14,10 +14,14 @@ def nearest_rank(column: str, q: float) -> Column:
     return F.expr(f"percentile_disc({q}) WITHIN GROUP (ORDER BY {column})")
 
 
-def probe_percentile(column: str, q: float) -> Column:
-    """The other rule: the value of index round((n - 1) q)."""
-    values = F.sort_array(F.collect_list(column))
-    return F.get(values, F.round((F.size(values) - 1) * q).cast("int"))
+def probe_percentile(samples: DataFrame, q: float, by: str = "class", value: str = "value") -> DataFrame:
+    """The other rule: the value of index round((n - 1) q), half away from zero.  Ranks are counted per distinct value, so no class is gathered."""
+    counts = samples.where(F.col(value).isNotNull()).groupBy(by, value).agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(by).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    all_ = F.sum("_n").over(Window.partitionBy(by))
+    at = F.round((all_ - 1) * q).cast("long")
+    ranked = counts.withColumns({"_before": before, "_at": at}).where("_at >= _before and _at < _before + _n")
+    return ranked.select(by, F.col(value).alias(f"p{int(q * 100)}"))
 
 
 def summary(samples: DataFrame, by: str = "class", value: str = "value") -> DataFrame:
@@ -47,22 +51,47 @@ def running(samples: DataFrame, by: str, order: str, value: str) -> DataFrame:
     return samples.withColumn("ring_mean", F.avg(value).over(w)).withColumn("ring_most", F.max(value).over(w)).withColumn("ring_n", F.count("*").over(w))
 
 
+#: Generations to a block when running minima are taken over all of them.
+BLOCK_GENERATIONS = 10_000
+
+
 def one_shot(keydown: DataFrame, applied: DataFrame) -> DataFrame:
-    """gen, latency: a keydown meets the first applied of its generation, unless a later generation was applied before."""
-    first = applied.groupBy("gen").agg(F.min("ts").alias("applied_ts"))
-    newer = Window.orderBy(F.desc("gen")).rowsBetween(Window.unboundedPreceding, -1)
-    live = first.withColumn("_before", F.min("applied_ts").over(newer)).where("_before is null or _before > applied_ts").drop("_before")
+    """gen, latency: a keydown meets the first applied of its generation, unless a later generation was applied before.
+
+    The least time of all later generations is taken within blocks of them, and
+    over the blocks' own minima.
+    """
+    block = F.floor(F.col("gen") / BLOCK_GENERATIONS)
+    first = applied.groupBy("gen").agg(F.min("ts").alias("applied_ts")).withColumn("_block", block)
+    newer = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    blocks = first.groupBy("_block").agg(F.min("applied_ts").alias("_least"))  # a row a block
+    later = blocks.select("_block", F.min("_least").over(newer(Window.orderBy(F.desc("_block")))).alias("_later"))
+    within = F.min("applied_ts").over(newer(Window.partitionBy("_block").orderBy(F.desc("gen"))))
+    live = first.withColumn("_within", within).join(later, "_block").withColumn("_before", F.least("_within", "_later"))
+    live = live.where("_before is null or _before > applied_ts").select("gen", "applied_ts")
     return keydown.groupBy("gen").agg(F.min("ts").alias("key_ts")).join(live, "gen").select("gen", (F.col("applied_ts") - F.col("key_ts")).alias("latency"))
 
 
 def frame_gaps(events: DataFrame) -> DataFrame:
-    """Per hidden interval (source, interval): how long, ticks, the longest gap with the tail, and the first tick's delay."""
-    by = Window.partitionBy("source").orderBy("ts")
-    marked = events.withColumn("interval", F.sum(F.when(F.col("event") == "hide", 1).otherwise(0)).over(by)).where("interval > 0")
-    inner = Window.partitionBy("source", "interval").orderBy("ts")
-    ended = F.min(F.when(F.col("event") == "show", F.col("ts"))).over(Window.partitionBy("source", "interval"))
-    kept = marked.withColumn("end", ended).where("ts <= coalesce(end, ts)").withColumn("gap", F.col("ts") - F.lag("ts").over(inner))
-    return kept.groupBy("source", "interval").agg(
-        (F.max("ts") - F.min("ts")).alias("duration"), F.sum(F.when(F.col("event") == "tick", 1).otherwise(0)).alias("ticks"), F.max("gap").alias("max_gap"),
-        (F.min(F.when(F.col("event") == "tick", F.col("ts"))) - F.min("ts")).alias("first_delay"),
+    """Per hidden interval that ended in a show: its duration, ticks, longest gap, and how long the first frame took after the show.
+
+    events: source, ts, event ('hide', 'show', 'tick').  A gap runs from the
+    last tick, also one from before the hide, and the last one is still open at
+    the show; without any tick it is the whole interval.  first_delay is null if
+    the next hide came before a frame.
+    """
+    by = Window.partitionBy("source").orderBy("ts", "event")
+    to_here = by.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    is_ = lambda kind: F.col("event") == kind
+    marked = events.withColumns({
+        "interval": F.sum(F.when(is_("hide"), 1).otherwise(0)).over(to_here),
+        "_tick": F.last(F.when(is_("tick"), F.col("ts")), ignorenulls=True).over(by.rowsBetween(Window.unboundedPreceding, -1)),
+    }).where("interval > 0")
+    inside = Window.partitionBy("source", "interval")
+    whole = marked.withColumns({"_hide": F.min(F.when(is_("hide"), F.col("ts"))).over(inside), "_show": F.min(F.when(is_("show"), F.col("ts"))).over(inside)}).where("_show is not null")
+    hidden = (F.col("ts") > F.col("_hide")) & (F.col("ts") <= F.col("_show"))
+    gap = F.when(hidden & is_("tick") & (F.col("ts") < F.col("_show")), F.col("ts") - F.col("_tick")).when(is_("show") & (F.col("ts") == F.col("_show")), F.col("ts") - F.coalesce("_tick", "_hide"))
+    return whole.groupBy("source", "interval").agg(
+        (F.first("_show") - F.first("_hide")).alias("duration"), F.sum(F.when(hidden & is_("tick") & (F.col("ts") < F.col("_show")), 1).otherwise(0)).alias("ticks"), F.max(gap).alias("max_gap"),
+        (F.min(F.when(is_("tick") & (F.col("ts") > F.col("_show")), F.col("ts"))) - F.first("_show")).alias("first_delay"),
     )

@@ -37,5 +37,10 @@ def tail(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(F.desc("ts"), F.desc("file_idx"), F.desc("line_no")).limit(n).orderBy("ts", "file_idx", "line_no")
 
 
+def files(named: DataFrame) -> DataFrame:
+    """Each folder and file once."""
+    return named.select("folder", "file").distinct()
+
+
 def shown_component(component, prefix: str):
     return F.left(F.regexp_replace(component, f"^{prefix}_?[a-z0-9]*::", ""), F.lit(COMPONENT))

@@ -29,11 +29,28 @@ def collapse_names(rows: DataFrame, *arrival: str) -> DataFrame:
 
 
 def cap_kinds(rows: DataFrame, order: list, by: list[str] | None = None, exempt: Column | None = None) -> DataFrame:
-    """At most KIND_CAPS rows of a kind (in each group of by); exempt rows always stay, and count."""
-    caps = F.create_map(*(F.lit(x) for kv in KIND_CAPS.items() for x in kv))
+    """At most KIND_CAPS rows of a kind (in each group of by); exempt rows always stay, and count.
+
+    Each kind is limited by a constant, so that tasks keep that many rows before
+    the shuffle.  Exempt rows stand first in order.
+    """
     place = F.row_number().over(Window.partitionBy(*(by or []), "kind").orderBy(*order))
-    kept = F.col("_place") <= F.coalesce(F.element_at(caps, F.col("kind")), F.lit(1 << 30))
-    return rows.withColumn("_place", place).where(kept if exempt is None else kept | exempt).drop("_place")
+    parts = [_first_rows(rows.where(F.col("kind") == kind), place, cap) for kind, cap in KIND_CAPS.items()]
+    rest = rows.where(~F.coalesce(F.col("kind").isin(*KIND_CAPS), F.lit(False)))
+    if exempt is not None:  # those beyond a kind's cap
+        more = rows.where(exempt & F.col("kind").isin(*KIND_CAPS)).withColumn("_place", place)
+        caps = F.create_map(*(F.lit(x) for kv in KIND_CAPS.items() for x in kv))
+        parts.append(more.where(F.col("_place") > F.element_at(caps, F.col("kind"))).drop("_place"))
+    return reduce(DataFrame.unionByName, [*parts, rest])
+
+
+def _first_rows(rows: DataFrame, place: Column, n: int) -> DataFrame:
+    return rows.withColumn("_place", place).where(F.col("_place") <= n).drop("_place")
+
+
+def inline_files(rows: DataFrame, order: list) -> DataFrame:
+    """The files that stand in the root list: after names are collapsed, the first INLINE_FILES."""
+    return rows.where(F.col("kind") == "file").orderBy(*order).limit(INLINE_FILES)
 
 
 def merge(rows: DataFrame, frozen: DataFrame | None = None) -> DataFrame:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankfield.functions.match import rank_factor, tier_name, tier_score
+from rankfield.functions.match import may_match, rank_factor, tier_name, tier_score
+from rankfield.functions.text import class_mask, fold_text, fold_unicode, mask_of
 
 #: The page a caller may ask for, and how long usage takes to halve.
 LEAST_PAGE, MOST_PAGE = 1, 512
@@ -20,8 +23,13 @@ CATALOG_CAPS = {"app": 8, "setting": 4, "command": 3, "window": 5}
 POOL = 8
 
 
-def scored(entries: DataFrame, q: Column) -> DataFrame:
-    """entries (folded, lane, depth, flags) with base, tier and score; those that do not match are left out."""
+def scored(entries: DataFrame, q: Column | str) -> DataFrame:
+    """entries (folded, lane, depth, flags, perhaps mask) with base, tier and score; those that do not match q, already folded, are left out.
+
+    Where entries have a class mask it stands before the tiers, and loses no match.
+    """
+    if "mask" in entries.columns:
+        entries = entries.where(may_match(F.col("mask"), F.lit(mask_of(q)) if isinstance(q, str) else class_mask(q)))
     hit = entries.withColumn("base", tier_score(F.col("folded"), F.col("lane"), q)).where("base is not null")
     return hit.withColumn("tier", tier_name(F.col("base"))).withColumn("score", F.col("base") * rank_factor(F.col("depth"), F.col("flags")))
 
@@ -38,18 +46,24 @@ def pages(rows: DataFrame, by: str | list[str], k: int | Column, *order: str | C
 
 
 def search(entries: DataFrame, q: str, k: int = 32) -> DataFrame:
-    """The page of one query."""
-    return page(scored(entries, F.lit(q)), k, "frn")
+    """The page of one query, in any case and normalisation."""
+    return page(scored(entries, fold_text(q)), k, "frn")
 
 
 def batch_search(entries: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """Pages of many queries (qid, q) in one pass over entries.
 
-    The queries are the broadcast side of a loop join, which is right for up to
-    QUERIES_AT_ONCE of them; callers with more pass them in blocks.
+    The queries are the broadcast side of a loop join over QUERIES_AT_ONCE of
+    them; where there are more, blocks of that size go over entries in turn.
     """
-    crossed = entries.join(F.broadcast(queries), F.expr("q <> ''"))
-    return pages(scored(crossed, F.col("q")), "qid", k, F.desc("score"), "frn")
+    blocks = max(1, -(-queries.count() // QUERIES_AT_ONCE))
+    own = queries.select("qid", fold_unicode(F.col("q")).alias("q")).withColumns({"_mask": class_mask(F.col("q")), "_block": F.pmod(F.xxhash64("qid"), F.lit(blocks))})
+    out = []
+    for n in range(blocks):
+        asked = F.broadcast(own.where(F.col("_block") == n).drop("_block"))
+        crossed = entries.join(asked, (F.col("q") != "") & (may_match(F.col("mask"), F.col("_mask")) if "mask" in entries.columns else F.lit(True)))
+        out.append(pages(scored(crossed.drop("mask", "_mask"), F.col("q")), "qid", k, F.desc("score"), "frn"))
+    return reduce(DataFrame.unionByName, out)
 
 
 QUERIES_AT_ONCE = 10_000
@@ -90,6 +104,40 @@ def path_weight(path: Column) -> Column:
     return F.when(low, LOW_WEIGHT).otherwise(1.0)
 
 
+def file_key(volume: Column, frn: Column) -> Column:
+    """What usage of a file is kept under."""
+    return F.concat_ws(":", volume.cast("string"), frn.cast("string"))
+
+
+def file_batch(page_: DataFrame, used: DataFrame, now: int) -> DataFrame:
+    """A page of files (volume_idx, frn, path, score, pos) with usage added to score, best first, equal ones as they stood; and display, what the list sorts by."""
+    keyed = page_.withColumn("_key", file_key(F.col("volume_idx"), F.col("frn")))
+    own = with_usage(keyed, used, now, "_key").withColumn("score", F.col("score") + F.col("bonus"))
+    out = own.withColumn("display", F.col("score") * path_weight(F.col("path"))).drop("_key", "bonus")
+    return out.orderBy(F.desc("score"), "pos")
+
+
+def fallback_rows(names: DataFrame) -> DataFrame:
+    """Rows of another program's search, which has no scores of its own; path is what their usage is kept under."""
+    return names.withColumns({"score": F.lit(FALLBACK_BASE), "id": F.col("path")})
+
+
+def calculator_row(display: Column, copy: Column) -> Column:
+    """The calculator's answer as a row of the list, above all others."""
+    return F.struct(F.lit("calc").alias("kind"), F.lit("calc").alias("key"), display.alias("name"), copy.alias("subtitle"), F.lit(CALCULATOR_SCORE).alias("score"))
+
+
+#: Kinds and actions that count as a launch.
+LAUNCHES = {"app": ("open", "runas"), "command": ("open",), "setting": ("open",), "window": ("open", "switch"), "file": ("open",)}
+
+
+def counts_as_launch(kind: Column, action: Column) -> Column:
+    out = F.lit(False)
+    for k, actions in LAUNCHES.items():
+        out = out | ((kind == k) & action.isin(*actions))
+    return out
+
+
 def band(base: Column, direct: Column, threshold: float) -> Column:
     """A command's score, lifted if its own name reaches the threshold."""
     return base + F.when(direct >= threshold, BAND_LIFT).otherwise(0.0)

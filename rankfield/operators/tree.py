@@ -15,12 +15,31 @@ MOST_LINKS = 512
 def resolve(entries: DataFrame, root: str = "") -> DataFrame:
     """frn, depth, path and parent_path of each entry.
 
-    Links are followed by doubling: a round joins each entry's furthest known
-    ancestor with that ancestor's own, so a chain of n links takes log2(n)
-    rounds.  A parent that is missing, or the entry itself, ends the walk.
-    Chains that never end have depth DEEPEST, as has all that hangs from them.
+    Only entries that are the parent of another are followed upwards, by
+    doubling: a round joins each one's furthest known ancestor with that
+    ancestor's own, so a chain of n links takes log2(n) rounds.  All others are
+    joined with their parent once.  A parent that is missing, or the entry
+    itself, ends the walk.  Chains that never end have depth DEEPEST, as has all
+    that hangs from them.
     """
     own = entries.select("frn", "parent_frn", "name")
+    parents = own.where("parent_frn <> frn").select(F.col("parent_frn").alias("frn")).distinct()
+    inner = materialized(own.join(parents, "frn", "left_semi"), "inner")
+    followed = materialized(_follow(inner), "followed")
+    above = followed.select(F.col("frn").alias("parent_frn"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("names").alias("names2"))
+    leaves = own.join(inner.select("frn"), "frn", "left_anti").withColumn("parent_frn", F.when(F.col("parent_frn") != F.col("frn"), F.col("parent_frn")))
+    hung = leaves.join(above, "parent_frn", "left").select(
+        "frn", F.col("up2").alias("up"), F.coalesce(F.col("depth2") + 1, F.lit(0)).alias("depth"), F.concat(F.coalesce("names2", F.array().cast("array<string>")), F.array("name")).alias("names")
+    )
+    text = lambda names: F.array_join(F.concat(F.array(F.lit(root)) if root else F.array().cast("array<string>"), names), "\\")
+    return followed.unionByName(hung).select(
+        "frn", F.when(F.col("up").isNotNull(), DEEPEST).otherwise(F.least("depth", F.lit(DEEPEST))).cast("int").alias("depth"),
+        text(F.col("names")).alias("path"), text(F.slice("names", F.lit(1), F.size("names") - 1)).alias("parent_path"),
+    )
+
+
+def _follow(own: DataFrame) -> DataFrame:
+    """frn, up (set where a chain has not ended), depth and names from the top."""
     known = own.select(F.col("frn").alias("parent_frn"), F.lit(True).alias("there"))
     linked = F.col("there").isNotNull() & (F.col("parent_frn") != F.col("frn"))
     state = own.join(known, "parent_frn", "left").select(
@@ -33,11 +52,28 @@ def resolve(entries: DataFrame, root: str = "") -> DataFrame:
             "frn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.concat(F.coalesce("names2", F.array().cast("array<string>")), "names").alias("names")
         )
         state, links = materialized(state, "walk"), links * 2
-    text = lambda names: F.array_join(F.concat(F.array(F.lit(root)) if root else F.array().cast("array<string>"), names), "\\")
-    return state.select(
-        "frn", F.when(F.col("up").isNotNull(), DEEPEST).otherwise(F.least("depth", F.lit(DEEPEST))).cast("int").alias("depth"),
-        text(F.col("names")).alias("path"), text(F.slice("names", F.lit(1), F.size("names") - 1)).alias("parent_path"),
-    )
+    return state
+
+
+def depths_of_new(snapshot: DataFrame, added: DataFrame) -> DataFrame:
+    """frn and depth of added entries, from their parents' depths in the snapshot; without a parent there, 0."""
+    above = snapshot.select(F.col("frn").alias("parent_frn"), F.col("depth").alias("_depth"))
+    place = F.when(F.col("parent_frn") == F.col("frn"), 0).otherwise(F.least(F.coalesce(F.col("_depth") + 1, F.lit(0)), F.lit(DEEPEST)))
+    return added.join(above, "parent_frn", "left").select("frn", place.cast("int").alias("depth"))
+
+
+def repair(snapshot: DataFrame, moved: DataFrame) -> DataFrame:
+    """snapshot with the depth and paths of moved folders (frn), and of all that hangs from them, resolved again.
+
+    The rest is passed on as it stands.  What hangs from a folder is found by its
+    old path, so only that much is joined with the resolved tree.
+    """
+    tops = snapshot.join(moved.select("frn").distinct(), "frn", "left_semi").select(F.col("path").alias("_top"))
+    under = (F.col("path") == F.col("_top")) | F.startswith(F.col("path"), F.concat(F.col("_top"), F.lit("\\")))
+    stale = materialized(snapshot.join(F.broadcast(tops), under, "left_semi").select("frn"), "stale")  # folders moved within one debounce
+    again = resolve(snapshot).join(stale, "frn", "left_semi").select("frn", *(F.col(c).alias(f"_{c}") for c in ("depth", "path", "parent_path")))
+    fresh = snapshot.join(again, "frn").withColumns({c: F.col(f"_{c}") for c in ("depth", "path", "parent_path")}).select(*snapshot.columns)
+    return snapshot.join(stale, "frn", "left_anti").select(*snapshot.columns).unionByName(fresh)
 
 
 def orphans(entries: DataFrame) -> DataFrame:

@@ -3,19 +3,26 @@
 from __future__ import annotations
 
 import datetime as dt
+import unicodedata
+import uuid
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from rankfield.functions import match, scalar, shellmatch
 from rankfield.functions.calc import calculator
 from rankfield.functions.ranges import ranges_column
-from rankfield.functions.text import class_mask, fold_unicode, initials, segments
-from rankfield.operators import catalogs, clips, content, filters, latency, logs, merge, minor, rank, tree
+from rankfield.functions.text import fold_unicode, initials, mask_of, segments
+from rankfield.operators import catalogs, clips, content, filters, latency, logs, merge, minor, rank, scopes, security, tree
+from rankfield.plans import snapshot
 from rankfield.plans import sqltext as S
+from rankfield.session import materialized, shared_folder
 from rankfield.sources import adapters as A
-from rankfield.streaming import changes, sessions
+from rankfield.sources import journal, providers
+from rankfield.streaming import changes, live, sessions, usage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,13 +44,23 @@ def r6(c: str = "score"):
     return F.round(F.col(c), 6).alias(c)
 
 
+_CATALOGS: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def _catalog(spark, sf_dir: str, name: str, rows) -> DataFrame:
+    """A snapshot that is built when it is first asked for, and then searched: ingest is not part of a query."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _CATALOGS:
+        _CATALOGS[key] = snapshot.build(rows(spark, sf_dir), name)
+    return _CATALOGS[key]
+
+
 def tree_entries(spark, sf_dir) -> DataFrame:
-    rows = A.tree_rows(spark, sf_dir)
-    return A.with_derived(rows.join(tree.resolve(rows), "frn"))
+    return _catalog(spark, sf_dir, "tree", A.tree_rows)
 
 
 def part_entries(spark, sf_dir) -> DataFrame:
-    return A.with_derived(A.part_rows(spark, sf_dir)).withColumn("depth", F.lit(0))
+    return _catalog(spark, sf_dir, "parts", A.part_rows)
 
 
 def parts_sql(q: str, order: str = "score DESC, frn LIMIT 20", more: str = "") -> str:
@@ -85,13 +102,13 @@ def topk_page(spark, sf_dir):
 
 @query(f"WITH {S.PARTS}, hit AS (SELECT {S.tiers('brt')} AS base FROM parts) SELECT CASE WHEN base >= 1 THEN 'exact' WHEN base >= 0.9 THEN 'prefix' WHEN base >= 0.8 THEN 'word' WHEN base >= 0.7 THEN 'initials' WHEN base >= 0.55 THEN 'substring' ELSE 'fuzzy' END AS tier, count(*) AS n, round(max(base), 6) AS best FROM hit WHERE base IS NOT NULL GROUP BY 1")
 def search_all_tiers(spark, sf_dir):
-    return rank.scored(part_entries(spark, sf_dir), F.lit("brt")).groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max("base"), 6).alias("best"))
+    return rank.scored(part_entries(spark, sf_dir), "brt").groupBy("tier").agg(F.count("*").alias("n"), F.round(F.max("base"), 6).alias("best"))
 
 
 @query(f"WITH {S.PARTS}, m AS (SELECT count(*) FILTER (WHERE len(list_filter(string_split('rdbr', ''), lambda c: NOT contains(lower(name), c))) = 0) AS survivors, count(*) FILTER (WHERE ({S.tiers('rdbr')}) < 0.55) AS verified FROM parts) SELECT survivors, verified, survivors > 20000 AS capped FROM m")
 def fuzzy_survivors(spark, sf_dir):
     """Entries that hold all of the query's characters, of these the fuzzy matches, and whether a cap of 20,000 would have bitten."""
-    e = part_entries(spark, sf_dir).withColumn("base", match.tier_score(F.col("folded"), F.col("lane"), F.lit("rdbr")))
+    e = part_entries(spark, sf_dir).withColumn("base", match.tier_score(F.col("folded"), F.col("lane"), "rdbr"))
     holds = F.forall(F.array(*(F.lit(c) for c in "rdbr")), lambda c: F.contains(F.col("folded"), c))
     return e.agg(F.count(F.when(holds, 1)).alias("survivors"), F.count(F.when(F.col("base") < 0.55, 1)).alias("verified")).withColumn("capped", F.col("survivors") > 20000)
 
@@ -123,23 +140,55 @@ def names_normalised(spark, sf_dir):
     return A.part_rows(spark, sf_dir).select("frn", F.lower("name").alias("folded"), initials(F.col("name")).alias("lane"), F.size(segments(F.col("name"))).cast("long").alias("n_segments"))
 
 
-@query()
+_ACCENTS = "SELECT doc_id AS frn, regexp_extract(text, '^[^ \\t\\n]+ ?[^ \\t\\n]*', 0) AS name FROM documents WHERE lang <> 'en'"
+
+
+@F.pandas_udf(StringType())
+def _decomposed(x: pd.Series) -> pd.Series:
+    return x.map(lambda v: unicodedata.normalize("NFD", v), na_action="ignore")
+
+
+def _accented(spark, sf_dir) -> DataFrame:
+    """First two words of texts in other languages, in decomposed form where the number is even."""
+    docs = A.table(spark, sf_dir, "documents").where("lang <> 'en'")
+    name = F.regexp_extract("text", "^[^ \\t\\n]+ ?[^ \\t\\n]*", 0)
+    rows = docs.select(F.col("doc_id").alias("frn"), F.when(F.pmod("doc_id", F.lit(2)) == 0, _decomposed(name)).otherwise(name).alias("name"))
+    return A.with_derived(rows.where("name <> ''")).withColumns({"depth": F.lit(0), "flags": F.lit(0)})
+
+
+@query(f"WITH a AS ({_ACCENTS}), f AS (SELECT frn, lower(nfc_normalize(name)) AS folded, lower(nfc_normalize(name)) AS name FROM a WHERE name <> ''), hit AS (SELECT frn, {S.tiers('é', 'folded', chr(39) + chr(39))} AS base FROM f) SELECT frn, round(base, 6) AS score FROM hit WHERE base IN (1.0, 0.9, 0.8)")
+def search_unicode(spark, sf_dir):
+    """Names beyond ASCII, composed or not, found by a query in capitals and decomposed: whole, at the start, or at a word."""
+    hit = rank.scored(_accented(spark, sf_dir), rank.fold_text("E\u0301"))
+    return hit.where(F.col("base").isin(match.EXACT, match.PREFIX, match.WORD)).select("frn", r6())
+
+
+def _mask_sql(text: str) -> str:
+    return f"(SELECT bit_or(1::HUGEINT << (CASE WHEN c BETWEEN 97 AND 122 THEN c - 97 WHEN c BETWEEN 48 AND 57 THEN c - 22 WHEN c = 45 THEN 36 WHEN c = 95 THEN 37 WHEN c = 46 THEN 38 WHEN c = 32 THEN 39 ELSE 40 + c % 8 END)::INTEGER) FROM (SELECT unnest(list_transform(string_split(lower({text}), ''), lambda x: ascii(x))) AS c))"
+
+
+@query(f"WITH {S.PARTS} SELECT frn, {_mask_sql('name')}::BIGINT AS mask FROM parts WHERE len(list_filter(string_split('gwz', ''), lambda c: NOT contains(lower(name), c))) = 0")
 def class_prefilter(spark, sf_dir):
-    """Names whose byte classes cover those of a query: what a match must at least be."""
-    e = part_entries(spark, sf_dir).withColumn("mask", class_mask(F.col("folded")))
-    return e.where(match.may_match(F.col("mask"), class_mask(F.lit("rdbr")))).select("frn", "mask")
+    """Names whose byte classes cover those of a query: what a match must at least be.  Letters and digits have a class each."""
+    e = part_entries(spark, sf_dir)
+    return e.where(match.may_match(F.col("mask"), F.lit(mask_of("gwz")))).select("frn", "mask")
 
 
-@query()
+@query("SELECT doc_id, lower(nfc_normalize(text)) AS folded FROM documents")
 def fold_unicode_names(spark, sf_dir):
     docs = A.table(spark, sf_dir, "documents")
-    return docs.select("doc_id", fold_unicode(F.left("text", F.lit(200))).alias("folded"))
+    return docs.select("doc_id", fold_unicode(F.col("text")).alias("folded"))
 
 
-@query()
+@query(f"WITH {S.PARTS}, hit AS (SELECT frn, name, {S.tiers('r-b')} AS base FROM parts), page AS (SELECT * FROM hit WHERE base IS NOT NULL ORDER BY base DESC, frn LIMIT 20) SELECT frn, name, CASE WHEN base = 0.55 THEN 'substring' ELSE 'fuzzy' END AS tier, CASE WHEN base = 0.55 THEN '[' || (strpos(lower(name), 'r-b') - 1) || ',' || (strpos(lower(name), 'r-b') + 2) || ')' ELSE '[' || (strpos(lower(name), 'r') - 1) || ',' || strpos(lower(name), 'r') || ')...' END AS ranges FROM page")
 def match_ranges(spark, sf_dir):
-    page = rank.search(part_entries(spark, sf_dir), "rbt", 20)
-    return page.select("frn", "name", "tier", ranges_column("name", F.lit("rbt"), "tier").alias("ranges"))
+    """Ranges of the page as text: the whole of a substring, the beginning of others."""
+    page = rank.search(part_entries(spark, sf_dir), "R-B", 20)
+    found = page.select("frn", "name", "tier", ranges_column("name", F.lit("r-b"), "tier").alias("r"))
+    one = lambda x: F.concat(F.lit("["), x["s"].cast("string"), F.lit(","), x["e"].cast("string"), F.lit(")"))
+    first = F.col("r")[0]
+    lone = F.concat(F.lit("["), first["s"].cast("string"), F.lit(","), (first["s"] + 1).cast("string"), F.lit(")..."))
+    return found.select("frn", "name", "tier", F.when(F.col("tier") == "substring", F.array_join(F.transform("r", one), "")).otherwise(lone).alias("ranges"))
 
 
 @query(f"WITH {S.PARTS} SELECT left(lower(name), 1) AS first, count(*) AS n FROM parts GROUP BY 1 ORDER BY n DESC, first LIMIT 6")
@@ -248,7 +297,7 @@ _CUSTOMERS = "SELECT c_custkey::VARCHAR AS id, c_name AS name FROM customer"
 
 def _customers(spark, sf_dir, q: str) -> DataFrame:
     c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").cast("string").alias("id"), F.col("c_name").alias("name"))
-    return rank.with_usage(c.withColumn("score", shellmatch.score(F.col("name"), F.lit(q))).where("score is not null"), rank.usage(A.launches(spark, sf_dir)), NOW)
+    return rank.with_usage(c.withColumn("score", shellmatch.score(F.col("name"), q)).where("score is not null"), rank.usage(A.launches(spark, sf_dir)), NOW)
 
 
 @query(f"WITH {_USAGE}, hit AS (SELECT id, name, {S.shell('0001')} AS score FROM ({_CUSTOMERS})) SELECT h.id, round(score + coalesce(bonus, 0), 6) AS total FROM hit h LEFT JOIN bonus b USING (id) WHERE score IS NOT NULL")
@@ -317,9 +366,9 @@ def windows_listed(spark, sf_dir):
     return catalogs.listed_windows(_windows(spark, sf_dir)).select("id", "title")
 
 
-@query(f"WITH w AS ({_WINDOWS}), hit AS (SELECT id, title AS name, {S.shell('s1', 'title')} AS score FROM w WHERE visible AND alt_tab AND NOT tool AND NOT cloaked AND trim(title) <> '') SELECT id, round(score, 6) AS score FROM hit WHERE score IS NOT NULL")
+@query(f"WITH w AS ({_WINDOWS}), hit AS (SELECT id, title AS name, {S.shell('r#0', 'title')} AS score FROM w WHERE visible AND alt_tab AND NOT tool AND NOT cloaked AND trim(title) <> '') SELECT id, round(score, 6) AS score FROM hit WHERE score IS NOT NULL")
 def windows_match(spark, sf_dir):
-    return catalogs.matched(catalogs.listed_windows(_windows(spark, sf_dir)).withColumnRenamed("title", "name"), "window", "s1").select("id", r6())
+    return catalogs.matched(catalogs.listed_windows(_windows(spark, sf_dir)).withColumnRenamed("title", "name"), "window", "R#0").select("id", r6())
 
 
 @query("SELECT s_suppkey AS id FROM supplier WHERE lower(s_name) NOT IN (SELECT lower(s_name) FROM supplier WHERE s_suppkey % 10 = 3)")
@@ -340,10 +389,10 @@ def volume_discovery(spark, sf_dir):
 def _sources(spark, sf_dir) -> DataFrame:
     part = A.table(spark, sf_dir, "part")
     kind = F.element_at(F.array(*(F.lit(k) for k in ("app", "file", "command", "setting", "window", "calc"))), (F.pmod("p_partkey", F.lit(6)) + 1).cast("int"))
-    return part.where("p_partkey % 4 < 3").select(kind.alias("kind"), F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("score"), F.when(kind == "command", F.pmod("p_partkey", F.lit(5)).cast("int")).alias("ord"))
+    return part.select(kind.alias("kind"), F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("name"), F.col("p_retailprice").alias("score"), F.when(kind == "command", F.pmod("p_partkey", F.lit(5)).cast("int")).alias("ord"))
 
 
-_ROWS = "rows_ AS (SELECT ['app','file','command','setting','window','calc'][(p_partkey % 6 + 1)::INTEGER] AS kind, p_partkey::VARCHAR AS key, p_name AS name, p_retailprice AS score, CASE WHEN p_partkey % 6 = 2 THEN (p_partkey % 5)::INTEGER END AS ord FROM part WHERE p_partkey % 4 < 3)"
+_ROWS = "rows_ AS (SELECT ['app','file','command','setting','window','calc'][(p_partkey % 6 + 1)::INTEGER] AS kind, p_partkey::VARCHAR AS key, p_name AS name, p_retailprice AS score, CASE WHEN p_partkey % 6 = 2 THEN (p_partkey % 5)::INTEGER END AS ord FROM part)"
 _ORDER = "score DESC, CASE WHEN kind = 'file' THEN 1 ELSE 0 END, coalesce(ord, 0), name, key"
 _CAPS = "CASE kind WHEN 'calc' THEN 1 WHEN 'window' THEN 2 ELSE 3 END"
 
@@ -406,7 +455,7 @@ def fold_changes(spark, sf_dir):
 @query(f"WITH {_LIVE}, hit AS (SELECT frn, {S.tiers('item_1')} * {S.factor('0')} AS score FROM live) SELECT frn, round(score, 6) AS score FROM hit WHERE score IS NOT NULL")
 def fold_then_search(spark, sf_dir):
     e = A.with_derived(changes.fold(A.changes(spark, sf_dir))).withColumn("depth", F.lit(0))
-    return rank.scored(e, F.lit("item_1")).select("frn", r6())
+    return rank.scored(e, "item_1").select("frn", r6())
 
 
 @query(f"WITH {_CHANGES}, g AS (SELECT count(*) AS total, count(*) FILTER (a.op = 'D') AS dead FROM (SELECT DISTINCT frn FROM ok WHERE op IN ('C', 'D', 'R')) f JOIN last_ USING (frn) LEFT JOIN ch a ON a.usn = cd) SELECT total, dead, dead / total >= 0.25 AS due_idle, dead / total > 0.40 AS due_now FROM g")
@@ -414,33 +463,56 @@ def compaction_stats(spark, sf_dir):
     return changes.waste(A.changes(spark, sf_dir)).select("total", "dead", "due_idle", "due_now")
 
 
-@query(f"WITH {_LIVE} SELECT * FROM live")
-def stream_fold(spark, sf_dir):
-    """The event log as a stream of files, folded in micro-batches; the last batch's entries."""
-    from rankfield.session import materialized, shared_folder
-
+def _stream_of(spark, sf_dir: str, files: int = 1) -> DataFrame:
+    """The event log as a stream of five files, so many to a micro-batch."""
     events = A.table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).parquet(_folder_of(spark, sf_dir, events))
-    published: list[DataFrame] = []
+    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
+    events.repartitionByRange(5, "event_id").write.parquet(path)
+    return spark.readStream.schema(events.schema).option("maxFilesPerTrigger", files).parquet(path)
 
-    def publish(batch: DataFrame, number: int) -> None:
-        published.append(materialized(batch, "folded"))
 
-    import uuid
+class _Published:
+    """What a stream's micro-batches publish, a folder a batch, so that one that is run again replaces its own."""
 
-    changes.fold_stream(A.changes_from_events(stream), f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}", publish).awaitTermination()
-    return published[-1] if published else changes.fold(A.changes_from_events(events.limit(0)))
+    def __init__(self, spark):
+        self.spark, self.path, self.checkpoint = spark, f"{shared_folder(spark)}/states-{uuid.uuid4().hex}", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
+    def __call__(self, batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch={number}")
 
-def _folder_of(spark, sf_dir: str, events: DataFrame) -> str:
-    """A folder of the events' rows in several files, as a stream of files reads folders."""
-    from rankfield.session import shared_folder
+    def states(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
 
-    import uuid
 
-    path = f"{shared_folder(spark)}/events-{uuid.uuid4().hex}"
-    events.repartitionByRange(4, "event_id").write.parquet(path)
-    return path
+@query(f"WITH {_LIVE} SELECT * FROM live")
+def stream_fold(spark, sf_dir):
+    """The event log as a stream of files, folded in five micro-batches, of which each publishes what it changed."""
+    out = _Published(spark)
+    changes.fold_stream(A.changes_from_events(_stream_of(spark, sf_dir)), out.checkpoint, out).awaitTermination()
+    return changes.latest(out.states())
+
+
+@query(f"WITH {_USAGE} SELECT id, n AS count, last_ts FROM bonus")
+def stream_usage(spark, sf_dir):
+    """Launches as a stream: counts and last times by id after all micro-batches."""
+    out = _Published(spark)
+    e = _stream_of(spark, sf_dir).where(F.col("event_type").isin("view", "click"))
+    usage.usage_stream(e.select(F.col("user_id").cast("string").alias("id"), F.col("event_type").alias("kind"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("ts")), out.checkpoint, out).awaitTermination()
+    return usage.newest_states(out.states(), "id").select("id", "count", "last_ts")
+
+
+@query("WITH c AS (SELECT event_id AS ts, 'clip ' || (event_id % 700) AS text, event_id % 13 = 0 AS ex, CASE event_id % 17 WHEN 0 THEN 0 WHEN 1 THEN 1 END AS inc FROM events) SELECT md5(text) AS hash, max(ts) AS ts, count(*) AS times FROM c WHERE NOT ex AND coalesce(inc, 1) <> 0 GROUP BY 1")
+def stream_clips(spark, sf_dir):
+    """Captures as a stream: those that ask not to be remembered are not, and a content seen again moves to the top."""
+    out = _Published(spark)
+    inc = F.when(F.pmod("event_id", F.lit(17)) == 0, 0).when(F.pmod("event_id", F.lit(17)) == 1, 1)
+    formats = F.map_concat(
+        F.when(F.pmod("event_id", F.lit(13)) == 0, F.create_map(F.lit(clips.EXCLUDING), F.lit(None).cast("int"))).otherwise(F.create_map().cast("map<string,int>")),
+        F.when(inc.isNotNull(), F.create_map(F.lit(clips.CONSENTS[0]), inc)).otherwise(F.create_map().cast("map<string,int>")),
+    )
+    c = _stream_of(spark, sf_dir, 2).select(F.col("event_id").alias("ts"), F.concat(F.lit("clip "), F.pmod("event_id", F.lit(700)).cast("string")).alias("text"), F.lit("app").alias("source"), formats.alias("formats"))
+    usage.clips_stream(c, out.checkpoint, out).awaitTermination()
+    return usage.newest_states(out.states(), "hash").select("hash", "ts", "times")
 
 
 def _requests(spark, sf_dir) -> DataFrame:
@@ -482,7 +554,7 @@ def nearest_rank_percentiles(spark, sf_dir):
 
 @query("SELECT event_type AS class, list_sort(list(value))[(round((count(*) - 1) * 0.95)::BIGINT + 1)] AS p95 FROM events GROUP BY 1")
 def probe_percentile(spark, sf_dir):
-    return A.samples(spark, sf_dir).groupBy("class").agg(latency.probe_percentile("value", 0.95).alias("p95"))
+    return latency.probe_percentile(A.samples(spark, sf_dir), 0.95)
 
 
 @query("SELECT event_type AS class, quantile_disc(value, 0.95) AS p95, sum(CASE WHEN event_type = 'error' AND event_id % 100 = 3 THEN 1 ELSE 0 END)::BIGINT AS n_censored, CASE WHEN sum(CASE WHEN event_type = 'error' AND event_id % 100 = 3 THEN 1 ELSE 0 END) > 0 THEN 'CENSORED' WHEN quantile_disc(value, 0.95) <= 60 THEN 'PASS' ELSE 'FAIL' END AS verdict FROM events GROUP BY 1")
@@ -511,7 +583,12 @@ def keydown_applied(spark, sf_dir):
     return latency.one_shot(e.where("event_type = 'click'").select("gen", F.col("event_id").alias("ts")), e.where("event_type = 'view'").select("gen", (F.col("event_id") + late).alias("ts")))
 
 
-@query("WITH e AS (SELECT user_id AS source, event_id AS ts, CASE event_type WHEN 'signup' THEN 'hide' WHEN 'error' THEN 'show' ELSE 'tick' END AS event FROM events), m AS (SELECT *, sum(CASE WHEN event = 'hide' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts) AS interval_ FROM e), x AS (SELECT *, min(CASE WHEN event = 'show' THEN ts END) OVER (PARTITION BY source, interval_) AS end_ FROM m WHERE interval_ > 0), g AS (SELECT *, ts - lag(ts) OVER (PARTITION BY source, interval_ ORDER BY ts) AS gap FROM x WHERE ts <= coalesce(end_, ts)) SELECT source, interval_::BIGINT AS \"interval\", max(ts) - min(ts) AS duration, count(*) FILTER (event = 'tick') AS ticks, max(gap) AS max_gap, min(ts) FILTER (event = 'tick') - min(ts) AS first_delay FROM g GROUP BY 1, 2")
+@query("""WITH e AS (SELECT user_id AS source, event_id AS ts, CASE event_type WHEN 'signup' THEN 'hide' WHEN 'error' THEN 'show' ELSE 'tick' END AS event FROM events),
+m AS (SELECT *, sum(CASE WHEN event = 'hide' THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY ts) AS i, max(CASE WHEN event = 'tick' THEN ts END) OVER (PARTITION BY source ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM e),
+x AS (SELECT source, i, min(ts) FILTER (event = 'hide') AS hid, min(ts) FILTER (event = 'show') AS shown FROM m WHERE i > 0 GROUP BY 1, 2)
+SELECT x.source, x.i::BIGINT AS "interval", shown - hid AS duration, count(*) FILTER (event = 'tick' AND ts < shown) AS ticks,
+  max(CASE WHEN event = 'tick' AND ts < shown THEN ts - before WHEN ts = shown THEN ts - coalesce(before, hid) END) AS max_gap, min(ts) FILTER (event = 'tick' AND ts > shown) - shown AS first_delay
+FROM x JOIN m ON m.source = x.source AND m.i = x.i WHERE shown IS NOT NULL GROUP BY x.source, x.i, shown, hid""")
 def frame_gaps(spark, sf_dir):
     e = A.table(spark, sf_dir, "events")
     kind = F.when(F.col("event_type") == "signup", "hide").when(F.col("event_type") == "error", "show").otherwise("tick")
@@ -580,11 +657,12 @@ def marker_fields(spark, sf_dir):
 # --- scalars
 
 
-@query()
+@query("SELECT p_partkey, (p_size || ' * (' || p_partkey || ' + 2^3) + 7 mod 4') AS text, regexp_replace(format('{:,}', p_size * (p_partkey + 8) + 3), '^-?$', '') AS display, format('{:,}', p_size * (p_partkey + 8) + 3) AS copy FROM part WHERE p_partkey % 5 <> 0 UNION ALL SELECT p_partkey, p_name || ' 2', NULL, NULL FROM part WHERE p_partkey % 5 = 0")
 def calc_eval(spark, sf_dir):
-    """Sums made from line items, and what is no sum."""
+    """Sums made from parts, and what is no sum."""
     part = A.table(spark, sf_dir, "part")
-    text = F.when(F.pmod("p_partkey", F.lit(5)) == 0, F.col("p_name")).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" * ("), F.col("p_retailprice").cast("string"), F.lit(" + 2^3) - 10%")))
+    key = F.col("p_partkey").cast("string")
+    text = F.when(F.pmod("p_partkey", F.lit(5)) == 0, F.concat("p_name", F.lit(" 2"))).otherwise(F.concat(F.col("p_size").cast("string"), F.lit(" * ("), key, F.lit(" + 2^3) + 7 mod 4")))
     return part.select("p_partkey", text.alias("text")).withColumn("r", calculator(dt.date(2024, 1, 31))("text")).select("p_partkey", "text", "r.display", "r.copy")
 
 
@@ -600,11 +678,30 @@ def days_between(spark, sf_dir):
     return A.table(spark, sf_dir, "orders").select("o_orderkey", F.datediff(F.lit("2024-01-31").cast("date"), F.to_date("o_orderdate")).cast("long").alias("days"))
 
 
-@query("SELECT p_partkey, round(p_size * 40 + p_retailprice * (1/3::DOUBLE))::INTEGER AS x, (round(p_size * 40 + p_retailprice * (2/3::DOUBLE)) - round(p_size * 40 + p_retailprice * (1/3::DOUBLE)))::INTEGER AS w FROM part")
+@query("WITH p AS (SELECT p_partkey, p_size * 40 AS x, floor(p_retailprice)::INTEGER AS w FROM part) SELECT p_partkey, (x + round(w / 3.0::DOUBLE))::INTEGER AS x, greatest(round(w / 3.0::DOUBLE), 1)::INTEGER AS w, (x + round(w * 0.25::DOUBLE))::INTEGER AS cx, round(w * 0.5::DOUBLE)::INTEGER AS cw, 135 AS cy, 810 AS ch FROM p")
 def tile_rects(spark, sf_dir):
     p = A.table(spark, sf_dir, "part")
-    t = scalar.tile(F.col("p_size") * 40, F.lit(0), F.col("p_retailprice"), F.lit(1080), "center-third")
-    return p.select("p_partkey", t.alias("t")).select("p_partkey", "t.x", "t.w")
+    place = lambda preset: scalar.tile(F.col("p_size") * 40, F.lit(0), F.floor("p_retailprice"), F.lit(1080), preset)
+    return p.select("p_partkey", place("center_third").alias("t"), place("center").alias("c")).select("p_partkey", "t.x", "t.w", F.col("c.x").alias("cx"), F.col("c.w").alias("cw"), F.col("c.y").alias("cy"), F.col("c.h").alias("ch"))
+
+
+@query("""WITH p AS (SELECT p_partkey, p_size * 30 AS l, 40 * (p_size % 7) AS t, p_size * 30 + 600 AS r, 40 * (p_size % 7) + 500 AS b FROM part),
+s AS (SELECT *, greatest(round(2560 * least(1, greatest(0, (r - l) / 1920.0::DOUBLE))), 1) AS w, greatest(round(1400 * least(1, greatest(0, (b - t) / 1040.0::DOUBLE))), 1) AS h FROM p)
+SELECT p_partkey, least(1920 + round(2560 * least(1, greatest(0, l / 1920.0::DOUBLE))), 4480 - w)::INTEGER AS x, least(round(1400 * least(1, greatest(0, t / 1040.0::DOUBLE))), 1400 - h)::INTEGER AS y, w::INTEGER AS w, h::INTEGER AS h FROM s""")
+def remapped_rects(spark, sf_dir):
+    """Windows carried from a display of 1920 by 1040 to one of 2560 by 1400 beside it."""
+    p = A.table(spark, sf_dir, "part")
+    left, top = F.col("p_size") * 30, 40 * F.pmod("p_size", F.lit(7))
+    lit = lambda *x: [F.lit(v) for v in x]
+    r = scalar.remap([left, top, left + 600, top + 500], lit(0, 0, 1920, 1040), lit(1920, 0, 4480, 1400))
+    return p.select("p_partkey", r.alias("r")).select("p_partkey", "r.*")
+
+
+@query("WITH p AS (SELECT p_partkey, p_size * 40 AS right_, [96, 120, 144, 0][(p_partkey % 4 + 1)::INTEGER] AS dpi FROM part), q AS (SELECT *, least(680 * CASE dpi WHEN 0 THEN 96 ELSE dpi END // 96, right_ * 9 // 10) AS w, least(480 * CASE dpi WHEN 0 THEN 96 ELSE dpi END // 96, 600 - 120) AS h FROM p) SELECT p_partkey, ((right_ - w) // 2)::INTEGER AS x, 120 AS y, w::INTEGER AS w, h::INTEGER AS h FROM q")
+def window_placement(spark, sf_dir):
+    p = A.table(spark, sf_dir, "part")
+    dpi = F.element_at(F.array(*(F.lit(x) for x in (96, 120, 144, 0))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
+    return p.select("p_partkey", scalar.placement(F.lit(0), F.lit(0), F.col("p_size") * 40, F.lit(600), dpi).alias("r")).select("p_partkey", "r.*")
 
 
 @query("SELECT page_id, CASE WHEN contains(url, '/') THEN regexp_extract(replace(url, '/', '\\'), '(?s)^(.*)\\\\[^\\\\]*$', 1) ELSE '' END AS parent FROM pages")
@@ -612,17 +709,26 @@ def parent_paths(spark, sf_dir):
     return A.table(spark, sf_dir, "pages").select("page_id", scalar.parent_of(F.replace(F.col("url"), F.lit("/"), F.lit("\\"))).alias("parent"))
 
 
-@query()
+@query("""WITH RECURSIVE t AS (SELECT item_id, encode(text) AS b FROM benchmark UNION ALL SELECT -1, ''::BLOB UNION ALL SELECT -2, 'a'::BLOB UNION ALL SELECT -3, 'foobar'::BLOB),
+h AS (SELECT item_id, b, 0 AS k, 14695981039346656037::HUGEINT AS h FROM t UNION ALL SELECT item_id, b, k + 1, (xor(h, ('0x' || substr(hex(b), 2 * k + 1, 2))::HUGEINT) * 1099511628211::HUGEINT) % 18446744073709551616::HUGEINT FROM h WHERE k < octet_length(b))
+SELECT item_id, (CASE WHEN h >= 9223372036854775808::HUGEINT THEN h - 18446744073709551616::HUGEINT ELSE h END)::BIGINT AS hash FROM h WHERE k = octet_length(b)""")
 def content_hash(spark, sf_dir):
-    return A.table(spark, sf_dir, "conversations").select("conv_id", "turn", scalar.fnv1a_column("text").alias("hash"))
+    """Hashes of whole benchmark items and of three known inputs."""
+    known = spark.createDataFrame([(-1, ""), (-2, "a"), (-3, "foobar")], "item_id long, text string")
+    rows = A.table(spark, sf_dir, "benchmark").select("item_id", "text").unionByName(known)
+    return rows.select("item_id", scalar.fnv1a_column("text").alias("hash"))
 
 
-@query("SELECT p_partkey, concat_ws('+', CASE WHEN p_size % 2 = 0 THEN 'Ctrl' END, CASE WHEN p_size % 3 = 0 THEN 'Alt' END, CASE WHEN p_size % 5 = 0 THEN 'Shift' END, CASE WHEN p_size % 7 = 0 THEN 'Win' END, left(upper(p_name), 1)) AS keys, (p_size % 2 = 0 OR p_size % 3 = 0 OR p_size % 7 = 0) AND NOT (p_size % 7 = 0 AND left(upper(p_name), 1) = 'L') AS usable FROM part")
+@query("""WITH p AS (SELECT p_partkey, p_size % 2 = 0 AS c, p_size % 3 = 0 AS a, p_size % 5 = 0 AS s, p_size % 7 = 0 AS w, ['KeyA', 'F12', '', 'Space', 'AltLeft'][(p_partkey % 5 + 1)::INTEGER] AS code FROM part)
+SELECT p_partkey, concat_ws('+', CASE WHEN c THEN 'Control' END, CASE WHEN a THEN 'Alt' END, CASE WHEN s THEN 'Shift' END, CASE WHEN w THEN 'Super' END, code) AS keys, code <> '' AND code <> 'F12' AND code <> 'AltLeft' AND (c OR a OR s OR w) AS usable, w AS warned,
+  CASE WHEN code = 'Space' AND NOT c AND NOT s THEN CASE WHEN a AND w THEN 'PowerToys Command Palette' WHEN a THEN 'PowerToys Run, or Copilot on some Windows 11 builds' WHEN w THEN 'the Windows input-language switcher' END END AS owner FROM p""")
 def hotkey_rules(spark, sf_dir):
     on = lambda n: F.pmod("p_size", F.lit(n)) == 0
-    key = F.left(F.upper("p_name"), F.lit(1))
-    problem = scalar.hotkey_problem(on(2), on(3), on(5), on(7), key)
-    return A.table(spark, sf_dir, "part").select("p_partkey", scalar.accelerator(on(2), on(3), on(5), on(7), key).alias("keys"), problem.isNull().alias("usable"))
+    code = F.element_at(F.array(*(F.lit(x) for x in ("KeyA", "F12", "", "Space", "AltLeft"))), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
+    chord = (on(2), on(3), on(5), on(7), code)
+    return A.table(spark, sf_dir, "part").select(
+        "p_partkey", scalar.accelerator(*chord).alias("keys"), scalar.hotkey_problem(*chord).isNull().alias("usable"), scalar.hotkey_warning(on(7)).isNotNull().alias("warned"), scalar.hotkey_owner(*chord).alias("owner")
+    )
 
 
 # --- contents
@@ -642,7 +748,7 @@ def content_snippet(spark, sf_dir):
     return A.table(spark, sf_dir, "documents").select("doc_id", content.snippet(F.col("text"), "the").alias("snippet")).where("snippet is not null")
 
 
-@query("SELECT page_id FROM pages WHERE page_id % 5 <> 1 AND NOT list_has_any(string_split(url, '/'), ['node_modules', '.git', 'target', 'dist'])")
+@query("SELECT page_id FROM pages WHERE page_id % 5 <> 1 AND NOT list_has_any(string_split(lower(url), '/'), ['appdata', 'node_modules', '.git', 'target', 'build', 'dist', 'venv', '.venv', '__pycache__'])")
 def content_scope_filter(spark, sf_dir):
     p = A.table(spark, sf_dir, "pages")
     path = F.when(F.pmod("page_id", F.lit(5)) == 1, F.concat(F.lit("src/node_modules/"), F.col("url"))).otherwise(F.col("url"))
@@ -657,20 +763,19 @@ def size_cap_evict(spark, sf_dir):
 
 @query("SELECT event_type AS process, round(1 - count(*) FILTER (value > 50)::DOUBLE / count(*), 6) AS crash_free FROM events GROUP BY 1")
 def crash_free_sessions(spark, sf_dir):
-    return A.samples(spark, sf_dir).groupBy(F.col("class").alias("process")).agg(F.round(1 - F.count(F.when(F.col("value") > 50, 1)) / F.count("*"), 6).alias("crash_free"))
+    return minor.crash_free(A.samples(spark, sf_dir).select(F.col("class").alias("process"), (F.col("value") > 50).alias("crashed")), "process").withColumn("crash_free", F.round("crash_free", 6))
 
 
 @query("SELECT user_id AS volume, CASE WHEN max(value) > 100 THEN 'paused' WHEN count(*) FILTER (event_type = 'error') > 20 THEN 'rebuilding' ELSE 'ready' END AS status FROM events GROUP BY 1")
 def volume_status(spark, sf_dir):
-    e = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("volume")).agg(F.max("value").alias("v"), F.count(F.when(F.col("event_type") == "error", 1)).alias("n"))
-    return e.select("volume", F.when(F.col("v") > 100, "paused").when(F.col("n") > 20, "rebuilding").otherwise("ready").alias("status"))
+    e = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("volume")).agg((F.max("value") > 100).alias("paused"), (F.count(F.when(F.col("event_type") == "error", 1)) > 20).alias("rebuilding"))
+    return minor.volume_status(e).select("volume", "status")
 
 
 @query("WITH r AS (SELECT page_id, row_number() OVER (ORDER BY page_id DESC) AS p FROM pages) SELECT page_id FROM r WHERE p > 10")
 def rotation(spark, sf_dir):
     """All but the newest ten go."""
-    p = A.table(spark, sf_dir, "pages").select("page_id")
-    return p.join(F.broadcast(p.orderBy(F.desc("page_id")).limit(10)), "page_id", "left_anti")
+    return minor.rotated(A.table(spark, sf_dir, "pages").select("page_id"), "page_id", 10)
 
 
 @query("SELECT item_id, 'https://example.org/?q=' || replace(url_encode(regexp_extract(text, '^[A-Za-z ]*', 0)), '+', '%20') AS url FROM benchmark")
@@ -685,8 +790,6 @@ def quicklinks(spark, sf_dir):
 @query("SELECT event_id AS usn, CASE event_type WHEN 'error' THEN 'D' WHEN 'purchase' THEN 'R' WHEN 'view' THEN 'S' ELSE 'C' END AS op, user_id + 16 AS frn, 'n' || event_id AS name, CASE WHEN event_id % 2 = 0 THEN 1 ELSE 0 END + CASE WHEN event_id % 3 = 0 THEN 2 ELSE 0 END AS flags FROM events")
 def journal_records(spark, sf_dir):
     """Events written as binary journal records and parsed again."""
-    import pandas as pd
-
     from rankfield.sources.journal import RECORD, _parse, journal_changes, record
 
     def pack(frames):
@@ -735,9 +838,17 @@ def idle_vote(spark, sf_dir):
     return minor.idle(e.select(F.pmod("event_id", F.lit(20)).alias("volume"), F.col("user_id").alias("session"), F.when(F.col("event_type").isin("click", "view"), "active").otherwise("idle").alias("state"), F.col("event_id").alias("ts")), "volume")
 
 
-@query("SELECT c_nationkey AS grp, CASE WHEN count(*) = 1 THEN '1 result, ' || min_by(c_name, c_custkey) ELSE count(*) || ' results, ' || min_by(c_name, c_custkey) END AS text FROM customer GROUP BY 1")
+@query("""WITH q AS (SELECT n_nationkey AS grp, CASE WHEN n_nationkey % 6 = 0 THEN '  ' ELSE n_name END AS text FROM nation UNION ALL SELECT r_regionkey + 1000, r_name FROM region),
+r AS (SELECT c_nationkey AS grp, c_custkey AS pos, ['app', 'file', 'command', 'setting', 'window', 'calc'][(c_custkey % 6 + 1)::INTEGER] AS kind, c_name AS name, c_mktsegment AS subtitle FROM customer),
+g AS (SELECT grp, count(*) AS n, arg_min(CASE kind WHEN 'calc' THEN 'Calculator result ' || name WHEN 'app' THEN name || ', application' WHEN 'setting' THEN name || ', ' || subtitle WHEN 'command' THEN name || ', command' WHEN 'window' THEN name || ', open window' ELSE name || ', file at ' || subtitle END, pos) AS top FROM r GROUP BY grp)
+SELECT q.grp, CASE WHEN trim(text) = '' THEN '' WHEN n IS NULL THEN 'No results' WHEN n = 1 THEN '1 result. ' || top ELSE n || ' results. ' || top END AS said FROM q LEFT JOIN g USING (grp)""")
 def announce_text(spark, sf_dir):
-    return minor.announcement(A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_name").alias("name"), F.col("c_custkey").alias("pos")), "grp")
+    nation = A.table(spark, sf_dir, "nation")
+    queries = nation.select(F.col("n_nationkey").alias("grp"), F.when(F.pmod("n_nationkey", F.lit(6)) == 0, "  ").otherwise(F.col("n_name")).alias("text"))
+    queries = queries.unionByName(A.table(spark, sf_dir, "region").select((F.col("r_regionkey") + 1000).alias("grp"), F.col("r_name").alias("text")))  # nothing is found for these
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("app", "file", "command", "setting", "window", "calc"))), (F.pmod("c_custkey", F.lit(6)) + 1).cast("int"))
+    rows = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("grp"), F.col("c_custkey").alias("pos"), kind.alias("kind"), F.col("c_name").alias("name"), F.col("c_mktsegment").alias("subtitle"))
+    return minor.announcement(queries, rows, "grp")
 
 
 @query("SELECT p_partkey, p_name FROM part WHERE contains(lower(p_name), 'ed b')")
@@ -752,25 +863,29 @@ def policy_events(spark, sf_dir):
     return minor.policy_summary(e, "user_id")
 
 
-@query("SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN left(upper(p_name), 1) WHEN 1 THEN (p_size % 10)::VARCHAR WHEN 2 THEN 'Left' ELSE 'F5' END AS token FROM part")
+_CODES = ("KeyQ", "Digit7", "ArrowLeft", "F5", "F25", "Numpad3", "NumpadEnter", "CapsLock", "Backquote", "keyq")
+
+
+@query(f"""WITH p AS (SELECT p_partkey, p_size % 2 = 0 AS c, p_size % 3 = 0 AS a, {list(_CODES)}[(p_partkey % 10 + 1)::INTEGER] AS code FROM part), t AS (SELECT *, ['q', '7', 'left', 'f5', NULL, 'numpad3', 'enter', NULL, 'grave', NULL][(p_partkey % 10 + 1)::INTEGER] AS token FROM p)
+SELECT p_partkey, token, CASE WHEN token IS NOT NULL THEN concat_ws('+', CASE WHEN c THEN 'ctrl' END, CASE WHEN a THEN 'alt' END, token) END AS chord FROM t""")
 def key_tokens(spark, sf_dir):
-    k = F.pmod("p_partkey", F.lit(4))
-    code = F.when(k == 0, F.concat(F.lit("Key"), F.left(F.upper("p_name"), F.lit(1)))).when(k == 1, F.concat(F.lit("Digit"), F.pmod("p_size", F.lit(10)).cast("string"))).when(k == 2, "ArrowLeft").otherwise("F5")
-    return A.table(spark, sf_dir, "part").select("p_partkey", minor.key_token(code).alias("token"))
+    code = F.element_at(F.array(*(F.lit(x) for x in _CODES)), (F.pmod("p_partkey", F.lit(10)) + 1).cast("int"))
+    on = lambda n: F.pmod("p_size", F.lit(n)) == 0
+    return A.table(spark, sf_dir, "part").select("p_partkey", minor.key_token(code).alias("token"), minor.key_chord(on(2), on(3), F.lit(False), F.lit(False), code).alias("chord"))
 
 
-@query("SELECT p_partkey, CASE WHEN p_size % 3 = p_size % 2 THEN 'keep' WHEN p_size % 2 = 0 THEN 'release' WHEN p_size % 5 = 0 THEN 'report' WHEN p_size % 3 = 0 THEN 'register' ELSE 'replace' END AS action FROM part")
+@query("SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'hand_over' WHEN p_size % 3 = 0 THEN 'take_back' WHEN p_size % 2 <> p_size % 5 THEN 'replace' WHEN p_partkey % 2 = 0 THEN 'retry' ELSE 'nothing' END AS action FROM part")
 def registrar_table(spark, sf_dir):
-    name = lambda n: F.when(F.pmod("p_size", F.lit(n)) == 0, "").otherwise(F.pmod("p_size", F.lit(n)).cast("string"))
-    return A.table(spark, sf_dir, "part").select("p_partkey", minor.registrar_action(name(3), name(2), F.pmod("p_size", F.lit(5)) == 0).alias("action"))
+    source = lambda n: F.when(F.pmod("p_size", F.lit(n)) == 0, "other").otherwise("own")
+    key = lambda n: F.pmod("p_size", F.lit(n)).cast("string")
+    return A.table(spark, sf_dir, "part").select("p_partkey", minor.registrar_action(source(3), source(4), key(2), key(5), F.pmod("p_partkey", F.lit(2)) == 0).alias("action"))
 
 
-@query("SELECT p_partkey, list_contains(['file', 'window'], kind) AS several, CASE kind WHEN 'file' THEN 'open' WHEN 'window' THEN 'switch' WHEN 'calc' THEN 'copy' ELSE 'open' END AS main FROM (SELECT p_partkey, ['app','file','window','calc'][(p_partkey % 4 + 1)::INTEGER] AS kind FROM part) WHERE kind <> 'app' OR p_partkey % 8 = 0")
+@query("SELECT p_partkey, CASE kind WHEN 'file' THEN 6 WHEN 'window' THEN 21 WHEN 'app' THEN CASE WHEN p_size % 2 = 0 THEN 2 ELSE 1 END ELSE 1 END AS n, CASE kind WHEN 'calc' THEN 'copy' ELSE 'open' END AS main, CASE kind WHEN 'file' THEN 'delete' WHEN 'window' THEN 'close' WHEN 'calc' THEN 'copy' WHEN 'app' THEN CASE WHEN p_size % 2 = 0 THEN 'runas' ELSE 'open' END ELSE 'open' END AS last FROM (SELECT p_partkey, p_size, ['app','file','window','calc','setting'][(p_partkey % 5 + 1)::INTEGER] AS kind FROM part)")
 def available_actions(spark, sf_dir):
-    kind = F.element_at(F.array(*(F.lit(k) for k in ("app", "file", "window", "calc"))), (F.pmod("p_partkey", F.lit(4)) + 1).cast("int"))
-    p = A.table(spark, sf_dir, "part").where((kind != "app") | (F.pmod("p_partkey", F.lit(8)) == 0))
-    actions = catalogs.available_actions(kind, F.lit(False))
-    return p.select("p_partkey", (F.size(actions) > 1).alias("several"), F.get(actions, F.lit(0)).alias("main"))
+    kind = F.element_at(F.array(*(F.lit(k) for k in ("app", "file", "window", "calc", "setting"))), (F.pmod("p_partkey", F.lit(5)) + 1).cast("int"))
+    actions = catalogs.available_actions(kind, F.pmod("p_size", F.lit(2)) == 0)
+    return A.table(spark, sf_dir, "part").select("p_partkey", F.size(actions).alias("n"), F.get(actions, F.lit(0)).alias("main"), F.element_at(actions, -1).alias("last"))
 
 
 @query(f"SELECT user_id AS id, max(epoch(date_trunc('second', ts))::BIGINT) AS ts FROM events GROUP BY 1 HAVING max(epoch(date_trunc('second', ts))::BIGINT) > {NOW} - 86400")
@@ -782,16 +897,197 @@ def fresh_rows(spark, sf_dir):
 @query(f"WITH {_REQ} SELECT * FROM wm")
 def stream_latest_gen(spark, sf_dir):
     """The generations' watermark as a stream over files of requests."""
-    import uuid
+    out = _Published(spark)
+    requests = _stream_of(spark, sf_dir, 2).select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 50).cast("long").alias("gen"), F.when(F.col("event_type") == "error", "cancel").otherwise("query").alias("kind"))
+    sessions.latest_stream(requests).writeStream.outputMode("update").foreachBatch(out).option("checkpointLocation", out.checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return usage.newest_states(out.states(), "session")
 
-    from rankfield.session import materialized, shared_folder
 
-    events = A.table(spark, sf_dir, "events")
-    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 2).parquet(_folder_of(spark, sf_dir, events))
-    requests = stream.select(F.col("user_id").alias("session"), F.floor(F.col("event_id") / 50).cast("long").alias("gen"), F.when(F.col("event_type") == "error", "cancel").otherwise("query").alias("kind"))
-    published: list[DataFrame] = []
-    (
-        sessions.latest_stream(requests).writeStream.outputMode("complete").foreachBatch(lambda batch, _: published.append(materialized(batch, "marks")))
-        .option("checkpointLocation", f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}").trigger(availableNow=True).start().awaitTermination()
+# --- the live catalog
+
+
+def _buffers(spark, sf_dir: str) -> str:
+    """The tree's entries as an enumeration's buffers, with some of the volume's own files among them."""
+
+    def pack(frames):
+        for f in frames:
+            content = [journal.record(0, int(r[0]), int(r[1]), 0, int(r[3]), r[2]) for r in f.itertuples(index=False)]
+            yield pd.DataFrame({"content": [b"\0" * journal.BUFFER_HEADER + b"".join(content)]})
+
+    flags = F.col("flags")
+    bits = F.when(flags.bitwiseAND(1) != 0, 0x10).otherwise(0) + F.when(flags.bitwiseAND(2) != 0, 0x2).otherwise(0) + F.when(flags.bitwiseAND(4) != 0, 0x4).otherwise(0)
+    own = spark.createDataFrame([(k, 5, f"$own{k}", 0) for k in range(16)], "frn long, parent_frn long, name string, flags int")
+    return A.tree_rows(spark, sf_dir).unionByName(own).select("frn", "parent_frn", "name", bits).mapInPandas(pack, "content binary")
+
+
+@query(f"WITH RECURSIVE {S.TREE} SELECT frn, parent_frn, name, flags FROM tree")
+def volume_enumeration(spark, sf_dir):
+    """A volume's entries from the buffers that it is enumerated in; its own files are left out."""
+    raw = _buffers(spark, sf_dir).mapInPandas(journal._parse_buffers, journal.RECORD)
+    return raw.where(changes.ordinary(F.col("frn"))).select("frn", "parent_frn", "name", changes.flags_of(F.col("attributes")).alias("flags"))
+
+
+_MOVES = "mv AS (SELECT n_nationkey + 2000 AS frn, (n_nationkey + 1) % 5 + 1000 AS parent_frn, n_name || '_moved' AS name FROM nation WHERE n_nationkey % 3 = 0), gone AS (SELECT c_custkey + 1000000 AS frn FROM customer WHERE c_custkey % 50 = 0), tree AS (SELECT t.frn, coalesce(mv.parent_frn, t.parent_frn) AS parent_frn, coalesce(mv.name, t.name) AS name, t.flags FROM tree0 t LEFT JOIN mv USING (frn) WHERE t.frn NOT IN (SELECT frn FROM gone))"
+_MOVED_TREE = S.TREE.replace("tree AS (", "tree0 AS (", 1).replace("walk(frn, depth, path, parent_path) AS (", _MOVES + ",\nwalk(frn, depth, path, parent_path) AS (", 1)
+
+
+def _moves(spark, sf_dir) -> DataFrame:
+    nation, customer = A.table(spark, sf_dir, "nation"), A.table(spark, sf_dir, "customer")
+    renamed = nation.where("n_nationkey % 3 = 0").select(
+        F.col("n_nationkey").cast("long").alias("usn"), F.lit("R").alias("op"), (F.col("n_nationkey") + 2000).cast("long").alias("frn"), (F.pmod(F.col("n_nationkey") + 1, F.lit(5)) + 1000).cast("long").alias("parent_frn"),
+        F.concat("n_name", F.lit("_moved")).alias("name"), F.lit(1).alias("flags"),
     )
-    return published[-1] if published else sessions.watermark(_requests(spark, sf_dir).limit(0))
+    deleted = customer.where("c_custkey % 50 = 0").select((F.col("c_custkey") + 1000).alias("usn"), F.lit("D").alias("op"), (F.col("c_custkey") + 1_000_000).alias("frn"), F.lit(0).cast("long").alias("parent_frn"), F.lit("").alias("name"), F.lit(0).alias("flags"))
+    return renamed.unionByName(deleted)
+
+
+@query(f"WITH RECURSIVE {_MOVED_TREE} SELECT frn, depth, path FROM walk")
+def live_changes(spark, sf_dir):
+    """A snapshot after folders moved and others went, with depths and paths repaired."""
+    state = live.Live(spark, enumerate=lambda: (A.tree_rows(spark, sf_dir), journal.Cursor(1, 0)))
+    state.rebuild("first")
+    log = _moves(spark, sf_dir)
+    state.moved.append(live.moved_folders(state.entries, log))
+    state.entries = materialized(live.changed_entries(state.entries, log), "entries")
+    state.repair()
+    return state.entries.select("frn", "depth", "path")
+
+
+@query(f"WITH RECURSIVE {S.TREE}, added AS (SELECT 9000000000 + o_orderkey AS frn, CASE o_orderkey % 3 WHEN 0 THEN 1 WHEN 1 THEN 2000 ELSE 1000000 + o_custkey END AS parent_frn FROM orders) SELECT a.frn, coalesce(w.depth + 1, 0)::INTEGER AS depth FROM added a LEFT JOIN walk w ON w.frn = a.parent_frn")
+def depths_of_new(spark, sf_dir):
+    """Depths of new entries from their parents' in the snapshot."""
+    o = A.table(spark, sf_dir, "orders")
+    parent = F.when(F.pmod("o_orderkey", F.lit(3)) == 0, 1).when(F.pmod("o_orderkey", F.lit(3)) == 1, 2000).otherwise(F.col("o_custkey") + 1_000_000)
+    added = o.select((F.col("o_orderkey") + 9_000_000_000).alias("frn"), parent.cast("long").alias("parent_frn"))
+    return tree.depths_of_new(tree_entries(spark, sf_dir), added)
+
+
+# --- pages of several sources
+
+
+@query(f"WITH RECURSIVE {S.TREE}, hit AS (SELECT t.frn, t.parent_frn, {S.tiers('low')} * {S.factor()} AS score FROM tree t JOIN walk USING (frn)), page AS (SELECT * FROM hit WHERE score IS NOT NULL ORDER BY score DESC, frn LIMIT 100) SELECT frn, round(score, 6) AS score FROM page WHERE parent_frn % 3 = 0")
+def security_trim(spark, sf_dir):
+    """A page without rows of folders that are not granted to the user."""
+    entries = tree_entries(spark, sf_dir)
+    grants = entries.select(F.col("frn").alias("dir"), F.when(F.pmod("frn", F.lit(3)) == 0, "S-1").otherwise("S-2").alias("sid"))
+    page = rank.search(entries, "low", 100)
+    return security.trimmed(page, grants, "S-1").select("frn", r6())
+
+
+@query(f"WITH RECURSIVE {S.TREE}, tops AS (SELECT path FROM walk WHERE frn IN (1001, 2003)) SELECT frn AS dir FROM walk w WHERE frn < 1000000000 AND NOT EXISTS (SELECT 1 FROM tops t WHERE w.path = t.path OR starts_with(w.path, t.path || '\\'))")
+def security_changes(spark, sf_dir):
+    """Grants that stand after the rights of two folders changed."""
+    folders = tree_entries(spark, sf_dir).where("frn < 1000000000")
+    changed = spark.createDataFrame([(1001,), (2003,)], "frn long")
+    return security.still_granted(folders.select(F.col("frn").alias("dir"), F.lit("S-1").alias("sid")), folders, changed).select("dir")
+
+
+@query("WITH v AS (SELECT n_nationkey AS volume_idx, n_regionkey < 3 AND n_nationkey % 2 = 0 AS fixed, n_nationkey % 5 <> 0 AS online, n_nationkey % 3 = 0 AS busy FROM nation), a AS (SELECT r_regionkey * 7 AS volume_idx FROM region), e AS (SELECT a.volume_idx, CASE WHEN online IS NULL OR NOT online THEN 101 WHEN NOT fixed THEN 107 WHEN busy THEN 102 END AS code FROM a LEFT JOIN v USING (volume_idx)) SELECT e.volume_idx, code, code <> 107 AS retry, count(c_custkey) AS n FROM e LEFT JOIN customer ON c_nationkey = e.volume_idx AND (code IS NULL OR code = 102) GROUP BY ALL")
+def volume_scopes(spark, sf_dir):
+    """What each asked volume answers, and how many entries of it."""
+    n = A.table(spark, sf_dir, "nation")
+    k = lambda m: F.pmod("n_nationkey", F.lit(m))
+    volumes = n.select(F.col("n_nationkey").alias("volume_idx"), ((F.col("n_regionkey") < 3) & (k(2) == 0)).alias("is_fixed_ntfs"), (k(5) != 0).alias("online"), (k(3) == 0).alias("rebuilding"))
+    asked = A.table(spark, sf_dir, "region").select((F.col("r_regionkey") * 7).alias("volume_idx"))
+    errors = scopes.scope_errors(asked, volumes)
+    entries = A.table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("volume_idx"), "c_custkey")
+    found = scopes.in_scopes(entries, errors).groupBy("volume_idx").agg(F.count("*").alias("n"))
+    return errors.join(found, "volume_idx", "left").select("volume_idx", "code", "retry", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@query(f"WITH {_USAGE}, f AS (SELECT page_id, (page_id % 3)::INTEGER AS volume_idx, page_id % 150 AS frn, CASE WHEN page_id % 4 = 0 THEN 'C:\\Windows\\WinSxS\\' ELSE 'C:\\' END || url AS path, (page_id % 9) / 10.0::DOUBLE AS score FROM pages), u AS (SELECT (id::BIGINT % 3) || ':' || id AS key, bonus FROM bonus), b AS (SELECT page_id, score + coalesce(bonus, 0) AS score, path FROM f LEFT JOIN u ON key = volume_idx || ':' || frn) SELECT page_id, round(score, 6) AS score, round(score * CASE WHEN contains(path, 'WinSxS') THEN 0.6::DOUBLE ELSE 1 END, 6) AS display FROM b")
+def file_batch(spark, sf_dir):
+    """A page of files with usage added first, and the path's weight for the list."""
+    pages = A.table(spark, sf_dir, "pages")
+    path = F.concat(F.when(F.pmod("page_id", F.lit(4)) == 0, "C:\\Windows\\WinSxS\\").otherwise("C:\\"), F.col("url"))
+    rows = pages.select("page_id", F.pmod("page_id", F.lit(3)).cast("int").alias("volume_idx"), F.pmod("page_id", F.lit(150)).alias("frn"), path.alias("path"), (F.pmod("page_id", F.lit(9)) / 10.0).alias("score"), F.col("page_id").alias("pos"))
+    used = rank.usage(A.launches(spark, sf_dir)).withColumn("id", F.concat_ws(":", F.pmod(F.col("id").cast("long"), F.lit(3)).cast("string"), "id"))
+    return rank.file_batch(rows, used, NOW).select("page_id", r6(), r6("display"))
+
+
+@query(f"WITH {_ROWS}, c AS (SELECT *, row_number() OVER (PARTITION BY lower(name) ORDER BY score DESC, key) AS p FROM rows_) SELECT key, name FROM c WHERE p = 1 AND kind = 'file' ORDER BY {_ORDER} LIMIT 5")
+def inline_files(spark, sf_dir):
+    """Files of the root list: the first five after names are collapsed."""
+    return merge.inline_files(merge.collapse_names(_sources(spark, sf_dir), "key"), merge.list_order()).select("key", "name")
+
+
+@query("WITH a AS (SELECT p_partkey, ['app','command','setting','window','file','calc'][(p_partkey % 6 + 1)::INTEGER] AS kind, ['open','runas','switch','reveal','copy','left_half'][(p_size % 6 + 1)::INTEGER] AS action FROM part) SELECT kind, count(*) AS n FROM a WHERE (action = 'open' AND kind <> 'calc') OR (action = 'runas' AND kind = 'app') OR (action = 'switch' AND kind = 'window') GROUP BY kind")
+def launch_actions(spark, sf_dir):
+    """Actions that count as a launch."""
+    pick = lambda values, n: F.element_at(F.array(*(F.lit(v) for v in values)), (F.pmod(n, F.lit(6)) + 1).cast("int"))
+    kind, action = pick(("app", "command", "setting", "window", "file", "calc"), "p_partkey"), pick(("open", "runas", "switch", "reveal", "copy", "left_half"), "p_size")
+    return A.table(spark, sf_dir, "part").select(kind.alias("kind"), action.alias("action")).where(rank.counts_as_launch(F.col("kind"), F.col("action"))).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("SELECT p_partkey, p_size * 3 + 1 AS answer FROM part")
+def calculator_rows(spark, sf_dir):
+    """The calculator's answers as rows that stand above all others."""
+    sums = A.table(spark, sf_dir, "part").select("p_partkey", F.concat(F.col("p_size").cast("string"), F.lit("*3 + 1")).alias("text"))
+    rows = sums.withColumn("r", calculator(dt.date(2024, 1, 31))("text")).select("p_partkey", rank.calculator_row(F.col("r.display"), F.col("r.copy")).alias("row"))
+    return rows.where(F.col("row.score") == rank.CALCULATOR_SCORE).select("p_partkey", F.col("row.name").cast("long").alias("answer"))
+
+
+@query("WITH s AS (SELECT event_id // 1000 AS scan, max(epoch(date_trunc('second', ts))::BIGINT) AS ts, count(*) FILTER (event_type = 'error') % 3 <> 0 AS ok FROM events GROUP BY 1), best AS (SELECT scan, ts FROM s WHERE ok ORDER BY ts DESC LIMIT 1) SELECT p_partkey AS id, b.scan, " f"({NOW} - b.ts > 300) AS is_stale, ({NOW} - b.ts >= 1800) AS due FROM part JOIN best b ON p_partkey % 10 = b.scan % 10")
+def app_catalog(spark, sf_dir):
+    """Apps of the last scan that succeeded, and whether it is time for the next."""
+    e = A.table(spark, sf_dir, "events")
+    scans = e.groupBy(F.floor(F.col("event_id") / 1000).alias("scan")).agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("ts"), (F.pmod(F.count(F.when(F.col("event_type") == "error", 1)), F.lit(3)) != 0).alias("ok"))
+    apps = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.pmod("p_partkey", F.lit(10)).alias("_m"))
+    rows = scans.join(apps, F.pmod("scan", F.lit(10)) == F.col("_m"), "left").drop("_m")
+    return catalogs.last_good(rows, NOW).select("id", "scan", "is_stale", "due")
+
+
+@query(f"WITH {_SETTINGS}, f AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'uri:' ELSE 'panel:' END || id AS target FROM s) SELECT id::VARCHAR AS id, name, target FROM f WHERE min_build <= 25 AND (requires IS NULL OR requires = 'pen')")
+def settings_file(spark, sf_dir):
+    """A catalog of settings read from its JSON file, gates applied."""
+    import json
+
+    rows = _settings(spark, sf_dir).collect()  # a catalog's size
+    entry = lambda r, target: {"id": str(r["id"]), "name": r["name"], target: ("uri:" if target == "uri" else "panel:") + str(r["id"]), "synonyms": r["synonyms"], "gate": {"min_build": r["min_build"], **({"requires": r["requires"]} if r["requires"] else {})}}
+    file = {"_comment": ["made"], "settings": [entry(r, "uri") for r in rows if r["id"] % 2 == 0], "control_panel": [entry(r, "canonical") for r in rows if r["id"] % 2]}
+    path = f"{shared_folder(spark)}/settings-{uuid.uuid4().hex}"
+    spark.createDataFrame([(json.dumps(file, indent=1),)], "value string").coalesce(1).write.text(path)
+    none = spark.createDataFrame([], "id string, name string, target string, synonyms array<string>, min_build int, requires string")
+    return catalogs.read_settings(spark, path, none, 25, ["pen"]).select("id", "name", "target")
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE contains(lower(p_name), 'red') AND contains(lower(p_name), 'bo') ORDER BY length(p_name), p_name, p_partkey LIMIT 20")
+def provider_search(spark, sf_dir):
+    """Another source's rows, asked with its own cap; a source that cannot be asked says so."""
+    files = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")).orderBy("id")
+    asked = providers.ask_all(spark, {"files": _Ordered(files), "none": providers.LikeProvider(None)}, "BO Red", {"files": 20, "none": 5}, 600)
+    assert asked["none"].status == "unavailable" and asked["files"].status == "ok"
+    return spark.createDataFrame([(r["id"], r["name"]) for r in asked["files"].rows], "id long, name string")
+
+
+class _Ordered(providers.LikeProvider):
+    """Ties by id, so that a page is the same each time."""
+
+    def search(self, q: str, most: int) -> DataFrame:
+        return super().search(q, 1 << 30).orderBy(F.length("name"), "name", "id").limit(most)
+
+
+@query(f"WITH {_POST} SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m))), 6) AS score FROM tf JOIN df USING (term), st GROUP BY doc_id")
+def content_index(spark, sf_dir):
+    """The same scores from an index on disk, of which only the folders of the asked terms are read; the terms from a query."""
+    docs = A.table(spark, sf_dir, "documents")
+    at = f"{shared_folder(spark)}/contents-{uuid.uuid4().hex}"
+    content.build_index(docs, at)
+    name, asked = content.parse_content("report " + " ".join(f"content:{t}" for t in _TERMS))
+    assert name == "report"
+    return content.search_index(spark, at, asked).select("doc_id", r6())
+
+
+@query("SELECT DISTINCT 'logs/' || (event_id % 20) AS folder, 'app-' || (event_id % 60) || '.log' AS file FROM events")
+def log_files(spark, sf_dir):
+    """Each log file once, however many lines name it."""
+    e = A.table(spark, sf_dir, "events")
+    named = e.select(F.concat(F.lit("logs/"), F.pmod("event_id", F.lit(20)).cast("string")).alias("folder"), F.concat(F.lit("app-"), F.pmod("event_id", F.lit(60)).cast("string"), F.lit(".log")).alias("file"))
+    return logs.files(named)
+
+
+@query("SELECT p_partkey AS id, p_name AS name FROM part WHERE left(lower(p_name), 3) = 'red'")
+def named_entries(spark, sf_dir):
+    """A catalog of plain entries: names that begin with what was typed."""
+    rows = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
+    return catalogs.named_entries(rows, " Red").where(F.col("score") >= match.PREFIX).select("id", "name")

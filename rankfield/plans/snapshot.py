@@ -3,10 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from rankfield.functions.match import may_match
-from rankfield.functions.text import class_mask
 from rankfield.operators import rank, tree
 from rankfield.session import materialized
 from rankfield.sources.adapters import with_derived
@@ -17,11 +14,9 @@ COLUMNS = ("frn", "parent_frn", "name", "flags", "folded", "lane", "mask", "dept
 def build(entries: DataFrame, name: str = "snapshot") -> DataFrame:
     """entries (frn, parent_frn, name, flags) with folded name, initials, class mask, depth and paths, written to the shared folder."""
     placed = entries.join(tree.resolve(entries), "frn")
-    return materialized(with_derived(placed).withColumn("mask", class_mask(F.col("folded"))).select(*COLUMNS), name)
+    return materialized(with_derived(placed).select(*COLUMNS), name)
 
 
 def search(snapshot: DataFrame, q: str, k: int = 32) -> DataFrame:
-    """The page of one query; the class mask, a cheap filter that loses no match, stands before the tiers."""
-    folded = q.lower()
-    hit = snapshot.where(may_match(F.col("mask"), class_mask(F.lit(folded)))) if folded else snapshot.limit(0)
-    return rank.search(hit, folded, k).select("frn", "name", "path", "tier", "score")
+    """The page of one query."""
+    return rank.search(snapshot, q, k).select("frn", "name", "path", "tier", "score")

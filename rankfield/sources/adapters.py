@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfield.functions.match import DIR, HIDDEN, SYSTEM
-from rankfield.functions.text import fold, initials
+from rankfield.functions.text import class_mask, fold_unicode, initials
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,8 +36,8 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def with_derived(entries: DataFrame) -> DataFrame:
-    """Adds what is computed once at ingest: folded name and initials."""
-    return entries.withColumn("folded", fold(F.col("name"))).withColumn("lane", initials(F.col("name")))
+    """Adds what is computed once at ingest: folded name, initials and class mask."""
+    return entries.withColumns({"folded": fold_unicode(F.col("name")), "lane": initials(F.col("name"))}).withColumn("mask", class_mask(F.col("folded")))
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:

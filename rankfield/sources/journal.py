@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import struct
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -57,12 +58,68 @@ def _parse(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([r for buf in frame["content"] for r in records(bytes(buf))], columns=[f.name for f in RECORD])
 
 
+#: Fixed value: bytes before the first record of an enumeration's buffer, the number to go on from.
+BUFFER_HEADER = 8
+
+
+def _parse_buffers(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for frame in frames:
+        yield pd.DataFrame([r for buf in frame["content"] for r in records(bytes(buf)[BUFFER_HEADER:])], columns=[f.name for f in RECORD])
+
+
+def enumerated(spark: SparkSession, path: str) -> DataFrame:
+    """Entries (frn, parent_frn, name, flags) of a volume's enumeration, a buffer a file; the volume's own files are left out.
+
+    The journal's cursor has to be taken before, so that changes during the scan are read afterwards.
+    """
+    raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_parse_buffers, RECORD)
+    return raw.where(ordinary(F.col("frn"))).select("frn", "parent_frn", "name", flags_of(F.col("attributes")).alias("flags"))
+
+
 def read_journal(spark: SparkSession, path: str) -> DataFrame:
     """Changes (usn, op, frn, parent_frn, name, flags) of journal files; records without an event are left out."""
     raw = spark.read.format("binaryFile").load(path).select("content").mapInPandas(_parse, RECORD)
     return journal_changes(raw)
 
 
+@dataclass(frozen=True)
+class Cursor:
+    """Where to read on, and in which journal."""
+
+    journal_id: int
+    next_usn: int
+
+
+@dataclass(frozen=True)
+class Journal:
+    """A journal's files, its number, the first record it still has, where the next will be, and whether it is kept at all."""
+
+    path: str
+    journal_id: int
+    first_usn: int
+    next_usn: int
+    active: bool = True
+    deleting: bool = False
+
+
+class NeedsRebuild(Exception):
+    """The journal cannot be read on from the cursor; the volume has to be read anew."""
+
+
+def read_batch(spark: SparkSession, journal: Journal, cursor: Cursor) -> tuple[DataFrame, Cursor]:
+    """Changes since the cursor, and the cursor after them."""
+    if journal.deleting:
+        raise NeedsRebuild("the journal is being deleted")
+    if not journal.active:
+        raise NeedsRebuild("the journal is not kept")
+    if journal.journal_id != cursor.journal_id:
+        raise NeedsRebuild("another journal")
+    if cursor.next_usn < journal.first_usn:
+        raise NeedsRebuild("records since the cursor are overwritten")
+    found = read_journal(spark, journal.path).where((F.col("usn") >= cursor.next_usn) & (F.col("usn") < journal.next_usn))
+    return found, Cursor(journal.journal_id, journal.next_usn)
+
+
 def journal_changes(raw: DataFrame) -> DataFrame:
     found = raw.select("usn", op_of(F.col("reason")).alias("op"), "frn", "parent_frn", "name", flags_of(F.col("attributes")).alias("flags"))
     return found.where(F.col("op").isNotNull() & ordinary(F.col("frn")))

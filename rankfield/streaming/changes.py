@@ -65,13 +65,20 @@ def with_snapshot(entries: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def fold_stream(changes: DataFrame, checkpoint: str, publish) -> object:
-    """Folds a stream of changes and calls publish(DataFrame, batch id) with the live entries after each micro-batch."""
+    """Folds a stream of changes and calls publish(DataFrame, batch id) with the states that each micro-batch changed.
+
+    A state has last_op, and is an entry while that is 'C'; latest() puts the
+    states of several batches together.  A batch that is run again has the same
+    id and the same states.
+    """
     states = usable(changes).groupBy("frn").agg(*_aggregates())
+    return states.writeStream.outputMode("update").foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
-    def each(batch: DataFrame, number: int) -> None:
-        publish(batch.where("last_op = 'C'").select("frn", "parent_frn", "name", "flags", "slot"), number)
 
-    return states.writeStream.outputMode("complete").foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def latest(states: DataFrame, batch: str = "batch") -> DataFrame:
+    """The live entries, from changed states with the number of their batch."""
+    last = states.groupBy("frn").agg(F.max_by(F.struct("last_op", "parent_frn", "name", "flags", "slot"), batch).alias("s")).select("frn", "s.*")
+    return last.where("last_op = 'C'").select("frn", "parent_frn", "name", "flags", "slot")
 
 
 def waste(changes: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 """Golden cases of the matchers, filters, calculator, change log and merge."""
 
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +9,7 @@ from pyspark.sql import functions as F
 from rankfield.functions import match, shellmatch
 from rankfield.functions.calc import calculate
 from rankfield.functions.ranges import match_ranges
-from rankfield.functions.text import cut_to_bytes, fold_any, fold_text, fold_unicode, initials, utf16_length
+from rankfield.functions.text import class_mask, cut_to_bytes, fold_any, fold_text, initials, mask_of, utf16_length
 from rankfield.operators import filters, latency, merge, rank, tree
 from rankfield.sources import journal
 from rankfield.sources.adapters import with_derived
@@ -16,15 +17,19 @@ from rankfield.streaming import changes, sessions
 
 
 def index_score(spark, name, query):
-    row = with_derived(spark.createDataFrame([(name,)], "name string")).withColumn("folded", fold_unicode(F.col("name")))
-    return row.select(match.tier_score(F.col("folded"), F.col("lane"), F.lit(fold_text(query)))).first()[0]
+    """Through the search that is shipped: a name at depth 0 without flags keeps its tier's score."""
+    row = with_derived(spark.createDataFrame([(1, name, 0, 0)], "frn long, name string, depth int, flags int"))
+    found = rank.search(row, query, 1).collect()
+    as_column = rank.scored(row, F.lit(fold_text(query))).collect()
+    assert [x["score"] for x in found] == [x["score"] for x in as_column]
+    return found[0]["score"] if found else None
 
 
 @pytest.mark.parametrize(
     ("name", "query", "score"),
     [
         ("foo", "foo", 1.0), ("foobar", "foo", 0.9), ("my-foo.txt", "foo", 0.8), ("fat old otters", "foo", 0.7), ("xfoox", "foo", 0.55), ("README.md", "readme.md", 1.0), ("Cafe\u0301.txt", "CAF\u00c9", 0.9),
-        ("\u6c49\u8bed\u624b\u518c.pdf", "\u8bed\u624b", 0.55), ("foo-barbaz.txt", "ba", 0.8), ("FooBar.txt", "fb", 0.7), ("abcx_bcd", "abcd", 0.4), ("abxcxd", "abcd", 0.3 + 0.2 * 4 / 6), ("abc", "zz", None), ("abc", "", None), ("a\u0130b", "zi", None),
+        ("\u6c49\u8bed\u624b\u518c.pdf", "\u8bed\u624b", 0.55), ("foo-barbaz.txt", "ba", 0.8), ("FooBar.txt", "fb", 0.7), ("abcx_bcd", "abcd", 0.4), ("abxcxd", "abcd", 0.3 + 0.2 * 4 / 6), ("abc", "zz", None), ("Report.txt", "REPORT", 0.9), ("\u00c4rger-Notiz", "\u00e4n", 0.7), ("\u0391\u03a3 x", "\u03b1\u03c3", 0.9), ("abc", "", None), ("a\u0130b", "zi", None),
     ],
 )
 def test_index_tiers(spark, name, query, score):
@@ -76,7 +81,7 @@ def test_tree_cycles_and_self(spark):
     ("text", "name", "exts", "path"),
     [
         ("report kind:document path:projects ext:.PDF,md", "report", {"pdf", "md"}, "projects"), ("notes 12:30", "notes 12:30", set(), ""), ("x kind:image ext:png,rs", "x", {"png"}, ""), ("x kind:im", "x", set(), ""),
-        ("report path:", "report", set(), ""), ("c:\\users report", "c:\\users report", set(), ""), ("x kind:image ext:p", "x", set(filters.KIND_EXTS["image"]), ""),
+        ("report path:", "report", set(), ""), ("c:\\users report", "c:\\users report", set(), ""), ("x kind:image ext:p", "x", set(filters.KIND_EXTS["image"]), ""), ("x kind:image kind:im", "x", set(filters.KIND_EXTS["image"]), ""),
     ],
 )
 def test_grammar(text, name, exts, path):
@@ -84,7 +89,7 @@ def test_grammar(text, name, exts, path):
     assert (q.name, set(q.exts), q.path, q.refused) == (name, exts, path, "")
 
 
-@pytest.mark.parametrize("text", ["x kind:image ext:rs", "x kind:folder", "x kind:banana", "kind:image", "path:src", "kind:", "kind:im", "ext:", "path:", "x kind:image ext:zzz"])
+@pytest.mark.parametrize("text", ["x kind:image ext:rs", "x kind:folder", "x kind:banana", "kind:image", "path:src", "kind:", "kind:im", "ext:", "path:", "x kind:image ext:zzz", "x kind:banana kind:image"])
 def test_grammar_refuses(text):
     assert filters.parse_file_query(text).refused
 
@@ -99,8 +104,11 @@ TODAY = dt.date(2026, 3, 10)
 @pytest.mark.parametrize(
     ("text", "copy"),
     [
-        ("2^3^2", "512"), ("200 + 10%", "220"), ("12 mi in km", "19.312128"), ("72 f in c", "22.2222222222"), ("1/0", None), ("2+2", "4"), ("-2^2", "-4"), ("10 mod 4", "2"), ("0xff", "255"), ("6 xor 3", "5"), ("1 << 4", "16"), ("(1+2)*3", "9"),
-        ("50%", "0.5"), ("hello 2", None), ("5", None), ("days until 2026-03-20", "10"), ("days since mar 1", "9"), ("1.5e3 + 1", "1501"), ("5 & 2.5", None), ("1,000 * 2", "2000"), ("7 % 4", "3"),
+        ("2^3^2", "512"), ("200 + 10%", "220"), ("12 mi in km", "19.312128"), ("72 f in c", "22.2222222222"), ("1/0", None), ("2+2", "4"), ("-2^2", "-4"), ("10 mod 4", "2"), ("6 xor 3", "5"), ("1 << 4", "16"), ("(1+2)*3", "9"),
+        ("50%", "0.5"), ("hello 2", None), ("5", None), ("0xff", None), ("days until 2026-03-20", "10"), ("days since mar 1", "9"), ("1.5e3 + 1", "1,501"), ("5 & 2.5", None), ("1,000 * 2", None), ("7 % 4", "3"),
+        ("2**10", "1,024"), ("1234567 * 1", "1,234,567"), ("200 + (5 + 5)%", "220"), ("0xff + 1", "256"), ("6 nor 3", None), ("0 x 1", None), ("~0 + 1", "0"), ("1 kg in lb", "2.2046226218"), ("1.5 gb in mib", "1,430.5114746094"), ("90 min in h", "1.5"),
+        ("100 kph in mph", "62.1371192237"), ("2*3 kg to g", "6,000"), ("12 mi in kg", None), ("-40 c in f", "-40"), ("0 c in kelvin", "273.15"), ("1 in in cm", "2.54"), ("10 st in kg", "63.5029318"), ("3 nmi in m", "5,556"), ("1 l in ml", None), ("72\u00b0f in c", None),
+        ("days until 2099-01-01", "26595"), ("days until 2026-02-30", None), ("days until mar 1st", "356"), ("days until nope 25", None), ("1/(1/0)", "0"), ("1e400 + 1", None), ("(" * 300, None), ("2 * 1e15", "2e15"), ("1 << 63", "-9.223372036854776e18"),
     ],
 )
 def test_calculator(text, copy):
@@ -108,6 +116,27 @@ def test_calculator(text, copy):
     assert (found and found[1]) == copy
 
 
+def test_calculator_display():
+    assert calculate("0xff + 1", TODAY)[0] == "256  (0x100, 0b100000000)" and calculate("255 + 1", TODAY)[0] == "256"
+    assert calculate("days until 2026-03-01", TODAY) == ("-9 days (was 2026-03-01)", "-9") and calculate("12 mi in km", TODAY)[0] == "19.312128 km"
+
+
+def test_long_names_end_in_time(spark):
+    """A failing fuzzy match reads a name once, whatever it repeats."""
+    rows = with_derived(spark.createDataFrame([(k, "b" + "a" * n, 0, 0) for k, n in enumerate((26, 40, 400, 4000))], "frn long, name string, depth int, flags int"))
+    began = time.time()
+    for q in ("a" * 20 + "b", "a" * 200 + "b"):
+        assert rank.search(rows, q).count() == rank.scored(rows, F.lit(q)).count() == 0
+        assert rows.select(shellmatch.score(F.col("name"), q).alias("s"), shellmatch.score(F.col("name"), F.lit(q)).alias("t")).where("s is not null or t is not null").count() == 0
+    assert time.time() - began < 20
+
+
+def test_masks_agree(spark):
+    names = ["abc", "Z-_. 9", "caf\u00e9", "\u6c49", "#+"]
+    got = spark.createDataFrame([(n.lower(),) for n in names], "n string").select(class_mask(F.col("n"))).collect()
+    assert [r[0] for r in got] == [mask_of(n.lower()) for n in names]
+
+
 def test_usage_properties(spark):
     rows = spark.createDataFrame([(1, 0), (5, 0), (5, -604800), (10**6, 0)], "n int, t int").select(rank.usage_bonus(F.col("n"), F.col("t"), 0)).collect()
     one, five, older, many = (r[0] for r in rows)
