@@ -77,7 +77,7 @@ class Work:
         """f's result, or Cancelled: never a part of it."""
         if self.stopped:
             raise Cancelled
-        self.spark.addTag(self.tag)
+        self.spark.sparkContext.addJobTag(self.tag)
         try:
             out = f()
         except Exception:
@@ -85,14 +85,14 @@ class Work:
                 raise Cancelled from None
             raise
         finally:
-            self.spark.removeTag(self.tag)
+            self.spark.sparkContext.removeJobTag(self.tag)
         if self.stopped:
             raise Cancelled
         return out
 
     def stop(self) -> None:
         self.stopped = True
-        self.spark.interruptTag(self.tag)
+        self.spark.sparkContext.cancelJobsWithTag(self.tag)
 
 
 def ask_all(spark: SparkSession, providers: dict[str, Provider], q: str, most: dict[str, int], deadline: float = DEADLINE) -> dict[str, Answer]:
