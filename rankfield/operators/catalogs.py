@@ -67,6 +67,11 @@ def fresh(rows: DataFrame, now: int, seconds: int, at: str = "ts") -> DataFrame:
     return rows.where(F.col(at) > now - seconds)
 
 
+def windows_due(read_at: Column, now: int) -> Column:
+    """Whether the list of windows has to be read again."""
+    return F.lit(now) - read_at >= WINDOWS_SECONDS
+
+
 def volumes(rows: DataFrame) -> DataFrame:
     return rows.withColumn("is_fixed_ntfs", F.col("fixed") & (F.upper("fs") == "NTFS"))
 

@@ -15,7 +15,7 @@ from pyspark.sql.types import StringType
 from rankfield.functions import match, scalar, shellmatch
 from rankfield.functions.calc import calculator
 from rankfield.functions.ranges import ranges_column
-from rankfield.functions.text import fold_unicode, initials, mask_of, segments
+from rankfield.functions.text import cut_to_bytes, fold_unicode, initials, mask_of, segments, utf16_length
 from rankfield.operators import catalogs, clips, content, filters, latency, logs, merge, minor, rank, scopes, security, tree
 from rankfield.plans import snapshot
 from rankfield.plans import sqltext as S
@@ -1091,3 +1091,54 @@ def named_entries(spark, sf_dir):
     """A catalog of plain entries: names that begin with what was typed."""
     rows = A.table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"))
     return catalogs.named_entries(rows, " Red").where(F.col("score") >= match.PREFIX).select("id", "name")
+
+
+# --- small columns
+
+
+_PATHS = "p AS (SELECT page_id, CASE page_id % 5 WHEN 0 THEN 'c:' WHEN 1 THEN 'D' WHEN 2 THEN 'e:\\' WHEN 3 THEN 'C:/' || url || '/' ELSE url END AS path FROM pages)"
+
+
+@query(f"WITH {_PATHS} SELECT page_id, rtrim(replace(path, '/', '\\'), '\\') AS root, CASE page_id % 5 WHEN 0 THEN 'C' WHEN 1 THEN 'D' WHEN 2 THEN 'E' END AS drive FROM p")
+def root_paths(spark, sf_dir):
+    k = F.pmod("page_id", F.lit(5))
+    path = F.when(k == 0, "c:").when(k == 1, "D").when(k == 2, "e:\\").when(k == 3, F.concat(F.lit("C:/"), F.col("url"), F.lit("/"))).otherwise(F.col("url"))
+    p = A.table(spark, sf_dir, "pages").select("page_id", path.alias("path"))
+    return p.select("page_id", scalar.normalized_root(F.col("path")).alias("root"), scalar.drive_of(F.col("path")).alias("drive"))
+
+
+@query("SELECT event_type AS component, count(*) AS n FROM events GROUP BY 1")
+def log_components(spark, sf_dir):
+    """Components as they are shown, without the program's own prefix."""
+    shown = logs.shown_component(F.concat(F.lit("app_core::"), F.col("event_type")), "app")
+    return A.table(spark, sf_dir, "events").groupBy(shown.alias("component")).agg(F.count("*").alias("n"))
+
+
+@query("SELECT doc_id FROM documents WHERE n_chars * 20000 <= 52428800")
+def content_caps(spark, sf_dir):
+    """Files that are read at all."""
+    return content.readable(A.table(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") * 20000).alias("size"))).select("doc_id")
+
+
+@query("WITH n AS (SELECT doc_id, text, least(length(text), 100) AS most FROM documents), c AS (SELECT doc_id, text, max(k) AS k FROM (SELECT doc_id, text, unnest(range(0, most + 1)) AS k FROM n) WHERE strlen(left(text, k)) <= 100 GROUP BY 1, 2) SELECT doc_id, left(text, k) AS name, length(left(text, k)) + length(regexp_replace(left(text, k), '[^\\x{10000}-\\x{10FFFF}]', '', 'g')) AS units FROM c")
+def names_cut(spark, sf_dir):
+    """Texts cut to a hundred bytes on a character's boundary, and how many UTF-16 units that is."""
+    cut = A.table(spark, sf_dir, "documents").select("doc_id", cut_to_bytes(F.col("text"), 100).alias("name"))
+    return cut.select("doc_id", "name", utf16_length("name").cast("long").alias("units"))
+
+
+_TYPED = (
+    ("report kind:document path:projects ext:.PDF,md", "report", "pdf,md", "projects", False), ("notes 12:30", "notes 12:30", "", "", False), ("x kind:image ext:png,rs", "x", "png", "", False), ("x kind:im ext:rs", "x", "rs", "", False),
+    ("report path:", "report", "", "", False), ("c:\\users report", "c:\\users report", "", "", False), ("a path:x path:y path:", "a", "", "y", False), ("x kind:audio ext:m", "x", "mp3,flac,wav,m4a,aac,ogg,opus,wma", "", False),
+    ("x kind:folder", "", "", "", True), ("x kind:banana kind:image", "", "", "", True), ("kind:image", "", "", "", True), ("ext:", "", "", "", True), ("x kind:image ext:rs", "", "", "", True), ("", "", "", "", False),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({S.quoted(t)}, {S.quoted(n)}, {S.quoted(e)}, {S.quoted(p)}, {str(r).lower()})" for t, n, e, p, r in _TYPED) + ") v(typed, name, exts, path, refused)")
+def file_queries(spark, sf_dir):
+    """What is typed into the file search, word by word and filter by filter."""
+    rows = []
+    for typed, *_ in _TYPED:
+        q = filters.parse_file_query(typed)
+        rows.append((typed, *(("", "", "") if q.refused else (q.name, ",".join(q.exts), q.path)), bool(q.refused)))
+    return spark.createDataFrame(rows, "typed string, name string, exts string, path string, refused boolean")

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
+from rankfield.functions.match import DEAD
 from rankfield.operators import rank, tree
 from rankfield.session import materialized
 from rankfield.sources.adapters import with_derived
@@ -12,7 +14,8 @@ COLUMNS = ("frn", "parent_frn", "name", "flags", "folded", "lane", "mask", "dept
 
 
 def build(entries: DataFrame, name: str = "snapshot") -> DataFrame:
-    """entries (frn, parent_frn, name, flags) with folded name, initials, class mask, depth and paths, written to the shared folder."""
+    """entries (frn, parent_frn, name, flags) that are not dead, with folded name, initials, class mask, depth and paths, written to the shared folder."""
+    entries = entries.where(F.col("flags").bitwiseAND(DEAD) == 0)
     placed = entries.join(tree.resolve(entries), "frn")
     return materialized(with_derived(placed).select(*COLUMNS), name)
 
