@@ -162,16 +162,16 @@ def pii_spans(docs: DataFrame) -> DataFrame:
 
 
 def pii(docs: DataFrame) -> DataFrame:
-    """One line a row of docs: counts of the base kinds, their digest, and all spans."""
+    """One line a row of docs: counts by kind, the base kinds' digest, all spans, and their scores in the same order."""
     spans = pii_spans(docs)
     one = F.concat_ws(":", "kind", "start", "end")
     lists = spans.groupBy("row", "doc_id").agg(
         *(F.count(F.when(F.col("kind") == k, 1)).alias(f"n_{k}") for k in (x.name for x in KINDS)),
-        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("order", "start", "end", one.alias("span"))))).alias("s"),
+        F.sort_array(F.collect_list(F.when(F.col("kind").isNotNull(), F.struct("order", "start", "end", one.alias("span"), F.col("score").cast("string").alias("score"))))).alias("s"),
     )
     joined = lambda s: F.array_join(F.transform(s, lambda x: x["span"]), ",")
     base = F.filter("s", lambda x: x["order"] < len(BASE))
-    return lists.select("doc_id", *(f"n_{k.name}" for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"))
+    return lists.select("doc_id", *(f"n_{k.name}" for k in KINDS), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("s")).alias("spans"), F.array_join(F.transform("s", lambda x: x["score"]), ",").alias("scores"))
 
 
 #: What redaction of a kind leaves; no context word of another kind.

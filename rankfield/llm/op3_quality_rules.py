@@ -32,6 +32,8 @@ WINDOW = 5
 MOST_LABELLED = 60_000
 #: A rule must reject mostly bad rows, on the rows it was grown on as on those it was pruned on.
 PRECISION = 0.95
+#: More labels than this are joined by a shuffle of the texts instead of a broadcast.
+BROADCAST_LABELS = 1_000_000
 MOST_RULES = 16
 MOST_CONDITIONS = 4
 
@@ -240,7 +242,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def accepted(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that no rule rejects, with docs's columns; texts pass through without a shuffle."""
-    rules = fit_rules(written(statistics(docs), "statistics"), labels)
+    known = labels.where("quality is not null and doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+    few = known.count() <= BROADCAST_LABELS
+    labelled = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(known) if few else known, "doc_id", "left_semi")
+    rules = fit_rules(written(statistics(labelled), "statistics"), labels)
     column = unused_name("counts", docs)
     schema = StructType([*docs.schema.fields, StructField(column, StructType([StructField(c, LongType()) for c in COUNTS]))])
     names = docs.columns
