@@ -45,10 +45,27 @@ def correlate(markers: DataFrame) -> DataFrame:
     return first.join(present, "gen", "left").groupBy("gen", "results_ts", "applied_ts").agg(F.min(F.when(F.col("p") > F.col("applied_ts"), F.col("p"))).alias("present_ts"))
 
 
+#: Orders to a block when running windows are taken in pieces.
+BLOCK_SAMPLES = 100_000
+
+
 def running(samples: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """Mean and greatest of the last RING samples at each sample."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(-(RING - 1), 0)
-    return samples.withColumn("ring_mean", F.avg(value).over(w)).withColumn("ring_most", F.max(value).over(w)).withColumn("ring_n", F.count("*").over(w))
+    """Mean and greatest of the last RING samples at each sample; order is a number, other for each sample of a class.
+
+    A class is cut into blocks of its order.  A block is also given the earlier
+    blocks that hold the RING - 1 samples before it, mostly one, so that no
+    class fills a task.
+    """
+    block = F.floor(F.col(order) / BLOCK_SAMPLES)
+    by_block = Window.partitionBy(by).orderBy("_block")
+    counts = samples.groupBy(by, block.alias("_block")).agg(F.count("*").alias("_n")).withColumn("_end", F.sum("_n").over(by_block))
+    counts = counts.withColumn("_next", F.collect_list(F.struct("_block", (F.col("_end") - F.col("_n")).alias("start"))).over(by_block.rowsBetween(1, RING - 1)))
+    wanted = F.transform(F.filter("_next", lambda x: x["start"] - (RING - 1) < F.col("_end")), lambda x: x["_block"])
+    dealt = counts.select(by, "_block", F.explode(F.concat(F.array("_block"), wanted)).alias("_to"))
+    w = Window.partitionBy(by, "_to").orderBy(order).rowsBetween(-(RING - 1), 0)
+    out = samples.withColumn("_block", block).join(dealt, [by, "_block"])
+    out = out.withColumn("ring_mean", F.avg(value).over(w)).withColumn("ring_most", F.max(value).over(w)).withColumn("ring_n", F.count("*").over(w))
+    return out.where("_to = _block").select(*samples.columns, "ring_mean", "ring_most", "ring_n")
 
 
 #: Generations to a block when running minima are taken over all of them.

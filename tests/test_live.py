@@ -1,13 +1,14 @@
 """The live catalog, other sources, trimming, and the content index, beyond what their queries check."""
 
 import json
+import random
 import threading
 import time
 
 import pytest
 from pyspark.sql import functions as F
 
-from rankfield.operators import catalogs, content, merge, rank, security, tree
+from rankfield.operators import catalogs, content, latency, merge, rank, security, tree
 from rankfield.plans import snapshot
 from rankfield.session import materialized, shared_folder
 from rankfield.sources import journal, providers
@@ -167,6 +168,21 @@ def test_blocks_of_queries_equal_one(spark, monkeypatch):
     assert sorted(map(tuple, rank.batch_search(rows, queries, 3).select("qid", "frn", "place").collect())) == one and one
 
 
+def test_running_windows_in_blocks(spark, monkeypatch):
+    rng = random.Random(3)
+    rows = [(c, k, rng.random()) for c in "ab" for k in sorted(rng.sample(range(9000), 700))]
+    samples = spark.createDataFrame(rows, "class string, id long, value double")
+    want = {}
+    for c in "ab":
+        own = [v for x, _, v in rows if x == c]
+        keys = [k for x, k, _ in rows if x == c]
+        want |= {(c, k): (max(own[max(0, i - 99) : i + 1]), len(own[max(0, i - 99) : i + 1])) for i, k in enumerate(keys)}
+    for size in (100_000, 500, 40):
+        monkeypatch.setattr(latency, "BLOCK_SAMPLES", size)
+        got = {(r["class"], r["id"]): (r["ring_most"], r["ring_n"]) for r in latency.running(samples, "class", "id", "value").collect()}
+        assert got == want
+
+
 def test_newest_states(spark):
     states = spark.createDataFrame([("a", 1, 0), ("a", 5, 2), ("a", 3, 1), ("b", 2, 0)], "id string, n int, batch int")
     assert sorted(map(tuple, usage.newest_states(states, "id").collect())) == [("a", 5), ("b", 2)]
