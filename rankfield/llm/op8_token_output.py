@@ -23,17 +23,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankfield.llm.core import docs_table, grouped, map_arrow, ranges, shared_path, sums_before, written
-from rankfield.llm.tokens import encoder, vocabulary_path
+from rankfield.llm.tokens import encoder, id_type, vocabulary_path
 
 END_ID = 2
 #: A block is closed at this many tokens.
 BLOCK_TOKENS = 1 << 18
 #: A writer holds this much before it writes.
 ROW_GROUP_BYTES = 16 << 20
+#: Ids are coded about so many bytes at a time.
+SLICE_BYTES = 1 << 20
 #: Documents to a file part, about.
 PART_DOCS = 6_000
 #: More parts than this are joined by a shuffle.
@@ -49,31 +52,49 @@ def text_column(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
 
-def token_counts(docs: DataFrame, path: str, end_id: int) -> np.ndarray:
-    """How often each id occurs; the driver gets one row an id of the vocabulary."""
+def coded(docs: DataFrame, path: str, end_id: int) -> tuple[DataFrame, np.ndarray]:
+    """doc_id and ids of each document (without the end), written so that texts are tokenized once; and how often each id occurs.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    The driver gets one row an id of the vocabulary.
+    """
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = encoder(path)
+        kind = id_type(code.vocabulary)
         total = np.zeros(code.vocabulary, np.int64)
         for batch, buf, off in grouped(batches):
-            ids, _ = code.encode(buf, off)
+            ids, at = code.encode(buf, off)
             total += np.bincount(ids, minlength=len(total))
             total[end_id] += batch.num_rows
+            raw, n = ids.astype(kind), batch.num_rows
+            each = pa.array([raw[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), each, pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "ids", "id", "n"])
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["id", "n"])
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.binary()), pa.array(some), pa.array(total[some])], ["doc_id", "ids", "id", "n"])
 
-    rows = map_arrow(text_column(docs), count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    rows = written(map_arrow(text_column(docs), encode, "doc_id long, ids binary, id long, n long"), "coded")
     out = np.zeros(encoder(path).vocabulary, np.int64)
-    for r in rows:
+    for r in rows.where("id is not null").groupBy("id").agg(F.sum("n").alias("n")).collect():
         out[r["id"]] = r["n"]
-    return out
+    return rows.where("ids is not null").select("doc_id", "ids"), out
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of about SLICE_BYTES of ids."""
+    for batch in batches:
+        size = np.cumsum(pc.binary_length(batch.column("ids")).to_numpy(zero_copy_only=False).astype(np.int64)) if batch.num_rows else np.zeros(0, np.int64)
+        a = 0
+        while a < batch.num_rows:
+            b = max(a + 1, int(np.searchsorted(size, (size[a - 1] if a else 0) + SLICE_BYTES, "right")))
+            yield batch.slice(a, b - a)
+            a = b
 
 
 def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int = END_ID) -> None:
     """Writes the blocks to ``to``/blocks and the ids in order of rank to ``to``/ranks."""
     path = path or vocabulary_path()
     spark = docs.sparkSession
-    counts = token_counts(docs, path, end_id)
+    texts, counts = coded(docs, path, end_id)
     by_rank = np.lexsort((np.arange(len(counts)), -counts))
     rank_of = np.empty(len(counts), np.uint32)
     rank_of[by_rank] = np.arange(len(counts))
@@ -86,11 +107,13 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
     bounds = np.unique(np.array(edges or [], np.int64))
     shared_bounds = spark.sparkContext.broadcast(bounds)
 
+    kind = id_type(len(counts))
+
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code = encoder(path)
-        for batch, buf, off in grouped(batches):
-            ids, at = code.encode(buf, off)
-            n = np.diff(at) + 1
+        for batch in slices(batches):
+            raw = batch.column("ids").to_pylist()
+            ids = np.frombuffer(b"".join(raw), kind)
+            n = np.array([len(x) // kind().itemsize for x in raw], np.int64) + 1
             out = np.full(int(n.sum()), end_id, "<u4")
             begin = np.cumsum(n) - n
             out[ranges(begin, n - 1)] = ids
@@ -141,7 +164,7 @@ def write_tokens(docs: DataFrame, to: str, path: str | None = None, end_id: int
         if held:
             yield close()
 
-    records = map_arrow(text_column(docs), encode, f"part int, {RECORDS}")
+    records = map_arrow(texts, encode, f"part int, {RECORDS}")
     dealt = records.repartitionById(len(bounds) + 1, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "n_tokens", "ids_crc32").drop("ids_crc32")
     map_arrow(dealt, block, BLOCKS).write.option("parquet.block.size", ROW_GROUP_BYTES).parquet(f"{to}/blocks")
 

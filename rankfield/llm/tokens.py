@@ -21,10 +21,10 @@ CUTS[list(b'.,!?;:%$#*&"()')] = True
 LETTER = np.zeros(256, bool)
 LETTER[97:123] = True
 #: A process forgets its pieces when it has this many.
-MOST_PIECES = 600_000
-SLOT_BITS = 20
+MOST_PIECES = 1_300_000
+SLOT_BITS = 21
 SLOT_MASK = np.uint64((1 << SLOT_BITS) - 1)
-SLOT_SHIFTS = (np.uint64(0), np.uint64(20), np.uint64(40))
+SLOT_SHIFTS = (np.uint64(0), np.uint64(21), np.uint64(42))
 
 
 def vocabulary_path(name: str = "word_bpe_49k.json") -> str:
@@ -149,6 +149,11 @@ class PieceEncoder:
         return self.ids[ranges(at, length)], total[first]
 
 
+def id_type(vocabulary: int) -> type:
+    """Of ids in tables; id vocabulary, one beyond the last, has room too."""
+    return np.uint16 if vocabulary < 1 << 16 else np.uint32
+
+
 @lru_cache(maxsize=2)
 def encoder(path: str) -> PieceEncoder:
     return PieceEncoder(path)
