@@ -22,35 +22,41 @@ def resolve(entries: DataFrame, root: str = "") -> DataFrame:
     itself, ends the walk.  Chains that never end have depth DEEPEST, as has all
     that hangs from them.
     """
+    text = lambda names: F.array_join(F.concat(F.array(F.lit(root)) if root else F.array().cast("array<string>"), names), "\\")
+    return _placed(entries).select(
+        "frn", F.when(F.col("up").isNotNull(), DEEPEST).otherwise(F.least("depth", F.lit(DEEPEST))).cast("int").alias("depth"),
+        text(F.col("names")).alias("path"), text(F.slice("names", F.lit(1), F.size("names") - 1)).alias("parent_path"),
+    )
+
+
+def _placed(entries: DataFrame) -> DataFrame:
+    """frn, up (set where a chain has not ended), top (the last ancestor found, or the entry), depth below it, and names from it on."""
     own = entries.select("frn", "parent_frn", "name")
     parents = own.where("parent_frn <> frn").select(F.col("parent_frn").alias("frn")).distinct()
     inner = materialized(own.join(parents, "frn", "left_semi"), "inner")
     followed = materialized(_follow(inner), "followed")
-    above = followed.select(F.col("frn").alias("parent_frn"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("names").alias("names2"))
+    above = followed.select(F.col("frn").alias("parent_frn"), *(F.col(c).alias(f"_{c}") for c in ("up", "top", "depth", "names")))
     leaves = own.join(inner.select("frn"), "frn", "left_anti").withColumn("parent_frn", F.when(F.col("parent_frn") != F.col("frn"), F.col("parent_frn")))
     hung = leaves.join(above, "parent_frn", "left").select(
-        "frn", F.col("up2").alias("up"), F.coalesce(F.col("depth2") + 1, F.lit(0)).alias("depth"), F.concat(F.coalesce("names2", F.array().cast("array<string>")), F.array("name")).alias("names")
-    )
-    text = lambda names: F.array_join(F.concat(F.array(F.lit(root)) if root else F.array().cast("array<string>"), names), "\\")
-    return followed.unionByName(hung).select(
-        "frn", F.when(F.col("up").isNotNull(), DEEPEST).otherwise(F.least("depth", F.lit(DEEPEST))).cast("int").alias("depth"),
-        text(F.col("names")).alias("path"), text(F.slice("names", F.lit(1), F.size("names") - 1)).alias("parent_path"),
+        "frn", F.col("_up").alias("up"), F.coalesce("_top", "frn").alias("top"), F.coalesce(F.col("_depth") + 1, F.lit(0)).alias("depth"),
+        F.concat(F.coalesce("_names", F.array().cast("array<string>")), F.array("name")).alias("names"),
     )
+    return followed.unionByName(hung)
 
 
 def _follow(own: DataFrame) -> DataFrame:
-    """frn, up (set where a chain has not ended), depth and names from the top."""
     known = own.select(F.col("frn").alias("parent_frn"), F.lit(True).alias("there"))
     linked = F.col("there").isNotNull() & (F.col("parent_frn") != F.col("frn"))
     state = own.join(known, "parent_frn", "left").select(
-        "frn", F.when(linked, F.col("parent_frn")).alias("up"), F.when(linked, 1).otherwise(0).alias("depth"), F.array("name").alias("names")
+        "frn", F.when(linked, F.col("parent_frn")).alias("up"), F.when(linked, F.col("parent_frn")).otherwise(F.col("frn")).alias("top"), F.when(linked, 1).otherwise(0).alias("depth"), F.array("name").alias("names")
     )
     state, links = materialized(state, "walk"), 1
     while links < MOST_LINKS and not state.where("up is not null").isEmpty():
-        above = state.select(F.col("frn").alias("up"), F.col("up").alias("up2"), F.col("depth").alias("depth2"), F.col("names").alias("names2"))
+        above = state.select(F.col("frn").alias("up"), *(F.col(c).alias(f"_{c}") for c in ("up", "top", "depth", "names")))
         state = state.join(above, "up", "left").select(
-            "frn", F.col("up2").alias("up"), (F.col("depth") + F.coalesce("depth2", F.lit(0))).alias("depth"), F.concat(F.coalesce("names2", F.array().cast("array<string>")), "names").alias("names")
-        )
+            "frn", F.col("_up").alias("up"), F.coalesce("_top", "top").alias("top"), (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+            F.concat(F.coalesce("_names", F.array().cast("array<string>")), "names").alias("names"),
+        )
         state, links = materialized(state, "walk"), links * 2
     return state
 
@@ -63,17 +69,25 @@ def depths_of_new(snapshot: DataFrame, added: DataFrame) -> DataFrame:
 
 
 def repair(snapshot: DataFrame, moved: DataFrame) -> DataFrame:
-    """snapshot with the depth and paths of moved folders (frn), and of all that hangs from them, resolved again.
+    """snapshot with the depth and paths of moved folders (frn, and was: the path before), and of all that hangs from them, worked out again.
 
-    The rest is passed on as it stands.  What hangs from a folder is found by its
-    old path, so only that much is joined with the resolved tree.
+    What hangs from a folder still has its old path, and is found by it.  Only that much is
+    followed upwards, to where it hangs from the rest, which passes on as it
+    stands.
     """
-    tops = snapshot.join(moved.select("frn").distinct(), "frn", "left_semi").select(F.col("path").alias("_top"))
-    under = (F.col("path") == F.col("_top")) | F.startswith(F.col("path"), F.concat(F.col("_top"), F.lit("\\")))
-    stale = materialized(snapshot.join(F.broadcast(tops), under, "left_semi").select("frn"), "stale")  # folders moved within one debounce
-    again = resolve(snapshot).join(stale, "frn", "left_semi").select("frn", *(F.col(c).alias(f"_{c}") for c in ("depth", "path", "parent_path")))
-    fresh = snapshot.join(again, "frn").withColumns({c: F.col(f"_{c}") for c in ("depth", "path", "parent_path")}).select(*snapshot.columns)
-    return snapshot.join(stale, "frn", "left_anti").select(*snapshot.columns).unionByName(fresh)
+    now = snapshot.join(moved.select("frn").distinct(), "frn", "left_semi").select(F.col("path").alias("_old"))
+    tops = moved.where("was is not null").select(F.col("was").alias("_old")).unionByName(now).distinct()
+    under = (F.col("path") == F.col("_old")) | F.startswith(F.col("path"), F.concat(F.col("_old"), F.lit("\\")))
+    stale = materialized(snapshot.join(F.broadcast(tops), under, "left_semi"), "stale")  # folders moved within one debounce
+    rest = snapshot.join(stale.select("frn"), "frn", "left_anti")
+    hooks = stale.select(F.col("frn").alias("top"), F.col("parent_frn").alias("_hook"))
+    held = rest.select(F.col("frn").alias("_hook"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))
+    placed = _placed(stale).join(hooks, "top").join(held, "_hook", "left")
+    depth = F.when(F.col("up").isNotNull(), DEEPEST).otherwise(F.least(F.col("depth") + F.coalesce(F.col("_depth") + 1, F.lit(0)), F.lit(DEEPEST))).cast("int")
+    path = lambda names: F.concat_ws("\\", F.col("_path"), F.when(F.size(names) > 0, F.array_join(names, "\\")))
+    again = placed.select("frn", depth.alias("_d"), path(F.col("names")).alias("_p"), path(F.slice("names", F.lit(1), F.size("names") - 1)).alias("_pp"))
+    fresh = stale.join(again, "frn").withColumns({"depth": F.col("_d"), "path": F.col("_p"), "parent_path": F.col("_pp")}).select(*snapshot.columns)
+    return rest.select(*snapshot.columns).unionByName(fresh)
 
 
 def orphans(entries: DataFrame) -> DataFrame:

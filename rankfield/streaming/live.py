@@ -10,6 +10,7 @@ import json
 import time
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,7 +34,7 @@ def changed_entries(snapshot: DataFrame, log: DataFrame) -> DataFrame:
     base = changes.with_snapshot(snapshot.join(touched, "frn", "left_semi"), log)
     folded = materialized(changes.fold(base).drop("slot"), "folded")
     rest = materialized(snapshot.join(touched, "frn", "left_anti"), "untouched")
-    near = tree.depths_of_new(rest.select("frn", "depth").unionByName(folded.select("frn", F.lit(0).alias("depth")).limit(0)), folded)
+    near = tree.depths_of_new(rest, folded)
     above = rest.select(F.col("frn").alias("parent_frn"), F.col("path").alias("_above"))
     placed = folded.join(near, "frn").join(above, "parent_frn", "left")
     path = F.when(F.col("_above").isNull(), F.col("name")).otherwise(F.concat_ws("\\", "_above", "name"))
@@ -42,10 +43,14 @@ def changed_entries(snapshot: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def moved_folders(snapshot: DataFrame, log: DataFrame) -> DataFrame:
-    """Folders of the snapshot that log renames, moves or deletes, and new entries whose parent is as new: what hangs from them has to be placed again."""
-    gone = snapshot.where(F.col("flags").bitwiseAND(DIR) != 0).join(log.where("op in ('R', 'D', 'C')").select("frn").distinct(), "frn", "left_semi").select("frn")
+    """frn, and was, the path before log: folders of the snapshot that log renames, moves or deletes, and new entries whose parent is as new.
+
+    What hangs from these has to be placed again.
+    """
+    named = log.where("op in ('R', 'D', 'C')").select("frn").distinct()
+    gone = snapshot.where(F.col("flags").bitwiseAND(DIR) != 0).join(named, "frn", "left_semi").select("frn", F.col("path").alias("was"))
     fresh = log.where("op = 'C'").select("frn", "parent_frn").distinct()
-    nested = fresh.join(fresh.select(F.col("frn").alias("parent_frn")), "parent_frn", "left_semi").select("frn")
+    nested = fresh.join(fresh.select(F.col("frn").alias("parent_frn")).distinct(), "parent_frn", "left_semi").select("frn", F.lit(None).cast("string").alias("was"))
     return gone.unionByName(nested).distinct()
 
 
@@ -100,9 +105,7 @@ class Live:
     def repair(self) -> None:
         """Places what hangs from folders that moved; until then it has its old depth, and is found all the same."""
         if self.moved:
-            placed = tree.resolve(self.entries)
-            kept = self.entries.drop("depth", "path", "parent_path").join(placed, "frn").select(*snapshots.COLUMNS)
-            self.entries = materialized(kept, "entries")
+            self.entries = materialized(tree.repair(self.entries, reduce(DataFrame.unionByName, self.moved)), "entries")
         self.armed, self.moved = None, []
 
     def save(self, to: str) -> None:

@@ -78,6 +78,38 @@ def test_repair_waits_and_then_places_what_hangs_below(spark, tmp_path):
     assert seen(state)[102] == (2, "pics\\moved\\b.txt") and not state.repair_due(200)
 
 
+def test_many_moves_at_once_equal_resolving_anew(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [(100 + k, rng.choice([5, *range(100, 100 + k)]) if k else 5, f"n{k}", 1) for k in range(40)]
+    state = state_of(spark, rows)
+    parent = {r[0]: r[1] for r in rows}
+    usn = 0
+    for part in range(3):
+        events = []
+        for _ in range(5):
+            frn = rng.choice(sorted(parent))
+            under, grown = {frn}, True
+            while grown:
+                grown = {f for f, p in parent.items() if p in under} - under
+                under |= grown
+            usn += 1
+            if rng.random() < 0.25:
+                parent.pop(frn)
+                events.append((usn, frn, 0, 0x200, 0x10, "gone"))
+            else:
+                parent[frn] = rng.choice([5, *sorted(set(parent) - under)])
+                events.append((usn, frn, parent[frn], 0x2000, 0x10, f"m{usn}"))
+        usn += 1
+        parent[500 + part] = rng.choice(sorted(parent))
+        events.append((usn, 500 + part, parent[500 + part], 0x100, 0, f"new{part}"))
+        at = written_journal(tmp_path / f"b{part}", *events)
+        assert state.step(journal.Journal(at, 7, 0, usn + 1))
+        if part != 1:
+            state.repair()
+    want = {r["frn"]: (r["depth"], r["path"]) for r in tree.resolve(state.entries).collect()}
+    assert seen(state) == want and {r["frn"]: r["parent_frn"] for r in state.entries.collect()} == parent
+
+
 def test_save_and_load(spark, tmp_path):
     state = state_of(spark, cursor=(7, 3))
     state.save(str(tmp_path / "s"))
@@ -93,7 +125,7 @@ def test_save_and_load(spark, tmp_path):
 def test_repair_of_a_snapshot_equals_resolving_anew(spark):
     built = snapshot.build(entries(spark))
     changed = built.withColumn("parent_frn", F.when(F.col("frn") == 101, 103).otherwise(F.col("parent_frn")))
-    got = {r["frn"]: (r["depth"], r["path"]) for r in tree.repair(changed, spark.createDataFrame([(101,)], "frn long")).collect()}
+    got = {r["frn"]: (r["depth"], r["path"]) for r in tree.repair(changed, spark.createDataFrame([(101, "docs\\a")], "frn long, was string")).collect()}
     want = {r["frn"]: (r["depth"], r["path"]) for r in tree.resolve(changed).collect()}
     assert got == want and got[102] == (2, "pics\\a\\b.txt")
 
