@@ -8,6 +8,7 @@ the characters.  Null texts count as empty everywhere.
 from __future__ import annotations
 
 import gc
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -187,9 +188,14 @@ def sums_before(df, key: str, n: str, out: str, block: int = 4096):
 
 
 def let_go(spark) -> None:
-    """Has Spark delete the shuffle files of earlier steps that nothing refers to any more, instead of whenever the driver collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    """Has Spark delete the shuffle files of earlier steps that nothing refers to any more, instead of whenever the driver collects its garbage.
+
+    What the first collection frees refers to more, which the second one finds.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 def unused_name(name: str, df) -> str:

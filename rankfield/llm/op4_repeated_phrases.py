@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.core import Words, docs_table, grouped, map_arrow, ranges, text_groups, written
+from rankfield.llm.core import Words, docs_table, grouped, let_go, map_arrow, ranges, text_groups, written
 
 WINDOW = 20
 PHRASE = 6
@@ -69,7 +69,7 @@ def lined_up(w: Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """phrase (its words between blanks), shard, and n: 1, or 2 if it occurs more than once among neighbouring rows."""
+    """phrase (its words between blanks), and tag: its shard, and whether it occurs more than once among neighbouring rows, in the lowest bit."""
     for batch, buf, off in grouped(batches):
         w = Words(buf, off)
         _, chosen, phrase = representatives(w, w.hashes())
@@ -88,7 +88,7 @@ def _phrases(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = at[last] + w.end[last] - w.start[last] + 1 - begin
         bounds = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(bounds), pa.py_buffer(line[ranges(begin, size)])])
-        yield pa.RecordBatch.from_arrays([words, pa.array(shard[first].astype(np.int32)), pa.array(np.minimum(n, 2).astype(np.int8))], ["phrase", "shard", "n"])
+        yield pa.RecordBatch.from_arrays([words, pa.array(shard[first] << 1 | (n > 1))], ["phrase", "tag"])
 
 
 def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,20 +99,20 @@ def _recurring(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not batch.num_rows:
             continue
         t = pa.Table.from_batches([batch] if held is None else [held, batch]).combine_chunks()
-        p, s = t.column("phrase").combine_chunks(), t.column("shard").combine_chunks()
-        keep = t.column("n").to_numpy() > 1
+        p, tag = t.column("phrase").combine_chunks(), t.column("tag").to_numpy()
+        keep = (tag & 1) > 0
         same = pc.equal(p[1:], p[:-1]).to_numpy(zero_copy_only=False)
         keep[1:] |= same
         keep[:-1] |= same
         if sent and before == p[0].as_py():
             keep[: 1 + int(np.argmin(np.concatenate([same, [False]])))] = True
-        out = pa.array(np.flatnonzero(keep[:-1]))
+        out = np.flatnonzero(keep[:-1])
         sent, before = (bool(keep[-2]), p[-2].as_py()) if len(p) > 1 else (sent, before)
         sent = sent and before == p[-1].as_py()
-        held = pa.RecordBatch.from_arrays([p[-1:], s[-1:], pa.array(np.where(keep[-1:], 2, 1).astype(np.int8))], ["phrase", "shard", "n"])
-        yield pa.RecordBatch.from_arrays([s.take(out), p.take(out)], ["shard", "phrase"])
-    if held is not None and (held.column("n")[0].as_py() > 1 or sent):
-        yield pa.RecordBatch.from_arrays([held.column("shard"), held.column("phrase")], ["shard", "phrase"])
+        held = pa.RecordBatch.from_arrays([p[-1:], pa.array(tag[-1:] | keep[-1:])], ["phrase", "tag"])
+        yield pa.RecordBatch.from_arrays([pa.array((tag[out] >> 1).astype(np.int32)), p.take(pa.array(out))], ["shard", "phrase"])
+    if held is not None and (held.column("tag")[0].as_py() & 1 or sent):
+        yield pa.RecordBatch.from_arrays([pa.array([held.column("tag")[0].as_py() >> 1], pa.int32()), held.column("phrase")], ["shard", "phrase"])
 
 
 def locate(w: Words, phrases: list[bytes]) -> np.ndarray:
@@ -188,25 +188,36 @@ def _settle(docs: pa.Table, phrases: pa.Table) -> pa.Table:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """hash, doc_id, row and place of each window; place: its start in the upper 32 bits, the second hash in the lower."""
     for batch in batches:
         for a in range(0, batch.num_rows, 256):
             part = batch.slice(a, 256)
-            at, value, check = ([np.frombuffer(x, kind) for x in part.column(c).to_pylist()] for c, kind in (("at", "<i4"), ("hashes", np.int64), ("checks", "<i4")))
+            at, value, check = ([np.frombuffer(x, kind) for x in part.column(c).to_pylist()] for c, kind in (("at", "<i4"), ("hashes", np.int64), ("checks", "<u4")))
             size = [len(x) for x in at]
             row, doc = (np.repeat(part.column(c).fill_null(NO_ID).to_numpy(zero_copy_only=False), size) for c in ("row", "doc_id"))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(check).astype(np.int32)), pa.array(doc), pa.array(row), pa.array(np.concatenate(at).astype(np.int32))], ["hash", "check", "doc_id", "row", "at"])
+            place = np.concatenate(at).astype(np.int64) << 32 | np.concatenate(check).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(doc), pa.array(row), pa.array(place)], ["hash", "doc_id", "row", "place"])
 
 
 def _later(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """row and at of all but the first of each hash and check; the rows come sorted."""
-    before = None
+    """row and at of all but the first of each pair of hashes; the rows come sorted."""
+    before, seen = None, np.zeros(0, np.int64)  # the last hash, and the second hashes met with it
     for batch in batches:
-        if batch.num_rows:
-            h, c = batch.column("hash").to_numpy(), batch.column("check").to_numpy()
-            again = np.concatenate([[(h[0], c[0]) == before], (h[1:] == h[:-1]) & (c[1:] == c[:-1])])
-            before = (h[-1], c[-1])
-            out = pa.array(np.flatnonzero(again))
-            yield pa.RecordBatch.from_arrays([batch.column("row").take(out), batch.column("at").take(out)], ["row", "at"])
+        if not batch.num_rows:
+            continue
+        h, place = batch.column("hash").to_numpy(), batch.column("place").to_numpy()
+        check = place & 0xFFFFFFFF
+        run = np.cumsum(np.concatenate([[False], h[1:] != h[:-1]]))
+        _, first = np.unique(run << 32 | check, return_index=True)
+        again = np.ones(len(h), bool)
+        again[first] = False
+        if h[0] == before:
+            again[(run == 0) & np.isin(check, seen)] = True
+        last = np.unique(check[run == run[-1]])
+        seen = np.union1d(seen, last) if h[-1] == before else last
+        before = h[-1]
+        out = pa.array(np.flatnonzero(again))
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(out), pa.array((place[again] >> 32).astype(np.int32))], ["row", "at"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,19 +235,32 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("n_words"), pa.array(removed, pa.int64()), pa.array(digest, pa.string())], ["doc_id", "n_words", "n_removed", "kept_sha256"])
 
 
+def recurring_phrases(sharded: DataFrame) -> DataFrame:
+    """shard and phrase, of phrases that occur more than once; a phrase gives a row a shard, however often it occurs."""
+    phrases = map_arrow(sharded, _phrases, "phrase binary, tag long").repartition("phrase").sortWithinPartitions("phrase")
+    return written(map_arrow(phrases, _recurring, "shard int, phrase binary"), "recurring")
+
+
+def later_windows(settled: DataFrame) -> DataFrame:
+    """row and, as a list, the starts of its windows that began earlier in another shard."""
+    hashes = map_arrow(settled.select("row", "doc_id", "at", "hashes", "checks"), _windows, "hash long, doc_id long, row long, place long")
+    later = map_arrow(hashes.repartition("hash").sortWithinPartitions("hash", "doc_id", "row", "place"), _later, "row long, at int")
+    return written(later.groupBy("row").agg(F.collect_list("at").alias("later")), "later")  # at most a document's words
+
+
 def repeated_phrases(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed and kept_sha256 of each row of docs."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size = plain.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("b")).first()["b"]
     shards = max(1, -(-size // SHARD_BYTES))
     sharded = plain.withColumn("shard", F.pmod(F.xxhash64("doc_id", "text"), F.lit(shards)).cast("int"))
-    phrases = map_arrow(sharded, _phrases, "phrase binary, shard int, n byte").repartition("phrase").sortWithinPartitions("phrase")
-    recurring = map_arrow(phrases, _recurring, "shard int, phrase binary")
+    recurring = recurring_phrases(sharded)
+    let_go(docs.sparkSession)
     settled = written(sharded.groupBy("shard").cogroup(recurring.groupBy("shard")).applyInArrow(_settle, SHARD_OUT), "settled")
+    let_go(docs.sparkSession)
     open_ = settled.where("text is not null")
-    hashes = map_arrow(open_.select("row", "doc_id", "at", "hashes", "checks"), _windows, "hash long, check int, doc_id long, row long, at int")
-    later = map_arrow(hashes.repartition("hash").sortWithinPartitions("hash", "check", "doc_id", "row", "at"), _later, "row long, at int")
-    by_row = later.groupBy("row").agg(F.collect_list("at").alias("later"))  # at most a document's words
+    by_row = later_windows(open_)
+    let_go(docs.sparkSession)
     cut = map_arrow(open_.select("row", "doc_id", "n_words", "text", "removed").join(by_row, "row", "left").drop("row"), _cut, "doc_id long, n_words long, n_removed long, kept_sha256 string")
     whole = settled.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), F.col("sha").alias("kept_sha256"))
     return whole.unionByName(cut)

@@ -177,11 +177,27 @@ def test_recurring_phrases_over_batches():
     r = random.Random(12)
     for _ in range(50):
         rows = sorted((bytes([r.randrange(97, 105)]), r.randrange(9), r.choice([1, 1, 1, 2])) for _ in range(r.randint(0, 14)))
-        t = pa.table({"phrase": pa.array([x[0] for x in rows], pa.binary()), "shard": pa.array([x[1] for x in rows], pa.int32()), "n": pa.array([x[2] for x in rows], pa.int8())})
+        t = pa.table({"phrase": pa.array([x[0] for x in rows], pa.binary()), "tag": pa.array([x[1] << 1 | (x[2] > 1) for x in rows], pa.int64())})
         got = [(p, s) for b in op4._recurring(iter(t.to_batches(max_chunksize=r.randint(1, 4)))) for s, p in zip(b.column("shard").to_pylist(), b.column("phrase").to_pylist())]
         assert sorted(got) == sorted((p, s) for p, s, _ in rows if sum(n for q, _, n in rows if q == p) > 1)
 
 
+def test_later_windows_over_batches():
+    import rankfield.llm.op4_repeated_phrases as op4
+
+    r = random.Random(13)
+    for _ in range(50):
+        rows = sorted((r.randrange(4), k, r.randrange(9) << 32 | r.randrange(2)) for k in range(r.randint(0, 20)))
+        t = pa.table({"hash": pa.array([x[0] for x in rows], pa.int64()), "row": pa.array([x[1] for x in rows], pa.int64()), "place": pa.array([x[2] for x in rows], pa.int64())})
+        got = [x for b in op4._later(iter(t.to_batches(max_chunksize=r.randint(1, 5)))) for x in zip(b.column("row").to_pylist(), b.column("at").to_pylist())]
+        met, want = set(), []
+        for h, row, place in rows:
+            if (key := (h, place & 0xFFFFFFFF)) in met:
+                want.append((row, place >> 32))
+            met.add(key)
+        assert sorted(got) == sorted(want)
+
+
 def test_repeated_phrases_sql(spark, tmp_path):
     import duckdb
 
