@@ -14,13 +14,6 @@ from rankfield.functions.calc import TEMPERATURES, UNITS
 FNV_START, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 
 
-def fnv1a(data: bytes) -> int:
-    h = FNV_START
-    for b in data:
-        h = (h ^ b) * FNV_PRIME & 0xFFFFFFFFFFFFFFFF
-    return h
-
-
 #: Rows whose bytes are hashed side by side.
 _HASHED_AT_ONCE = 2048
 
@@ -149,7 +142,7 @@ def accelerator(ctrl: Column, alt: Column, shift: Column, win: Column, key: Colu
 def hotkey_problem(ctrl: Column, alt: Column, shift: Column, win: Column, key: Column) -> Column:
     """Why a hotkey cannot be taken; null if it can."""
     return (
-        F.when(F.coalesce(key, F.lit("")) == "", "no key")
+        F.when(F.coalesce(key, F.lit("")) == "", "key missing")
         .when(key == "F12", "kept for debuggers")
         .when(~(ctrl | alt | shift | win), "no modifier")
         .when(key.isin(*LONE_MODIFIERS), "the key is a modifier")

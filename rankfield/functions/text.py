@@ -14,9 +14,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StringType
 
-#: Separators of the index matcher and of the shell matcher.
+#: Fixed value: separators of the index matcher.
 INDEX_SEPARATORS = "-_. "
-SHELL_SEPARATORS = " -_./\\()&+:,"
 
 #: An initials lane holds this many bytes; names and queries are cut at this many.
 LANE_BYTES = 8

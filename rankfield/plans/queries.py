@@ -435,8 +435,8 @@ def path_weight(spark, sf_dir):
 
 @query(f"WITH {_USAGE} SELECT c_custkey AS frn, round((0.5 + coalesce(bonus, 0)) * 1.0, 6) AS score FROM customer LEFT JOIN bonus ON id = c_custkey::VARCHAR ORDER BY 0.5 + coalesce(bonus, 0) DESC, c_custkey LIMIT 50")
 def fallback_rank(spark, sf_dir):
-    c = A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frn"), F.col("c_custkey").cast("string").alias("id"))
-    rows = rank.with_usage(c, rank.usage(A.launches(spark, sf_dir)), NOW).withColumn("score", rank.FALLBACK_BASE + F.col("bonus"))
+    c = rank.fallback_rows(A.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("frn"), F.col("c_custkey").cast("string").alias("path")))
+    rows = rank.with_usage(c, rank.usage(A.launches(spark, sf_dir)), NOW).withColumn("score", F.col("score") + F.col("bonus"))
     return rank.page(rows, 50, "frn").select("frn", r6())
 
 
@@ -1142,3 +1142,10 @@ def file_queries(spark, sf_dir):
         q = filters.parse_file_query(typed)
         rows.append((typed, *(("", "", "") if q.refused else (q.name, ",".join(q.exts), q.path)), bool(q.refused)))
     return spark.createDataFrame(rows, "typed string, name string, exts string, path string, refused boolean")
+
+
+@query(f"SELECT user_id AS list, {NOW} - max(epoch(date_trunc('second', ts))::BIGINT) >= 5 AS due FROM events GROUP BY 1")
+def windows_cache(spark, sf_dir):
+    """Lists of windows that have to be read again."""
+    e = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("list")).agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("ts"))
+    return e.select("list", catalogs.windows_due(F.col("ts"), NOW).alias("due"))
