@@ -168,3 +168,12 @@ def hotkey_owner(ctrl: Column, alt: Column, shift: Column, win: Column, key: Col
 def url_for(template: Column, query: Column) -> Column:
     """A quicklink with the percent-encoded query in place of {query}."""
     return F.replace(template, F.lit("{query}"), F.replace(F.url_encode(query), F.lit("+"), F.lit("%20")))
+
+
+def snippet(template: Column, clipboard: Column, now: Column) -> tuple[Column, Column]:
+    """A snippet's text with {clipboard} and {date:FORMAT} (the first format holds for all) filled in, and where {cursor} stood in it; null without one."""
+    given = F.regexp_extract(template, r"\{date:([^}]*)\}", 1)
+    dated = F.regexp_replace(template, F.lit(r"\{date:[^}]*\}"), F.when(given != "", F.call_function("date_format", now, given)).otherwise(F.lit("")))
+    whole = F.replace(dated, F.lit("{clipboard}"), clipboard)
+    at = F.instr(whole, "{cursor}")
+    return F.replace(whole, F.lit("{cursor}"), F.lit("")), F.when(at > 0, at - 1)

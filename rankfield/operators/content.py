@@ -104,3 +104,8 @@ def within_size(rows: DataFrame, cap: int, size: str, age: str, tie: str) -> Dat
 def batches(rows: DataFrame, size: int, *order) -> DataFrame:
     """seq: pages of size rows in order, told apart within one result page."""
     return rows.withColumn("seq", F.floor((F.row_number().over(Window.orderBy(*order)) - 1) / size).cast("int"))
+
+
+def owned(found: DataFrame, docs: DataFrame, sid: str) -> DataFrame:
+    """Documents found that belong to the user: contents are served to the owner of their scope alone."""
+    return found.join(docs.where(F.col("sid") == sid).select("doc_id"), "doc_id", "left_semi")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankfield.functions.match import may_match, rank_factor, tier_name, tier_score
+from rankfield.functions.scalar import url_for
 from rankfield.functions.text import class_mask, fold_text, fold_unicode, mask_of
 
 #: The page a caller may ask for, and how long usage takes to halve.
@@ -141,3 +142,32 @@ def counts_as_launch(kind: Column, action: Column) -> Column:
 def band(base: Column, direct: Column, threshold: float) -> Column:
     """A command's score, lifted if its own name reaches the threshold."""
     return base + F.when(direct >= threshold, BAND_LIFT).otherwise(0.0)
+
+
+def survivors_by_depth(entries: DataFrame, q: str) -> DataFrame:
+    """How many entries hold all of the query's classes of bytes, by depth, and how many up to each depth."""
+    found = entries.where(may_match(F.col("mask"), F.lit(mask_of(fold_text(q))))).groupBy("depth").agg(F.count("*").alias("n"))
+    return found.withColumn("up_to", F.sum("n").over(Window.orderBy("depth")))  # at most a row a depth
+
+
+def with_metadata(page_: DataFrame, files: DataFrame) -> DataFrame:
+    """A page with size and mtime of each file; null where they are not known."""
+    return page_.join(files.select("frn", "size", "mtime"), "frn", "left")
+
+
+#: Fixed value: topics that can be listened to.
+TOPICS = ("index.progress", "index.state", "config.changed")
+
+
+def delivered(events: DataFrame, subscriptions: DataFrame) -> DataFrame:
+    """Events (topic, payload, ts) for each subscriber (client, topic, since): those of its topics from then on; unknown topics have none."""
+    own = subscriptions.where(F.col("topic").isin(*TOPICS)).distinct()
+    return events.join(own, "topic").where("ts >= since").select("client", "topic", "payload", "ts")
+
+
+def web_rows(queries: DataFrame, best: DataFrame, engines: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """Rows that offer a search of the web for queries (qid, q) of which no row (qid, score) reaches the threshold; engines: names and address templates."""
+    top = best.groupBy("qid").agg(F.max("score").alias("_top"))
+    poor = queries.where(F.trim("q") != "").join(top, "qid", "left").where(F.coalesce("_top", F.lit(0.0)) < threshold).drop("_top")
+    offers = F.array(*(F.struct(F.lit(n).alias("engine"), url_for(F.lit(t), F.col("q")).alias("url"), F.lit(k).alias("place")) for k, (n, t) in enumerate(engines)))
+    return poor.select("qid", "q", F.explode(offers).alias("o")).select("qid", "q", "o.*")

@@ -1149,3 +1149,58 @@ def windows_cache(spark, sf_dir):
     """Lists of windows that have to be read again."""
     e = A.table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("list")).agg(F.max(F.unix_timestamp(F.col("ts").cast("timestamp"))).alias("ts"))
     return e.select("list", catalogs.windows_due(F.col("ts"), NOW).alias("due"))
+
+
+@query(f"WITH RECURSIVE {S.TREE}, h AS (SELECT depth, count(*) AS n FROM tree JOIN walk USING (frn) WHERE len(list_filter(string_split('rd1', ''), lambda c: NOT contains(lower(tree.name), c))) = 0 GROUP BY depth) SELECT depth, n, sum(n) OVER (ORDER BY depth)::BIGINT AS up_to FROM h")
+def survivors_by_depth(spark, sf_dir):
+    """Entries that a query's classes let through, by depth."""
+    return rank.survivors_by_depth(tree_entries(spark, sf_dir), "RD1")
+
+
+@query("WITH e AS (SELECT event_type AS name, event_type = 'error' AS dead, event_id % 4 = 0 AS old FROM events), s AS (SELECT sum(CASE WHEN dead OR old THEN strlen(name) ELSE 0 END) AS db, sum(CASE WHEN dead OR old THEN 0 ELSE strlen(name) END) AS lb, count(*) FILTER (old) AS o, count(*) FILTER (dead) AS d, count(*) AS n FROM e) SELECT round(db / greatest(lb, 1), 6) AS bytes, round(o / n, 6) AS records, round(d / n, 6) AS slots FROM s")
+def waste_fractions(spark, sf_dir):
+    e = A.table(spark, sf_dir, "events").select(F.col("event_type").alias("name"), (F.col("event_type") == "error").alias("dead"), (F.pmod("event_id", F.lit(4)) == 0).alias("superseded"))
+    return changes.waste_fractions(e).select(*(F.round(c, 6).alias(c) for c in ("bytes", "records", "slots")))
+
+
+@query(f"WITH RECURSIVE {S.TREE}, hit AS (SELECT t.frn, {S.tiers('0012')} * {S.factor()} AS score FROM tree t JOIN walk USING (frn)), page AS (SELECT * FROM hit WHERE score IS NOT NULL ORDER BY score DESC, frn LIMIT 50) SELECT frn, round(score, 6) AS score, o_totalprice AS size, o_orderdate AS mtime FROM page LEFT JOIN orders ON o_orderkey + 1000000000 = frn")
+def page_metadata(spark, sf_dir):
+    """A page with size and time of its files, looked up for the page alone."""
+    files = A.table(spark, sf_dir, "orders").select((F.col("o_orderkey") + 1_000_000_000).alias("frn"), F.col("o_totalprice").alias("size"), F.col("o_orderdate").alias("mtime"))
+    return rank.with_metadata(rank.search(tree_entries(spark, sf_dir), "0012", 50).select("frn", r6()), files)
+
+
+@query("WITH e AS (SELECT ['index.progress', 'index.state', 'config.changed', 'other'][(event_id % 4 + 1)::INTEGER] AS topic, event_type AS payload, event_id AS ts FROM events), s AS (SELECT n_nationkey AS client, ['index.progress', 'index.state', 'config.changed', 'other'][(n_regionkey % 4 + 1)::INTEGER] AS topic, n_nationkey * 100 AS since FROM nation) SELECT client, topic, payload, ts FROM e JOIN s USING (topic) WHERE topic <> 'other' AND ts >= since")
+def subscriptions(spark, sf_dir):
+    """Events as they go to each client that listens."""
+    topics = F.array(*(F.lit(t) for t in (*rank.TOPICS, "other")))
+    e = A.table(spark, sf_dir, "events").select(F.element_at(topics, (F.pmod("event_id", F.lit(4)) + 1).cast("int")).alias("topic"), F.col("event_type").alias("payload"), F.col("event_id").alias("ts"))
+    n = A.table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("client"), F.element_at(topics, F.pmod("n_regionkey", F.lit(4)) + 1).alias("topic"), (F.col("n_nationkey") * 100).alias("since"))
+    return rank.delivered(e, n)
+
+
+_ENGINES = [("one", "https://one.example/?q={query}"), ("two", "https://two.example/s/{query}")]
+
+
+@query(f"WITH q AS (SELECT r_regionkey AS qid, ['red', 'zz top', '  ', 'small', 'c++ & more'][r_regionkey + 1] AS q FROM region), {S.PARTS}, best AS (SELECT qid, max(CASE WHEN contains(lower(name), q) THEN 0.55 END) AS top FROM q, parts GROUP BY qid) SELECT qid, q, e.engine, replace(e.t, '{{query}}', replace(url_encode(q), '+', '%20')) AS url, e.place FROM q JOIN best USING (qid), (VALUES ('one', '{_ENGINES[0][1]}', 0), ('two', '{_ENGINES[1][1]}', 1)) e(engine, t, place) WHERE trim(q) <> '' AND coalesce(top, 0) < 0.5")
+def web_fallback(spark, sf_dir):
+    """Offers to search the web for what nothing here is good enough for."""
+    texts = F.array(*(F.lit(t) for t in ("red", "zz top", "  ", "small", "c++ & more")))
+    queries = A.table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("qid"), F.element_at(texts, F.col("r_regionkey") + 1).alias("q"))
+    found = rank.batch_search(part_entries(spark, sf_dir), queries.where(F.trim("q") != ""), 1)
+    return rank.web_rows(queries, found, _ENGINES, 0.5)
+
+
+@query("WITH t AS (SELECT conv_id, turn, 'On {date:yyyy-MM-dd}: {clipboard}{cursor}!' AS t, text FROM conversations WHERE NOT contains(text, '{')) SELECT conv_id, turn, 'On 2024-01-31: ' || text || '!' AS text, (15 + length(text))::INTEGER AS cursor FROM t")
+def snippets(spark, sf_dir):
+    c = A.table(spark, sf_dir, "conversations").where("not contains(text, '{')")
+    filled, cursor = scalar.snippet(F.lit("On {date:yyyy-MM-dd}: {clipboard}{cursor}!"), F.col("text"), F.lit("2024-01-31 00:00:00").cast("timestamp"))
+    return c.select("conv_id", "turn", filled.alias("text"), cursor.alias("cursor"))
+
+
+@query(f"WITH {_POST}, d AS (SELECT doc_id FROM documents WHERE source = (SELECT min(source) FROM documents)) SELECT doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * size / m))), 6) AS score FROM tf JOIN df USING (term), st WHERE doc_id IN (SELECT doc_id FROM d) GROUP BY doc_id")
+def content_owned(spark, sf_dir):
+    """Contents found, as they are served to the owner of one scope."""
+    docs = A.table(spark, sf_dir, "documents").withColumnRenamed("source", "sid")
+    first = docs.agg(F.min("sid")).first()[0]
+    return content.owned(content.bm25(docs, _TERMS), docs, first).select("doc_id", r6())

@@ -87,3 +87,15 @@ def waste(changes: DataFrame) -> DataFrame:
     sums = folded.agg(F.count("*").alias("total"), F.sum(F.when(F.col("last_op") == "D", 1).otherwise(0)).alias("dead"))
     share = F.col("dead") / F.greatest(F.col("total"), F.lit(1))
     return sums.select("total", "dead", share.alias("share"), (share >= IDLE_WASTE).alias("due_idle"), (share > FORCED_WASTE).alias("due_now"))
+
+
+def waste_fractions(entries: DataFrame) -> DataFrame:
+    """Of a table of entries (name, dead, superseded: an older record of the same entry): dead bytes to live ones, superseded records and dead rows to all."""
+    size = F.octet_length("name").cast("long")
+    gone = F.col("dead") | F.col("superseded")
+    sums = entries.agg(
+        F.coalesce(F.sum(F.when(gone, size)), F.lit(0)).alias("dead_bytes"), F.coalesce(F.sum(F.when(~gone, size)), F.lit(0)).alias("live_bytes"),
+        F.count(F.when(F.col("superseded"), 1)).alias("old"), F.count(F.when(F.col("dead"), 1)).alias("dead"), F.count("*").alias("all"),
+    )
+    share = lambda a, b: F.col(a) / F.greatest(F.col(b), F.lit(1))
+    return sums.select(share("dead_bytes", "live_bytes").alias("bytes"), share("old", "all").alias("records"), share("dead", "all").alias("slots"))
