@@ -28,8 +28,9 @@ from rankfield.llm.tokens import encoder, vocabulary_path
 
 CAPACITY = 4096
 END_ID = 1
-#: Ranks are counted within salts of a length of about so many pieces each, so that a very common length is spread over tasks.
-SALT_PIECES = 200_000
+#: Ranks are counted within salts of a length of about so many pieces each, or a millionth of all, so that a very common length is spread over tasks.
+SALT_PIECES = 500
+MOST_SALTS = 1_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -120,7 +121,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     if not histogram:
         return pieces.withColumn("sequence_id", F.lit(0).cast("long")).withColumn("offset", F.lit(0).cast("long"))
     spark = pieces.sparkSession
-    salts = spark.createDataFrame([(k, -(-n // SALT_PIECES)) for k, n in histogram.items()], "length long, _salts long")
+    own = max(SALT_PIECES, -(-sum(histogram.values()) // MOST_SALTS))
+    salts = spark.createDataFrame([(k, -(-n // own)) for k, n in histogram.items()], "length long, _salts long")
     salted = pieces.join(F.broadcast(salts), "length").withColumn("_salt", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.col("_salts")).cast("int"))
     counts = salted.groupBy("length", "_salt").agg(F.count("*").alias("_n"))
     before = counts.withColumn("_before", F.sum("_n").over(Window.partitionBy("length").orderBy("_salt")) - F.col("_n")).drop("_n")
@@ -128,7 +130,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     names = pieces.columns
     ranked = (
         salted.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_salt").orderBy(*order)) - 1)
-        .join(F.broadcast(before), ["length", "_salt"])  # at most a row a length, and one for SALT_PIECES pieces
+        .join(F.broadcast(before), ["length", "_salt"])  # at most a row a length, and MOST_SALTS
         .select(*names, (F.col("_before") + F.col("_rank")).cast("long").alias("_rank"))
     )
 
