@@ -12,7 +12,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType
+from pyspark.sql.types import IntegerType, LongType, StringType
 
 #: Fixed value: separators of the index matcher.
 INDEX_SEPARATORS = "-_. "
@@ -93,10 +93,15 @@ def segments(c: Column) -> Column:
     return F.filter(F.split(marked, _JAVA_INDEX), lambda x: x != "")
 
 
+def initials_ascii(c: Column) -> Column:
+    """initials_text of names that are ASCII."""
+    firsts = F.transform(segments(c), lambda x: F.lower(F.left(x, F.lit(1))))
+    return F.left(F.array_join(firsts, ""), F.lit(LANE_BYTES))
+
+
 def initials(c: Column) -> Column:
     """initials_text of a column; only names beyond ASCII go to Python."""
-    firsts = F.transform(segments(c), lambda x: F.lower(F.left(x, F.lit(1))))
-    return F.coalesce(F.when(is_ascii(c), F.left(F.array_join(firsts, ""), F.lit(LANE_BYTES))), initials_any(F.when(~is_ascii(c), c)))
+    return F.coalesce(F.when(is_ascii(c), initials_ascii(c)), initials_any(F.when(~is_ascii(c), c)))
 
 
 def class_bit(code: Column) -> Column:
@@ -113,11 +118,25 @@ def class_bit(code: Column) -> Column:
     )
 
 
+def _mask(codes: Column) -> Column:
+    bits = F.transform(codes, lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), class_bit(c).cast("int")))
+    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+
+
 def class_mask(folded: Column) -> Column:
     """A long with a bit for each class of byte in folded; a query's mask must be within a name's for any match."""
-    codes = F.transform(F.sequence(F.lit(1), F.greatest(F.length(F.hex(folded)) / 2, F.lit(1)).cast("int")), lambda i: F.conv(F.substr(F.hex(folded), i * 2 - 1, F.lit(2)), 16, 10).cast("int"))
-    bits = F.transform(F.filter(codes, lambda c: c.isNotNull()), lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), class_bit(c).cast("int")))
-    return F.aggregate(bits, F.lit(0).cast("long"), lambda a, b: a.bitwiseOR(b))
+    pairs = F.filter(F.split(F.hex(folded), "(?<=\\G..)"), lambda x: x != "")
+    return _mask(F.transform(pairs, lambda x: F.conv(x, 16, 10).cast("int")))
+
+
+def class_mask_ascii(folded: Column) -> Column:
+    """class_mask of text that is ASCII."""
+    return _mask(F.transform(F.filter(F.split(folded, ""), lambda x: x != ""), lambda x: F.ascii(x)))
+
+
+@F.pandas_udf(LongType())
+def mask_any(folded: pd.Series) -> pd.Series:
+    return folded.map(mask_of, na_action="ignore").astype("Int64")
 
 
 def mask_of(text: str) -> int:

@@ -16,8 +16,7 @@ COLUMNS = ("frn", "parent_frn", "name", "flags", "folded", "lane", "mask", "dept
 def build(entries: DataFrame, name: str = "snapshot") -> DataFrame:
     """entries (frn, parent_frn, name, flags) that are not dead, with folded name, initials, class mask, depth and paths, written to the shared folder."""
     entries = entries.where(F.col("flags").bitwiseAND(DEAD) == 0)
-    placed = entries.join(tree.resolve(entries), "frn")
-    return materialized(with_derived(placed).select(*COLUMNS), name)
+    return materialized(with_derived(entries).join(tree.resolve(entries), "frn").select(*COLUMNS), name)
 
 
 def search(snapshot: DataFrame, q: str, k: int = 32) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankfield.functions.match import DIR, HIDDEN, SYSTEM
-from rankfield.functions.text import class_mask, fold_unicode, initials
+from rankfield.functions.text import class_mask_ascii, fold_any, initials_any, initials_ascii, is_ascii, mask_any
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +37,9 @@ def part_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def with_derived(entries: DataFrame) -> DataFrame:
     """Adds what is computed once at ingest: folded name, initials and class mask."""
-    return entries.withColumns({"folded": fold_unicode(F.col("name")), "lane": initials(F.col("name"))}).withColumn("mask", class_mask(F.col("folded")))
+    plain = entries.where(F.coalesce(is_ascii(F.col("name")), F.lit(True))).withColumns({"folded": F.lower("name"), "lane": initials_ascii(F.col("name"))}).withColumn("mask", class_mask_ascii(F.col("folded")))
+    other = entries.where(~is_ascii(F.col("name"))).withColumns({"folded": fold_any(F.col("name")), "lane": initials_any(F.col("name"))}).withColumn("mask", mask_any(F.col("folded")))
+    return plain.unionByName(other)  # only the others go through Python
 
 
 def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
