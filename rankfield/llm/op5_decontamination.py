@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankfield.llm.core import docs_table, map_arrow, mix, ranges, span_hashes, text_groups
+from rankfield.llm.core import LOWER, docs_table, map_arrow, mix, ranges, span_hashes, text_groups
 from rankfield.llm.tokens import CUTS, cut_pieces
 
 PASSAGE = 32
@@ -60,6 +60,11 @@ BLOCK_PAIRS = 1 << 21
 GROUP_BYTES = 1 << 19
 
 
+#: First bytes of characters that may have another case, beyond those of Latin-1.
+OTHER_CASES = np.zeros(256, bool)
+OTHER_CASES[[*range(0xC4, 0xE0), 0xE1, 0xE2, 0xEA, 0xEF, 0xF0]] = True
+
+
 class Terms(NamedTuple):
     """Words of texts: 64-bit hashes, and index of each text's first word, with the end."""
 
@@ -71,8 +76,23 @@ class Terms(NamedTuple):
         return (mix(self.hashes) & np.uint64(TERM_BINS - 1)).astype(np.int64)
 
 
+def lowered(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The texts in lower case: A-Z and the accented capitals of Latin-1 in place; groups with other alphabets character by character."""
+    low = LOWER[buf]
+    if not len(low):
+        return low, off
+    lead = np.flatnonzero(low[:-1] == 0xC3)
+    second = low[lead + 1]
+    low[lead[(second >= 0x80) & (second <= 0x9E) & (second != 0x97)] + 1] += 0x20
+    if not OTHER_CASES[low].any():
+        return low, off
+    raw = low.tobytes()
+    each = [raw[a:b].decode("utf-8").lower().encode() for a, b in zip(off[:-1].tolist(), off[1:].tolist())]
+    return np.frombuffer(b"".join(each), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in each])]).astype(np.int64)
+
+
 def terms(buf: np.ndarray, off: np.ndarray) -> Terms:
-    low, start, end, first = cut_pieces(buf, off)
+    low, start, end, first = cut_pieces(*lowered(buf, off))
     word = ~CUTS[low[start]] if len(start) else np.zeros(0, bool)
     kept = np.concatenate([[0], np.cumsum(word)])
     return Terms(span_hashes(low, start[word], end[word]), kept[first])

@@ -513,6 +513,16 @@ def test_paraphrases_against_all_pairs(spark, docs_of):
     assert len(got) >= 0.98 * len(want)
 
 
+def test_copies_in_capitals(spark, docs_of):
+    r = random.Random(23)
+    alphabets = ["abcdefé", "ñüößàçabc", "αβγδεζ", "абвгдежя", "ąčęėįšųū"]
+    items = [(k, " ".join("".join(r.choices(a, k=r.randint(3, 8))) for _ in range(25))) for k, a in enumerate(alphabets)]
+    word = lambda: "".join(r.choices("ghijklmnop", k=6))
+    rows = [(k, " ".join([word() for _ in range(60)] + [t.upper().replace("SS", "ß") if "ß" in t else t.upper()] + [word() for _ in range(60)])) for k, t in items]
+    got = {(x["doc_id"], x["item_id"]) for x in contamination(docs_of(rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(k, k) for k, _ in items}
+
+
 def test_contamination_by_a_very_long_item(spark, docs_of):
     r = random.Random(22)
     long_item = [f"w{r.randrange(5000)}" for _ in range(6000)]
