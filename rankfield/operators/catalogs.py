@@ -111,10 +111,29 @@ def last_good(scans: DataFrame, now: int) -> DataFrame:
 SETTINGS = "settings array<struct<id:string,name:string,uri:string,synonyms:array<string>,gate:struct<min_build:int,requires:string>>>, control_panel array<struct<id:string,name:string,canonical:string,synonyms:array<string>,gate:struct<min_build:int,requires:string>>>"
 
 
+#: A file of a catalog that is written holds at most 2^SETTINGS_BITS settings, so no task and no driver holds more.
+SETTINGS_BITS = 12
+
+
+def write_settings(settings: DataFrame, control_panel: DataFrame, path: str) -> None:
+    """A JSON catalog at path, as a folder of files of the same form; tasks write them, and the driver sees no setting.
+
+    Both have id, name, synonyms and gate, and uri or canonical.  Absent values are left out.
+    """
+    spark = settings.sparkSession
+    entry = lambda rows, target: F.struct("id", "name", target, "synonyms", "gate")
+    both = settings.select(entry(settings, "uri").alias("s"), F.lit(None).alias("c")).unionByName(control_panel.select(F.lit(None).alias("s"), entry(control_panel, "canonical").alias("c")))
+    block = F.shiftright(F.monotonically_increasing_id(), SETTINGS_BITS)  # of neighbours within a partition
+    files = both.groupBy(block.alias("block")).agg(F.collect_list("s").alias("settings"), F.collect_list("c").alias("control_panel"))
+    head = spark.range(0, 1, 1, 1).select(F.array().cast(files.schema["settings"].dataType).alias("settings"), F.array().cast(files.schema["control_panel"].dataType).alias("control_panel"))
+    text = F.to_json(F.struct(F.array(F.lit("made")).alias("_comment"), "settings", "control_panel"), {"pretty": "true"})
+    head.unionByName(files.drop("block")).select(text.alias("value")).write.option("maxRecordsPerFile", 1).text(path)
+
+
 def read_settings(spark: SparkSession, path: str, built_in: DataFrame, build: int, capabilities: list[str]) -> DataFrame:
     """Settings (id, name, target, synonyms, min_build, requires) of a JSON catalog that this system's gate lets through.
 
-    built_in, of the same columns, stands in for a file that is not there or cannot be read.
+    path: a file, or a folder of files of the same form, which are good only together.  built_in, of the same columns, stands in for a file that is not there or cannot be read.
     """
     try:
         file = spark.read.schema(f"{SETTINGS}, _bad string").options(multiLine=True, columnNameOfCorruptRecord="_bad").json(path).cache()

@@ -1039,14 +1039,13 @@ def app_catalog(spark, sf_dir):
 
 @query(f"WITH {_SETTINGS}, f AS (SELECT *, CASE WHEN id % 2 = 0 THEN 'uri:' ELSE 'panel:' END || id AS target FROM s) SELECT id::VARCHAR AS id, name, target FROM f WHERE min_build <= 25 AND (requires IS NULL OR requires = 'pen')")
 def settings_file(spark, sf_dir):
-    """A catalog of settings read from its JSON file, gates applied."""
-    import json
-
-    rows = _settings(spark, sf_dir).collect()  # a catalog's size
-    entry = lambda r, target: {"id": str(r["id"]), "name": r["name"], target: ("uri:" if target == "uri" else "panel:") + str(r["id"]), "synonyms": r["synonyms"], "gate": {"min_build": r["min_build"], **({"requires": r["requires"]} if r["requires"] else {})}}
-    file = {"_comment": ["made"], "settings": [entry(r, "uri") for r in rows if r["id"] % 2 == 0], "control_panel": [entry(r, "canonical") for r in rows if r["id"] % 2]}
+    """A catalog of settings read from its JSON files, gates applied."""
+    rows = _settings(spark, sf_dir).withColumn("id", F.col("id").cast("long"))
+    gate = F.struct("min_build", "requires")
+    target = lambda word: F.concat(F.lit(word), F.col("id").cast("string"))
+    own = rows.select(F.coalesce(F.pmod("id", F.lit(2)) == 0, F.lit(False)).alias("own"), F.col("id").cast("string").alias("id"), "name", target("uri:").alias("uri"), target("panel:").alias("canonical"), "synonyms", gate.alias("gate"))
     path = f"{shared_folder(spark)}/settings-{uuid.uuid4().hex}"
-    spark.createDataFrame([(json.dumps(file, indent=1),)], "value string").coalesce(1).write.text(path)
+    catalogs.write_settings(own.where("own"), own.where("not own"), path)
     none = spark.createDataFrame([], "id string, name string, target string, synonyms array<string>, min_build int, requires string")
     return catalogs.read_settings(spark, path, none, 25, ["pen"]).select("id", "name", "target")
 

@@ -173,6 +173,26 @@ def test_settings_fall_back_to_the_built_in_copy(spark, tmp_path):
         assert [r["id"] for r in catalogs.read_settings(spark, str(path), own, 10, []).collect()] == ["x"]
 
 
+def test_settings_are_written_by_tasks_in_files_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(catalogs, "SETTINGS_BITS", 3)
+    rows = spark.range(100).selectExpr("cast(id as string) id", "concat('n\u00e9\"', id) name", "concat('u', id) uri", "concat('c', id) canonical", "array('s', cast(id as string)) synonyms", "named_struct('min_build', int(id % 30), 'requires', if(id % 3 = 0, 'pen', null)) gate").repartition(3)
+    none = rows.where("false").selectExpr("id", "name", "uri target", "synonyms", "gate.min_build", "gate.requires")
+    monkeypatch.setattr(type(rows), "collect", None)  # the driver is sent nothing
+    catalogs.write_settings(rows.where("id % 2 = 0"), rows.where("id % 2 = 1"), str(tmp_path / "many"))
+    monkeypatch.undo()
+    files = [json.loads(x.read_text()) for x in (tmp_path / "many").glob("part-*.txt")]
+    assert len(files) > 100 // 8 and all(len(x["settings"]) + len(x["control_panel"]) <= 8 for x in files)
+    got = {r["id"]: r for r in catalogs.read_settings(spark, str(tmp_path / "many"), none, 20, ["pen"]).collect()}
+    assert set(got) == {str(k) for k in range(100) if k % 30 <= 20} and got["7"]["target"] == "c7" and got["6"]["target"] == "u6"
+    assert got["6"]["name"] == 'n\u00e9"6' and got["6"]["synonyms"] == ["s", "6"] and got["6"]["requires"] == "pen"
+    (tmp_path / "broken").mkdir()
+    for k, x in enumerate((*files, "{ not json")):
+        (tmp_path / "broken" / f"{k}.json").write_text(x if isinstance(x, str) else json.dumps(x))
+    assert catalogs.read_settings(spark, str(tmp_path / "broken"), none, 20, ["pen"]).count() == 0  # a part of a catalog is none
+    catalogs.write_settings(rows.where("false"), rows.where("false"), str(tmp_path / "none"))
+    assert catalogs.read_settings(spark, str(tmp_path / "none"), rows.where("id = 1").selectExpr("id", "name", "uri target", "synonyms", "gate.min_build", "gate.requires"), 20, []).count() == 0
+
+
 def test_content_index_reads_only_its_terms(spark):
     docs = spark.createDataFrame([(1, "a b b c"), (2, None), (3, "b"), (4, "")], "doc_id long, text string")
     at = f"{shared_folder(spark)}/index-test-{time.time_ns()}"
