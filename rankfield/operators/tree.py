@@ -68,6 +68,22 @@ def depths_of_new(snapshot: DataFrame, added: DataFrame) -> DataFrame:
     return added.join(above, "parent_frn", "left").select("frn", place.cast("int").alias("depth"))
 
 
+def at_or_under(snapshot: DataFrame, tops: DataFrame, top: str) -> DataFrame:
+    """Rows of snapshot whose path is one of tops (distinct), or goes on from one after a backslash.
+
+    Each folder's path is taken once, however much it holds, and all its
+    beginnings are joined with tops by equality, so the work grows with the rows
+    and not with rows times tops.
+    """
+    last = F.substring_index("path", "\\", -1)
+    folder = F.when(F.contains("path", F.lit("\\")), F.left("path", F.length("path") - F.length(last) - 1))
+    folders = snapshot.select(folder.alias("_folder")).where("_folder is not null").distinct()
+    begins = F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("_folder", r"\\", -1))), lambda k: F.call_function("substring_index", F.col("_folder"), F.lit("\\"), k)))
+    under = materialized(folders.select("_folder", begins.alias(top)).join(tops, top, "left_semi").select("_folder").distinct(), "under")
+    rows = snapshot.withColumn("_folder", folder).join(under.withColumn("_under", F.lit(True)), "_folder", "left")
+    return rows.join(tops.select(F.col(top).alias("path"), F.lit(True).alias("_is")), "path", "left").where("_under or _is").select(*snapshot.columns)
+
+
 def repair(snapshot: DataFrame, moved: DataFrame) -> DataFrame:
     """snapshot with the depth and paths of moved folders (frn, and was: the path before), and of all that hangs from them, worked out again.
 
@@ -76,9 +92,8 @@ def repair(snapshot: DataFrame, moved: DataFrame) -> DataFrame:
     stands.
     """
     now = snapshot.join(moved.select("frn").distinct(), "frn", "left_semi").select(F.col("path").alias("_old"))
-    tops = moved.where("was is not null").select(F.col("was").alias("_old")).unionByName(now).distinct()
-    under = (F.col("path") == F.col("_old")) | F.startswith(F.col("path"), F.concat(F.col("_old"), F.lit("\\")))
-    stale = materialized(snapshot.join(F.broadcast(tops), under, "left_semi"), "stale")  # folders moved within one debounce
+    tops = materialized(moved.where("was is not null").select(F.col("was").alias("_old")).unionByName(now).distinct(), "tops")
+    stale = materialized(at_or_under(snapshot, tops, "_old"), "stale")
     rest = snapshot.join(stale.select("frn"), "frn", "left_anti")
     hooks = stale.select(F.col("frn").alias("top"), F.col("parent_frn").alias("_hook"))
     held = rest.select(F.col("frn").alias("_hook"), F.col("depth").alias("_depth"), F.col("path").alias("_path"))

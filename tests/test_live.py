@@ -59,6 +59,17 @@ def test_tail_rebuilds(spark, tmp_path, what):
     assert set(seen(state)) == {200} and state.reason and not state.rebuilding
 
 
+def test_what_lies_under_moved_folders_is_found_by_equality(spark):
+    """As by comparing all paths with all tops, odd names among them, and without the product of the two."""
+    r = random.Random(21)
+    paths = [None, "", "\\", "a\\", "\\a", "a\\\\b"] + ["\\".join(r.choice(["a", "ab", "b", "", "\u00e9", "\U0001d11e"]) for _ in range(r.randint(1, 6))) for _ in range(400)]
+    tops = sorted({r.choice(paths) or "" for _ in range(25)})
+    rows = spark.createDataFrame(list(enumerate(paths)), "frn long, path string")
+    found = tree.at_or_under(rows, spark.createDataFrame([(x,) for x in tops], "t string"), "t")
+    assert sorted(x["frn"] for x in found.collect()) == [k for k, p in enumerate(paths) if p is not None and any(p == t or p.startswith(t + "\\") for t in tops)]
+    assert "NestedLoop" not in found._jdf.queryExecution().toString()
+
+
 def test_pause(spark, tmp_path):
     at = written_journal(tmp_path / "a", (1, 105, 101, 0x100, 0, "new.txt"))
     state = state_of(spark)
