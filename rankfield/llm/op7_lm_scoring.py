@@ -7,11 +7,11 @@ by 64-bit hashes.
 
 Subwords and pairs of neighbouring subwords are counted over every training
 text too, and give the model its classes, its groups, and P(subword | class,
-group of the subword before).  Every training text gives windows to the network:
-one in WINDOW_SHARE, and of short texts a larger share, up to LEAST_WINDOWS of
-them, so what it learns from grows with the input.  It begins with TRAIN_STEPS steps on the driver, on about START_WINDOWS
+group of the subword before).  Every position of every training text teaches
+the network once: all windows of the texts that it is scored in, cut anew from
+the written ids, so what it learns from is all there is.  It begins with TRAIN_STEPS steps on the driver, on about START_WINDOWS
 of them (fewer steps if there are too few windows to tell them apart); then in each of ROUNDS rounds tasks go on from the same weights over
-their own windows of that round, and the weights are averaged by the number of
+their own windows of that round, a window in one round, and the weights are averaged by the number of
 windows.  A text is scored in windows of attention.SPAN subwords that move by
 attention.STEP, so each subword is scored once with at least SPAN - STEP before
 it; its end is scored as well.
@@ -23,23 +23,22 @@ training text N is zero and the network stays as it began.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankfield.llm.attention import GROUPS, SPAN, Attention, Classes, group_ids, score_texts, window_table
+from rankfield.llm.attention import GROUPS, SPAN, STEP, Attention, Classes, group_ids, score_texts, window_table
 from rankfield.llm.core import LOWER, Words, docs_table, grouped, map_arrow, mix, ranges, written
 from rankfield.llm.op6_toxicity import held_out
 from rankfield.llm.tokens import encoder, id_type, vocabulary_path
 
 HELD_OUT_OF = 7
 FREQUENT = 1 << 19
-#: One in so many windows of a training text teaches the network; of a short text more, up to so many.
-WINDOW_SHARE = 16
-LEAST_WINDOWS = 2
+#: One in so many windows of a training text teaches the network: all.
+WINDOW_SHARE = 1
 #: The first steps, taken on the driver; how often they see a window if there are few; and about how many windows they draw from.
 TRAIN_STEPS = 400
 START_PASSES = 6
@@ -52,9 +51,11 @@ ROUND_RATE = 0.004
 BUCKETS = 64
 #: Distinct keys that a task holds before it sends counts.
 HELD_KEYS = 1_500_000
+#: Ids of texts that are cut into windows at once; a longer text is cut alone.
+CUT_IDS = 1 << 19
 #: Numbers in a row when weights are summed over tasks.
 WEIGHT_ROW = 8192
-WORD, SUBWORD, PAIR, TAUGHT, TEXT = 0, 1, 2, 3, 4
+WORD, SUBWORD, PAIR, TEXT = 0, 1, 2, 3
 PARTS = "kind byte, key long, n long, n_all long, w binary, doc_id long, held_out boolean, text string"
 
 
@@ -66,22 +67,46 @@ def with_ends(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray,
     return out, np.concatenate([[0], stop])
 
 
-def taught(ids: np.ndarray, at: np.ndarray, end_id: int) -> list[bytes]:
-    """Windows of each text for the network: inputs, then targets, with -1 for targets that another window tells."""
+def _all_windows(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    """A lot for each window of each text, and the windows: inputs, then targets, with -1 for targets that another window tells."""
     before, target, real, text = window_table(ids, at, end_id)
     many = np.bincount(text, minlength=len(at) - 1)
-    first = np.cumsum(many) - many
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(ids.astype(np.uint64) + (np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))])
-    lot = mix(total[at[1:]] - total[at[:-1]])  # of the text's own ids, wherever it stands
-    share = np.clip(-(-many // LEAST_WINDOWS), 1, WINDOW_SHARE)
-    begin = (lot % share.astype(np.uint64)).astype(np.int64)
-    chosen = (np.arange(len(text)) - first[text] - begin[text]) % share[text] == 0
-    rows = np.concatenate([before[chosen], np.where(real, target, -1)[chosen]], axis=1).astype("<i4")
-    return [x.tobytes() for x in rows]
+    number = np.arange(len(text)) - (np.cumsum(many) - many)[text]
+    step = np.uint64(0x9E3779B97F4A7C15)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(ids.astype(np.uint64) + (np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64) * step))])
+    lot = mix((total[at[1:]] - total[at[:-1]])[text] + number.astype(np.uint64) * step)  # of the text's own ids, wherever it stands
+    return lot.view(np.int64), np.concatenate([before, np.where(real, target, -1)], axis=1).astype("<i4")
+
+
+def taught(ids: np.ndarray, at: np.ndarray, end_id: int) -> list[bytes]:
+    """All windows of each text, as they teach the network."""
+    return [x.tobytes() for x in _all_windows(ids, at, end_id)[1]]
+
+
+def text_windows(coded: DataFrame, end_id: int, shift: int, share: int, rest: int) -> DataFrame:
+    """lot and w of the windows of coded texts (w: ids) whose lot, shifted, is rest modulo share."""
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = id_type(end_id)
+        for batch in batches:
+            raw = batch.column("w").to_pylist()
+            size = np.cumsum([0] + [len(x) // kind().itemsize for x in raw])
+            a = 0
+            while a < len(raw):
+                b = max(a + 1, int(np.searchsorted(size, size[a] + CUT_IDS, "right")) - 1)
+                lot, w = _all_windows(np.frombuffer(b"".join(raw[a:b]), kind).astype(np.int64), size[a : b + 1] - size[a], end_id)
+                mine = np.flatnonzero((lot.view(np.uint64) >> np.uint64(shift)) % np.uint64(share) == rest)
+                mine = mine[np.argsort(lot[mine])]  # else a step of the network sees few texts
+                at = np.arange(len(mine) + 1, dtype=np.int32) * (8 * SPAN)
+                some = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(w[mine]))])
+                yield pa.RecordBatch.from_arrays([pa.array(lot[mine]), some], ["lot", "w"])
+                a = b
 
+    return map_arrow(coded.select("w"), cut, "lot long, w binary")
 
-def corpus_counts(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Counts (kind, key, n in training texts, n_all), windows w for the network with a lot each, and texts with their ids (w).
+
+def corpus_counts(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
+    """Counts (kind, key, n in training texts, n_all), and texts with their ids (w).
 
     Kinds: WORD, SUBWORD and PAIR (the first id in the upper 32 bits).  The end is subword 'vocabulary size', and no word.
     Texts are written with their ids, so that they are told apart into subwords once.
@@ -125,9 +150,6 @@ def corpus_counts(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame, Da
                         held[kind] = [(one["key"], one["n"], one["n_all"])]
             raw = ids.astype(kind_of_id)
             yield rows(TEXT, batch.num_rows, doc_id=batch.column("doc_id"), held_out=batch.column("held_out"), text=batch.column("text"), w=[raw[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())])
-            if train.any():
-                some = taught(ids[own], np.concatenate([[0], np.cumsum(size[train])]), code.vocabulary)
-                yield rows(TAUGHT, len(some), key=np.array([hash_of(x) for x in some], np.uint64).view(np.int64), w=some)
         for kind in held:
             if held[kind]:
                 one = merged(kind)
@@ -136,15 +158,8 @@ def corpus_counts(texts: DataFrame, path: str) -> tuple[DataFrame, DataFrame, Da
         yield rows(SUBWORD, len(some), key=some, n=subs[some], n_all=subs[some])
 
     parts = written(map_arrow(texts, count, PARTS), "parts")
-    counts = written(parts.where(F.col("kind") < TAUGHT).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "counts")
-    windows = written(parts.where(F.col("kind") == TAUGHT).select(F.col("key").alias("lot"), "w"), "windows")
-    return counts, windows, parts.where(F.col("kind") == TEXT).select("doc_id", "held_out", "text", "w")
-
-
-def hash_of(window: bytes) -> int:
-    from xxhash import xxh64_intdigest
-
-    return xxh64_intdigest(window)
+    counts = written(parts.where(F.col("kind") < TEXT).groupBy("kind", "key").agg(F.sum("n").alias("n"), F.sum("n_all").alias("n_all")), "counts")
+    return counts, parts.where(F.col("kind") == TEXT).select("doc_id", "held_out", "text", "w")
 
 
 def frequent_words(counts: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
@@ -182,10 +197,23 @@ def _windows(rows: pa.ChunkedArray | pa.Array, classes: Classes) -> tuple[np.nda
 
 
 def fit_network(windows: DataFrame, classes: Classes) -> Attention:
-    model, spark = Attention(), windows.sparkSession
-    total = windows.count()
-    share = max(1, total // START_WINDOWS)
-    some = windows.where(F.pmod("lot", F.lit(share)) == 0).orderBy("lot", "w").limit(2 * START_WINDOWS).select("w").toArrow()
+    """The network taught by all windows (lot, w)."""
+    chosen = lambda shift, share, rest: windows.where(F.pmod(F.shiftrightunsigned("lot", shift), F.lit(share)) == rest)
+    return _taught_by(chosen, windows.count(), classes, windows.sparkSession)
+
+
+def fit_network_of_texts(coded: DataFrame, end_id: int, classes: Classes) -> Attention:
+    """The network taught by all windows of coded texts, each cut when its round comes, so that none is written."""
+    size = F.octet_length("w") / id_type(end_id)().itemsize
+    many = 1 + F.greatest(F.ceil((size - SPAN) / STEP), F.lit(0))
+    total = coded.agg(F.coalesce(F.sum(many), F.lit(0)).cast("long")).first()[0]
+    return _taught_by(lambda *which: text_windows(coded, end_id, *which), total, classes, coded.sparkSession)
+
+
+def _taught_by(chosen: Callable[[int, int, int], DataFrame], total: int, classes: Classes, spark: SparkSession) -> Attention:
+    """chosen: windows whose lot, shifted by the first, is the third modulo the second."""
+    model = Attention()
+    some = chosen(0, max(1, total // START_WINDOWS), 0).orderBy("lot", "w").limit(2 * START_WINDOWS).select("w").toArrow()
     if not some.num_rows:
         return model
     model.train(*_windows(some.column("w"), classes), min(TRAIN_STEPS, -(-START_PASSES * some.num_rows // START_BATCH)), START_BATCH)
@@ -217,7 +245,7 @@ def fit_network(windows: DataFrame, classes: Classes) -> Attention:
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / n).tobytes() for x, n in sums.values()], pa.binary())], ["part", "x"])
 
-        own = windows.where(F.pmod(F.shiftrightunsigned("lot", 20), F.lit(ROUNDS)) == k).select("w")
+        own = chosen(20, ROUNDS, k).select("w")
         found = map_arrow(map_arrow(own, learn, "part int, x binary, n long").repartition("part"), add, "part int, x binary").collect()  # the weights, once
         if found:
             model.set_flat(np.concatenate([np.frombuffer(r["x"]) for r in sorted(found, key=lambda r: r["part"])]))
@@ -232,7 +260,7 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     path = path or vocabulary_path()
     spark = docs.sparkSession
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), held_out(HELD_OUT_OF).alias("held_out"))
-    counts, windows, coded = corpus_counts(texts, path)
+    counts, coded = corpus_counts(texts, path)
     total = counts.where(F.col("kind") == WORD).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum((F.col("n") > 0).cast("long")), F.lit(0)).alias("v")).first()
     size = encoder(path).vocabulary
     subs = np.zeros(size + 1, np.int64)
@@ -242,7 +270,7 @@ def lm_scores(docs: DataFrame, path: str | None = None) -> DataFrame:
     tokens, distinct = total["n"] + ends, total["v"] + (ends > 0)
     keys, times, least = frequent_words(counts)
     classes = fit_classes(counts, subs)
-    shared = spark.sparkContext.broadcast((keys, times, classes, fit_network(windows, classes)))
+    shared = spark.sparkContext.broadcast((keys, times, classes, fit_network_of_texts(coded.where("not held_out"), size, classes)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext

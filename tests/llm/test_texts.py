@@ -399,6 +399,15 @@ def test_every_training_text_teaches():
     assert {x.tobytes() for x in some.reshape(len(some), -1)} <= whole
 
 
+def test_every_position_of_every_training_text_teaches_once(spark):
+    r = np.random.default_rng(12)
+    texts = [r.integers(0, 60_000, n).astype(op7.id_type(60_000)) for n in (1, 31, 32, 33, 500, 3000, 5)]
+    coded = spark.createDataFrame([(x.tobytes(),) for x in texts], "w binary").repartition(3)
+    rows = [w for k in range(op7.ROUNDS) for w in op7.text_windows(coded, 60_000, 20, op7.ROUNDS, k).collect()]
+    told = np.frombuffer(b"".join(x["w"] for x in rows), "<i4").reshape(-1, 2, A.SPAN)[:, 1]
+    assert sorted(told[told >= 0].tolist()) == sorted(np.concatenate(texts).tolist())
+
+
 def test_rounds_average_the_tasks(spark):
     """The start on the driver and the rounds over partitions leave a model that has learned."""
     r = np.random.default_rng(10)
