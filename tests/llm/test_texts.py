@@ -283,6 +283,22 @@ def test_tables_are_bounded_by_rarity(spark, monkeypatch):
     assert len(model.first[0]) <= 5 and math.isfinite(model.other)
 
 
+def test_steps_beyond_the_tables_are_joined(spark, docs_of, monkeypatch):
+    """Tables of a few rows give the scores of tables that hold all."""
+    r = random.Random(31)
+    bad = [f"bad{k}stem{k}" for k in range(12)]
+    fine = [f"word{k}longer{k % 5}" for k in range(40)] + ["abcd", "\u00e9"]
+    made = [(k, " ".join(r.choice(bad if k % 4 == 0 and r.random() < 0.3 else fine) for _ in range(r.randint(0, 40)))) for k in range(150)] + [(150, None), (3, "word1longer1 unseen")]
+    labels = spark.createDataFrame([(k, 1, int(k % 4 == 0)) for k in range(150)], "doc_id long, quality int, toxic int")
+    monkeypatch.setattr(op6, "LEAST", 2)
+    scores = lambda: sorted((x["doc_id"], x["score"], x["predicted"]) for x in toxicity(docs_of(made), labels).collect())
+    want = scores()
+    monkeypatch.setattr(op6, "MOST_FIRST", 2)
+    monkeypatch.setattr(op6, "MOST_PAIRS", 3)
+    got = scores()
+    assert [x[0] for x in got] == [x[0] for x in want] and [x[1] for x in got] == pytest.approx([x[1] for x in want], abs=1e-6)
+
+
 def test_toxicity_odd_rows(spark, docs_of, odd_docs):
     none = spark.createDataFrame([(1, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     got = toxicity(odd_docs, none).collect()
