@@ -26,6 +26,8 @@ BATCH = 512
 #: Windows, and positions whose class scores, are worked on at once.
 HIDDEN = 64
 CACHED = 1536
+#: Windows whose gradients are worked out at once.
+TAUGHT = 64
 #: Counts that a profile, and a group's share of a class, borrow from the whole corpus.
 BORROWED = 5.0
 UNSEEN = 0.01
@@ -107,17 +109,17 @@ class Classes:
 MOST_EXPONENT = np.float32(60)
 
 
+def _within(h: np.ndarray, c: np.ndarray) -> bool:
+    """Whether by their lengths no product of a row of h and a column of c can exceed MOST_EXPONENT."""
+    longest = (c**2).sum(axis=0).max(initial=0) * np.einsum("ij,ij->i", h, h).max(initial=0)
+    return bool(longest <= MOST_EXPONENT**2)
+
+
 def _exp(x: np.ndarray) -> np.ndarray:
     np.minimum(x, MOST_EXPONENT, out=x)
     return np.exp(x, out=x)
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    _exp(x)
-    x *= 1 / np.maximum(x.sum(axis=-1, keepdims=True), np.float32(1e-30))
-    return x
-
-
 _PAST = np.subtract.outer(np.arange(SPAN), np.arange(SPAN))
 
 
@@ -133,47 +135,51 @@ class Attention:
             "r": np.zeros(SPAN, np.float32), "c": small(WIDTH, CLASSES), "b": np.zeros(CLASSES, np.float32),
         }
 
-    def forward(self, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-        """rows: windows of SPAN embedding rows; a position sees itself and those before it."""
+    def tables(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """By embedding row, as all that a position gives depends on its row alone: what asks of the rows themselves, and what is added when seen, with a one.
+
+        Then the matrices that make them of rows, and the bias of attention.
+        """
         w = self.w
-        x = w["e"][rows]
-        q, k, v = x @ (w["q"] / np.float32(np.sqrt(WIDTH))), x @ w["k"], x @ w["v"]
-        a = q @ k.transpose(0, 2, 1)
-        a += np.where(_PAST >= 0, w["r"][np.maximum(_PAST, 0)], np.float32(-1e9))
-        _softmax(a)
-        o = a @ v
-        return x, q, k, v, a, o, x + o @ w["o"]
-
-    def hidden(self, rows: np.ndarray) -> Iterator[np.ndarray]:
-        """What forward gives last, HIDDEN windows at a time, in memory that is used again."""
-        w, most = self.w, min(HIDDEN, len(rows))
-        joint = np.concatenate([w["q"] / np.float32(np.sqrt(WIDTH)), w["k"], w["v"]], axis=1)
-        bias = np.where(_PAST >= 0, w["r"][np.maximum(_PAST, 0)], np.float32(-1e9)).astype(np.float32)
-        x, qkv, a, o = (np.empty((most, SPAN, n), np.float32) for n in (WIDTH, 3 * WIDTH, SPAN, WIDTH))
+        ask, tell = w["q"] @ w["k"].T / w["e"].dtype.type(np.sqrt(WIDTH)), w["v"] @ w["o"]
+        told = np.ones((len(w["e"]), WIDTH + 1), w["e"].dtype)
+        told[:, :WIDTH] = w["e"] @ tell
+        bias = np.where(_PAST >= 0, w["r"][np.maximum(_PAST, 0)], w["r"].dtype.type(-1e9))
+        return w["e"] @ ask, told, ask, tell, bias
+
+    def forward(self, rows: np.ndarray, since: int = 0, tables: tuple[np.ndarray, ...] | None = None) -> tuple[np.ndarray, ...]:
+        """rows: windows of SPAN embedding rows; a position sees itself and those before it.
+
+        Of positions from since on: the rows that they see, what they ask, what is added when seen, weights before they are divided by their sum,
+        that sum, what attention adds, and what classes are told from.
+        """
+        asks, told, _, _, bias = tables or self.tables()
+        x, q, v = np.take(self.w["e"], rows, axis=0), np.take(asks, rows[:, since:], axis=0), np.take(told, rows, axis=0)
+        a = np.matmul(q, x.transpose(0, 2, 1))
+        a += bias[since:]
+        _exp(a)
+        y = np.matmul(a, v)
+        total = np.maximum(y[..., WIDTH:], y.dtype.type(1e-30))
+        y = y[..., :WIDTH] / total
+        return x, q, v, a, total, y, x[:, since:] + y
+
+    def hidden(self, rows: np.ndarray, since: int = 0, tables: tuple[np.ndarray, ...] | None = None) -> Iterator[np.ndarray]:
+        """What forward gives last, HIDDEN windows at a time."""
+        tables = tables or self.tables()
         for at in range(0, len(rows), HIDDEN):
-            n = min(HIDDEN, len(rows) - at)
-            np.take(w["e"], rows[at : at + n], axis=0, out=x[:n])
-            np.matmul(x[:n].reshape(-1, WIDTH), joint, out=qkv[:n].reshape(-1, 3 * WIDTH))
-            q, k, v = (qkv[:n, :, j * WIDTH : (j + 1) * WIDTH] for j in range(3))
-            np.matmul(q, k.transpose(0, 2, 1), out=a[:n])
-            a[:n] += bias
-            _exp(a[:n])
-            np.matmul(a[:n], v, out=o[:n])
-            o[:n] /= np.maximum(a[:n].sum(axis=-1, keepdims=True), np.float32(1e-30))
-            x[:n] += o[:n] @ w["o"]
-            yield x[:n]
+            yield self.forward(rows[at : at + HIDDEN], since, tables)[-1]
 
     def class_log10(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log10 P(class) at positions; h: (n, WIDTH).  Done in blocks that stay in a core's cache."""
         c, ones = np.concatenate([self.w["c"], self.w["b"][None]]), np.ones(CLASSES, np.float32)
         h = np.concatenate([h, np.ones((len(h), 1), h.dtype)], axis=1)
-        largest = float(np.sqrt((c**2).sum(axis=0).max()))
+        within = _within(h, c)
         out = np.empty(len(h), np.float32)
         table = np.empty((min(CACHED, max(len(h), 1)), CLASSES), np.float32)
         for k in range(0, len(h), CACHED):
             part = h[k : k + CACHED]
             z = np.matmul(part, c, out=table[: len(part)])
-            if largest * float(np.sqrt(np.einsum("ij,ij->i", part, part).max())) > MOST_EXPONENT:
+            if not within:
                 np.minimum(z, MOST_EXPONENT, out=z)
             picked = z[np.arange(len(z)), target[k : k + CACHED]]
             np.exp(z, out=z)
@@ -181,43 +187,85 @@ class Attention:
         return out / np.float32(np.log(10))
 
     def gradients(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-        """Mean cross-entropy in nats over real positions, and its gradients."""
+        """Mean cross-entropy in nats over real positions, and its gradients.
+
+        Where the first SPAN - STEP positions of a window are context only, they ask nothing.
+        """
         w, n = self.w, max(int(real.sum()), 1)
-        x, q, k, v, a, o, h = self.forward(rows)
-        flat = lambda y: y.reshape(-1, y.shape[-1])
+        tables = self.tables()
+        kind = w["e"].dtype
+        late = ~real[:, : SPAN - STEP].any(axis=1)
+        sums = {"ask": np.zeros((WIDTH, WIDTH), kind), "tell": np.zeros((WIDTH, WIDTH), kind), "past": np.zeros((SPAN, SPAN), kind), "c": np.zeros((WIDTH + 1, CLASSES), kind)}
+        loss, order, dx = 0.0, [], []
+        for since, mine in ((0, np.flatnonzero(~late)), (SPAN - STEP, np.flatnonzero(late))):
+            for at in range(0, len(mine), TAUGHT):
+                part = mine[at : at + TAUGHT]
+                more, back = self._add_gradients(sums, tables, rows[part], target[part, since:], real[part, since:], since, n)
+                loss += more
+                order.append(rows[part].ravel())
+                dx.append(back)
+        g = {"c": sums["c"][:WIDTH], "b": sums["c"][WIDTH]}
+        scale = kind.type(1 / np.sqrt(WIDTH))
+        g["q"], g["k"] = sums["ask"] @ w["k"] * scale, sums["ask"].T @ w["q"] * scale
+        g["v"], g["o"] = sums["tell"] @ w["o"].T, w["v"].T @ sums["tell"]
+        g["r"] = np.bincount(np.maximum(_PAST, 0).ravel(), np.where(_PAST >= 0, sums["past"], 0).ravel(), SPAN).astype(np.float32)
+        g["e"] = np.zeros_like(w["e"])
+        if order:
+            seen = np.concatenate(order).astype(np.uint16)
+            order = np.argsort(seen, kind="stable")
+            seen = seen[order]
+            first = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))
+            g["e"][seen[first]] = np.add.reduceat(np.take(np.concatenate(dx), order, axis=0), first, axis=0)
+        return loss / n, g
+
+    def _add_gradients(self, sums: dict[str, np.ndarray], tables: tuple[np.ndarray, ...], rows: np.ndarray, target: np.ndarray, real: np.ndarray, since: int, n: int) -> tuple[float, np.ndarray]:
+        """Adds to sums what positions from since on give, and returns their cross-entropy and the gradient of all positions' embedding rows."""
+        _, _, ask, tell, _ = tables
+        x, q, v, a, total, y, h = self.forward(rows, since, tables)
+        kind = h.dtype
+        flat = lambda z: z.reshape(-1, z.shape[-1])
+        c = np.concatenate([self.w["c"], self.w["b"][None]])
+        back_c = np.ones((CLASSES, WIDTH + 1), kind)
+        back_c[:, :WIDTH] = self.w["c"].T
+        own_c = self.w["c"].T / kind.type(n)
         told = np.flatnonzero(real)
-        every, target = flat(h)[told], target.ravel()[told]
-        g = {"c": np.zeros_like(w["c"]), "b": np.zeros_like(w["b"])}
-        back, loss = np.empty_like(every), 0.0
+        every = np.ones((len(told), WIDTH + 1), kind)
+        every[:, :WIDTH] = np.take(flat(h), told, axis=0)
+        within = _within(every, c)
+        target = target.ravel()[told]
+        dh, loss = np.zeros(flat(h).shape, kind), 0.0
         for at in range(0, len(every), CACHED):  # blocks that stay in a core's cache
-            part = every[at : at + CACHED]
-            p = _softmax(part @ w["c"] + w["b"])
-            here, which = np.arange(len(p)), target[at : at + CACHED]
-            loss -= float(np.log(np.maximum(p[here, which], 1e-30)).sum())
-            p[here, which] -= 1
-            p /= p.dtype.type(n)
-            g["c"] += part.T @ p
-            g["b"] += p.sum(axis=0)
-            back[at : at + CACHED] = p @ w["c"].T
-        dh = np.zeros_like(h)
-        flat(dh)[told] = back
-        loss /= n
-        g["o"] = flat(o).T @ flat(dh)
-        do = dh @ w["o"].T
-        da = do @ v.transpose(0, 2, 1)
-        dv = a.transpose(0, 2, 1) @ do
-        ds = a * (da - (da * a).sum(axis=-1, keepdims=True))
-        g["r"] = np.bincount(np.maximum(_PAST, 0).ravel(), np.where(_PAST >= 0, ds.sum(axis=0), 0).ravel(), SPAN).astype(np.float32)
-        scale = np.float32(1 / np.sqrt(WIDTH))
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q  # q holds the scale
-        g["q"], g["k"], g["v"] = flat(x).T @ flat(dq) * scale, flat(x).T @ flat(dk), flat(x).T @ flat(dv)
-        dx = dh + dq @ w["q"].T * scale + dk @ w["k"].T + dv @ w["v"].T
-        g["e"] = np.zeros_like(w["e"])
-        order = np.argsort(rows.ravel(), kind="stable")
-        sorted_ = rows.ravel()[order]
-        first = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]]))
-        g["e"][sorted_[first]] = np.add.reduceat(flat(dx)[order], first, axis=0)
-        return loss, g
+            part, which = every[at : at + CACHED], target[at : at + CACHED]
+            p = part @ c
+            if not within:
+                np.minimum(p, MOST_EXPONENT, out=p)
+            np.exp(p, out=p)
+            back = p @ back_c
+            size = np.maximum(back[:, WIDTH], kind.type(1e-30))
+            here = np.arange(len(p))
+            one = p[here, which]
+            loss -= float(np.log(np.maximum(one / size, kind.type(1e-30))).sum())
+            p[here, which] = one - size  # p is divided by size at last
+            share = (1 / (size * kind.type(n)))[:, None]
+            sums["c"] += (part * share).T @ p
+            back = back[:, :WIDTH] * share
+            back -= np.take(own_c, which, axis=0)
+            dh[told[at : at + CACHED]] = back
+        dh = dh.reshape(h.shape)
+        back = np.empty((*dh.shape[:2], WIDTH + 1), kind)
+        np.divide(dh, total, out=back[..., :WIDTH])
+        np.negative(np.einsum("ijk,ijk->ij", back[..., :WIDTH], y), out=back[..., WIDTH])
+        dv = np.matmul(a.transpose(0, 2, 1), back[..., :WIDTH])
+        a *= np.matmul(back, v.transpose(0, 2, 1))
+        sums["past"][since:] += a.sum(axis=0)
+        dq = np.matmul(a, x)
+        dx = np.matmul(a.transpose(0, 2, 1), q)
+        dx += (flat(dv) @ tell.T).reshape(dx.shape)
+        dx[:, since:] += dh
+        dx[:, since:] += (flat(dq) @ ask.T).reshape(dq.shape)
+        sums["tell"] += flat(x).T @ flat(dv)
+        sums["ask"] += flat(x[:, since:]).T @ flat(dq)
+        return loss, flat(dx)
 
     def train(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray, steps: int = 400, batch: int = 192, seed: int = 11) -> list[float]:
         """Adam with a falling rate on random batches; returns the losses.  What it divides steps by stays in spread."""
@@ -238,12 +286,15 @@ class Attention:
 
     def go_on(self, rows: np.ndarray, target: np.ndarray, real: np.ndarray, rate: float, batch: int = 192) -> None:
         """One pass over windows, each batch a step divided by spread."""
+        step = {k: (rate / v).astype(np.float32) for k, v in self.spread.items()}
         for at in range(0, len(rows), batch):
             part = slice(at, at + batch)
             _, g = self.gradients(rows[part], target[part], real[part])
-            share = rate * min(1.0, len(rows[part]) / batch)
+            share = np.float32(min(1.0, len(rows[part]) / batch))
             for k in self.w:
-                self.w[k] -= (share * g[k] / self.spread[k]).astype(np.float32)
+                g[k] *= step[k]
+                g[k] *= share
+                self.w[k] -= g[k]
 
     def flat(self) -> np.ndarray:
         return np.concatenate([self.w[k].ravel() for k in sorted(self.w)])
@@ -263,12 +314,12 @@ def windows(size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return text, (np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)) * STEP
 
 
-def window_table(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Inputs, targets and which targets count, of every window, with its text.
+def window_table(ids: np.ndarray, at: np.ndarray, end_id: int, some: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Inputs, targets and which targets count, of every window, with its text; or of some of the windows.
 
     ids: of all texts, each closed by end_id, which also stands before a text's first token; at: where texts start, with the end.
     """
-    text, first = windows(np.diff(at))
+    text, first = some or windows(np.diff(at))
     place = first[:, None] + np.arange(SPAN)
     size = np.diff(at)[text][:, None]
     real = place < size
@@ -281,18 +332,16 @@ def window_table(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarr
 def score_texts(model: Attention, classes: Classes, ids: np.ndarray, at: np.ndarray, end_id: int) -> np.ndarray:
     """log10 probability of each text."""
     out = np.zeros(len(at) - 1)
-    text, _ = windows(np.diff(at))
-    stop = np.searchsorted(text, np.arange(len(at) - 1), "right")
-    a = 0
-    while a < len(out):  # texts of about BATCH windows at a time
-        begun = stop[a - 1] if a else 0
-        b = max(a + 1, int(np.searchsorted(stop, begun + BATCH, "right")))
-        before, target, real, of = window_table(ids[at[a] : at[b]], at[a : b + 1] - at[a], end_id)
-        for k, h in zip(range(0, len(of), HIDDEN), model.hidden(classes.row[before])):
-            part = slice(k, k + HIDDEN)
-            told, r = target[part], real[part]
-            row, _ = np.nonzero(r)
-            p = model.class_log10(h[r], classes.of[told[r]]) + classes.within_log10(before[part][r], told[r])
-            out[a:b] += np.bincount(of[part][row], p, b - a)
-        a = b
+    text, first = windows(np.diff(at))
+    tables = model.tables()
+    for since, mine in ((0, np.flatnonzero(first == 0)), (SPAN - STEP, np.flatnonzero(first))):  # context only is not asked for classes
+        for a in range(0, len(mine), BATCH):
+            some = mine[a : a + BATCH]
+            before, target, real, of = window_table(ids, at, end_id, (text[some], first[some]))
+            for k, h in zip(range(0, len(of), HIDDEN), model.hidden(classes.row[before], since, tables)):
+                part = slice(k, k + HIDDEN)
+                told, r = target[part, since:], real[part, since:]
+                row, _ = np.nonzero(r)
+                p = model.class_log10(h[r], classes.of[told[r]]) + classes.within_log10(before[part, since:][r], told[r])
+                out += np.bincount(of[part][row], p, len(out))
     return out

@@ -29,8 +29,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from xxhash import xxh64_intdigest
 
-from rankfield.llm.attention import GROUPS, SPAN, STEP, Attention, Classes, group_ids, score_texts, window_table
+from rankfield.llm.attention import GROUPS, SPAN, STEP, Attention, Classes, group_ids, score_texts, window_table, windows
 from rankfield.llm.core import LOWER, Words, docs_table, grouped, map_arrow, mix, ranges, written
 from rankfield.llm.op6_toxicity import held_out
 from rankfield.llm.tokens import encoder, id_type, vocabulary_path
@@ -67,40 +68,46 @@ def with_ends(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray,
     return out, np.concatenate([[0], stop])
 
 
-def _all_windows(ids: np.ndarray, at: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-    """A lot for each window of each text, and the windows: inputs, then targets, with -1 for targets that another window tells."""
-    before, target, real, text = window_table(ids, at, end_id)
-    many = np.bincount(text, minlength=len(at) - 1)
-    number = np.arange(len(text)) - (np.cumsum(many) - many)[text]
-    step = np.uint64(0x9E3779B97F4A7C15)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(ids.astype(np.uint64) + (np.arange(len(ids)) - np.repeat(at[:-1], np.diff(at))).astype(np.uint64) * step))])
-    lot = mix((total[at[1:]] - total[at[:-1]])[text] + number.astype(np.uint64) * step)  # of the text's own ids, wherever it stands
-    return lot.view(np.int64), np.concatenate([before, np.where(real, target, -1)], axis=1).astype("<i4")
+def _told(ids: np.ndarray, at: np.ndarray, end_id: int, some: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Inputs and targets of windows, with -1 for targets that another window tells."""
+    before, target, real, _ = window_table(ids, at, end_id, some)
+    return before, np.where(real, target, -1)
 
 
 def taught(ids: np.ndarray, at: np.ndarray, end_id: int) -> list[bytes]:
     """All windows of each text, as they teach the network."""
-    return [x.tobytes() for x in _all_windows(ids, at, end_id)[1]]
+    return [x.tobytes() for x in np.concatenate(_told(ids, at, end_id), axis=1).astype("<i4")]
+
+
+def _cut(batches: Iterator[pa.RecordBatch], end_id: int, shift: int, share: int, rest: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Lots, inputs and targets of the windows of coded texts whose lot, shifted, is rest modulo share."""
+    kind = id_type(end_id)
+    for batch in batches:
+        raw = batch.column("w").to_pylist()
+        size = np.cumsum([0] + [len(x) // kind().itemsize for x in raw])
+        a = 0
+        while a < len(raw):
+            b = max(a + 1, int(np.searchsorted(size, size[a] + CUT_IDS, "right")) - 1)
+            at = size[a : b + 1] - size[a]
+            text, first = windows(np.diff(at))
+            own = np.array([xxh64_intdigest(x) for x in raw[a:b]], np.uint64)  # of the text's own ids, wherever it stands
+            lot = mix(own[text] + (first // STEP).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            mine = np.flatnonzero((lot >> np.uint64(shift)) % np.uint64(share) == rest)
+            lot = lot.view(np.int64)
+            mine = mine[np.argsort(lot[mine])]  # else a step of the network sees few texts
+            if len(mine):
+                yield lot[mine], *_told(np.frombuffer(b"".join(raw[a:b]), kind).astype(np.int64), at, end_id, (text[mine], first[mine]))
+            a = b
 
 
 def text_windows(coded: DataFrame, end_id: int, shift: int, share: int, rest: int) -> DataFrame:
     """lot and w of the windows of coded texts (w: ids) whose lot, shifted, is rest modulo share."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(end_id)
-        for batch in batches:
-            raw = batch.column("w").to_pylist()
-            size = np.cumsum([0] + [len(x) // kind().itemsize for x in raw])
-            a = 0
-            while a < len(raw):
-                b = max(a + 1, int(np.searchsorted(size, size[a] + CUT_IDS, "right")) - 1)
-                lot, w = _all_windows(np.frombuffer(b"".join(raw[a:b]), kind).astype(np.int64), size[a : b + 1] - size[a], end_id)
-                mine = np.flatnonzero((lot.view(np.uint64) >> np.uint64(shift)) % np.uint64(share) == rest)
-                mine = mine[np.argsort(lot[mine])]  # else a step of the network sees few texts
-                at = np.arange(len(mine) + 1, dtype=np.int32) * (8 * SPAN)
-                some = pa.Array.from_buffers(pa.binary(), len(mine), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(w[mine]))])
-                yield pa.RecordBatch.from_arrays([pa.array(lot[mine]), some], ["lot", "w"])
-                a = b
+        for lot, before, target in _cut(batches, end_id, shift, share, rest):
+            w = np.concatenate([before, target], axis=1).astype("<i4")
+            at = np.arange(len(lot) + 1, dtype=np.int32) * (8 * SPAN)
+            yield pa.RecordBatch.from_arrays([pa.array(lot), pa.Array.from_buffers(pa.binary(), len(lot), [None, pa.py_buffer(at), pa.py_buffer(w)])], ["lot", "w"])
 
     return map_arrow(coded.select("w"), cut, "lot long, w binary")
 
@@ -190,28 +197,48 @@ def fit_classes(counts: DataFrame, subs: np.ndarray) -> Classes:
     return Classes(subs, group, table(pairs.join(of, "a"), "b", "g", GROUPS))
 
 
-def _windows(rows: pa.ChunkedArray | pa.Array, classes: Classes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Taught = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _as_taught(before: np.ndarray, target: np.ndarray, classes: Classes) -> Taught:
     """Embedding rows, classes to tell, and which of them count."""
+    return classes.row[before], classes.of[np.maximum(target, 0)], target >= 0
+
+
+def _windows(rows: pa.ChunkedArray | pa.Array, classes: Classes) -> Taught:
     t = np.frombuffer(b"".join(rows.to_pylist()), "<i4").reshape(-1, 2, SPAN)
-    return classes.row[t[:, 0]], classes.of[np.maximum(t[:, 1], 0)], t[:, 1] >= 0
+    return _as_taught(t[:, 0], t[:, 1], classes)
 
 
-def fit_network(windows: DataFrame, classes: Classes) -> Attention:
+def fit_network(told: DataFrame, classes: Classes) -> Attention:
     """The network taught by all windows (lot, w)."""
-    chosen = lambda shift, share, rest: windows.where(F.pmod(F.shiftrightunsigned("lot", shift), F.lit(share)) == rest)
-    return _taught_by(chosen, windows.count(), classes, windows.sparkSession)
+    chosen = lambda shift, share, rest: told.where(F.pmod(F.shiftrightunsigned("lot", shift), F.lit(share)) == rest)
+
+    def read(batches: Iterator[pa.RecordBatch], kinds: Classes, k: int) -> Iterator[Taught]:
+        for batch in batches:
+            if batch.num_rows:
+                yield _windows(batch.column("w"), kinds)
+
+    return _taught_by(chosen, lambda k: chosen(20, ROUNDS, k).select("w"), read, told.count(), classes, told.sparkSession)
 
 
 def fit_network_of_texts(coded: DataFrame, end_id: int, classes: Classes) -> Attention:
-    """The network taught by all windows of coded texts, each cut when its round comes, so that none is written."""
+    """The network taught by all windows of coded texts, each cut by the task that it teaches when its round comes, so that none is written or sent."""
     size = F.octet_length("w") / id_type(end_id)().itemsize
     many = 1 + F.greatest(F.ceil((size - SPAN) / STEP), F.lit(0))
     total = coded.agg(F.coalesce(F.sum(many), F.lit(0)).cast("long")).first()[0]
-    return _taught_by(lambda *which: text_windows(coded, end_id, *which), total, classes, coded.sparkSession)
 
+    def read(batches: Iterator[pa.RecordBatch], kinds: Classes, k: int) -> Iterator[Taught]:
+        for _, before, target in _cut(batches, end_id, 20, ROUNDS, k):
+            yield _as_taught(before, target, kinds)
 
-def _taught_by(chosen: Callable[[int, int, int], DataFrame], total: int, classes: Classes, spark: SparkSession) -> Attention:
-    """chosen: windows whose lot, shifted by the first, is the third modulo the second."""
+    return _taught_by(lambda *which: text_windows(coded, end_id, *which), lambda k: coded.select("w"), read, total, classes, coded.sparkSession)
+
+
+def _taught_by(
+    chosen: Callable[[int, int, int], DataFrame], source: Callable[[int], DataFrame], read: Callable[[Iterator[pa.RecordBatch], Classes, int], Iterator[Taught]], total: int, classes: Classes, spark: SparkSession
+) -> Attention:
+    """chosen: windows whose lot, shifted by the first, is the third modulo the second; read: windows of a round from its source."""
     model = Attention()
     some = chosen(0, max(1, total // START_WINDOWS), 0).orderBy("lot", "w").limit(2 * START_WINDOWS).select("w").toArrow()
     if not some.num_rows:
@@ -227,10 +254,9 @@ def _taught_by(chosen: Callable[[int, int, int], DataFrame], total: int, classes
             own.spread = begun.spread
             own.set_flat(begun.flat())
             n = 0
-            for batch in batches:
-                if batch.num_rows:
-                    own.go_on(*_windows(batch.column("w"), kinds), rate)
-                    n += batch.num_rows
+            for some in read(batches, kinds, k):
+                own.go_on(*some, rate)
+                n += len(some[0])
             if n:
                 x = own.flat().astype(np.float64) * n
                 cut = [x[a : a + WEIGHT_ROW].tobytes() for a in range(0, len(x), WEIGHT_ROW)]
@@ -245,8 +271,7 @@ def _taught_by(chosen: Callable[[int, int, int], DataFrame], total: int, classes
             if sums:
                 yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([(x / n).tobytes() for x, n in sums.values()], pa.binary())], ["part", "x"])
 
-        own = chosen(20, ROUNDS, k).select("w")
-        found = map_arrow(map_arrow(own, learn, "part int, x binary, n long").repartition("part"), add, "part int, x binary").collect()  # the weights, once
+        found = map_arrow(map_arrow(source(k), learn, "part int, x binary, n long").repartition("part"), add, "part int, x binary").collect()  # the weights, once
         if found:
             model.set_flat(np.concatenate([np.frombuffer(r["x"]) for r in sorted(found, key=lambda r: r["part"])]))
     return model

@@ -9,6 +9,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -347,6 +348,44 @@ def test_gradients():
             assert (up - down) / (2 * eps) == pytest.approx(g[k][at], abs=2e-5)
 
 
+def test_context_only_positions_ask_nothing(monkeypatch):
+    """Nothing is worked out for them, and the gradients stay those of the whole window, mixed with windows that begin a text."""
+    model, r = A.Attention(), np.random.default_rng(21)
+    for k in model.w:
+        model.w[k] = (model.w[k] + 0.1 * r.standard_normal(model.w[k].shape)).astype(np.float64)
+    rows, target = r.integers(0, 50, (6, A.SPAN)), r.integers(0, A.CLASSES, (6, A.SPAN))
+    real = r.random((6, A.SPAN)) < 0.9
+    real[:4, : A.SPAN - A.STEP] = False
+    real[4:, 0] = True
+    asked, plain = [], A._exp
+    monkeypatch.setattr(A, "_exp", lambda x: asked.append(x.size) or plain(x))
+    _, g = model.gradients(rows, target, real)
+    assert sum(asked) == 4 * A.STEP * A.SPAN + 2 * A.SPAN * A.SPAN
+
+    def loss() -> float:
+        z = (model.forward(rows)[-1] @ model.w["c"] + model.w["b"])[real]
+        return float((np.log(np.exp(z).sum(axis=1)) - z[np.arange(len(z)), target[real]]).mean())
+
+    for k in model.w:
+        for _ in range(4):
+            at = tuple(r.integers(0, s) for s in model.w[k].shape) if k != "e" else (int(r.choice(rows[0])), int(r.integers(0, A.WIDTH)))
+            old, eps = model.w[k][at], 1e-5
+            model.w[k][at] = old + eps
+            up = loss()
+            model.w[k][at] = old - eps
+            down = loss()
+            model.w[k][at] = old
+            assert (up - down) / (2 * eps) == pytest.approx(g[k][at], abs=1e-6, rel=1e-4)
+
+
+def test_large_class_scores_are_cut_in_training_too():
+    model, r = A.Attention(), np.random.default_rng(22)
+    model.w["c"] *= 200
+    rows, target = r.integers(0, 50, (3, A.SPAN)), r.integers(0, A.CLASSES, (3, A.SPAN))
+    loss, g = model.gradients(rows, target, np.ones((3, A.SPAN), bool))
+    assert np.isfinite(loss) and all(np.isfinite(x).all() for x in g.values())
+
+
 def test_each_token_is_scored_once():
     for n in (1, 2, A.SPAN, A.SPAN + 1, A.SPAN + A.STEP, 200):
         ids, at = np.arange(n) % 7, np.array([0, n])
@@ -424,6 +463,19 @@ def test_every_position_of_every_training_text_teaches_once(spark):
     assert sorted(told[told >= 0].tolist()) == sorted(np.concatenate(texts).tolist())
 
 
+def test_a_round_makes_only_its_own_windows(monkeypatch):
+    r = np.random.default_rng(23)
+    size = r.integers(1, 900, 40)
+    texts = [r.integers(0, 60_000, n).astype(op7.id_type(60_000)) for n in size]
+    made, plain = [], op7.window_table
+    monkeypatch.setattr(op7, "window_table", lambda *x: made.append(plain(*x)) or made[-1])
+    batch = pa.record_batch({"w": pa.array([x.tobytes() for x in texts], pa.binary())})
+    told = [target for k in range(op7.ROUNDS) for _, _, target in op7._cut(iter([batch]), 60_000, 20, op7.ROUNDS, k)]
+    assert sum(len(x[0]) for x in made) == len(A.windows(size)[0])
+    told = np.concatenate(told)
+    assert sorted(told[told >= 0].tolist()) == sorted(np.concatenate(texts).tolist())
+
+
 def test_rounds_average_the_tasks(spark):
     """The start on the driver and the rounds over partitions leave a model that has learned."""
     r = np.random.default_rng(10)
